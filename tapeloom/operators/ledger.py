@@ -59,10 +59,10 @@ def reconcile(ledger: DataFrame, panel: DataFrame, p: Signal = Signal()) -> Data
 
 def stale_opens(ledger: DataFrame, newest: DataFrame) -> DataFrame:
     """OPEN rows dated before the newest session, with their number. `newest` is one row."""
-    return (ledger.where("status = 'OPEN'").join(newest.withColumnRenamed("trade_date", "_newest"),
-                                                 F.col("date") < F.col("_newest"))
-            .select("date", "symbol",
-                    F.count(F.lit(1)).over(Window.partitionBy("_newest")).alias("n_stale")))
+    w = Window.partitionBy("status")
+    return (ledger.where(F.col("status") == "OPEN")
+            .where(F.col("date") < newest.select("trade_date").scalar())
+            .select("date", "symbol", F.count(F.lit(1)).over(w).alias("n_stale")))
 
 
 def closed(ledger: DataFrame) -> DataFrame:

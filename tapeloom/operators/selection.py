@@ -58,7 +58,6 @@ def trigger_universe(ref: DataFrame, n: int, min_turn_cr: float) -> DataFrame:
                    (F.col("vol_med20") * F.col("ref_close") / 1e7).alias("turn_cr")).dropna()
     gated = u.where(F.col("turn_cr") >= min_turn_cr)
     fallback = u.orderBy(F.col("turn_cr").desc(), "symbol").limit(n)
-    none_gated = gated.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
-    pool = gated.unionByName(
-        fallback.join(none_gated, F.col("_none")).drop("_none"))
+    empty = gated.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
+    pool = gated.unionByName(fallback.where(empty))
     return pool.orderBy(F.col("atr_pct").desc(), "symbol").limit(n)

@@ -27,7 +27,7 @@ prints AS (
   FROM lineitem),
 panel0 AS (
   SELECT l_suppkey, trade_date, arg_min(px, pos) AS open_price, max(px) AS high_price,
-         min(px) AS low_price, arg_max(px, pos) AS close_price, sum(qty) AS qty, sum(value) AS value,
+         min(px) AS low_price, arg_max(px, pos) AS close_price, sum(qty) AS qty, round(sum(value), 2) AS value,
          sum(CASE WHEN delivered THEN qty ELSE 0 END) AS dq, count(*) AS no_of_trades
   FROM prints GROUP BY ALL),
 panel AS (
@@ -136,3 +136,12 @@ def calendar(spark: SparkSession, sf: str) -> DataFrame:
 
 def sectors(spark: SparkSession, sf: str) -> DataFrame:
     return td.sector_dim(spark, sf)
+
+
+# Monthly sessions: trailing windows are counted in months instead of days.
+from ..params import Regime, Tilt  # noqa: E402
+
+TILT = Tilt(mom_2w=3, mom_1w=2, dv_base=12, dv_flow=3, min_hist=6, min_sectors=6, min_names=3, panel_cal=400,
+            deliv_min_hist=6, slope_win=5, pers_cal=900, pers_fwd=3, pers_min_obs=8, min_turnover=1.0,
+            clip_pct=200.0, drop_pct=1000.0, disp_min=60.0)
+REGIME = Regime(min_rows=20, trend_win=12, slope_win=3, ret_short=2, ret_mid=6, er_win=8, vol_win=6)

@@ -42,7 +42,7 @@ def eod_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("px").alias("low_price"),
         F.max_by("px", "pos").alias("close_price"),
         F.sum("qty").alias("qty"),
-        F.sum("value").alias("value"),
+        F.round(F.sum("value"), 2).alias("value"),      # money is in cents; keeps the sum exact
         F.sum(F.when(F.col("delivered"), F.col("qty")).otherwise(0.0)).alias("dq"),
         F.count(F.lit(1)).alias("no_of_trades")))
     w = Window.partitionBy("l_suppkey").orderBy("trade_date")
