@@ -77,8 +77,7 @@ def conviction_score(cand: DataFrame, by: list[str], keys: list[str], p: Signal
     ranks the whole set). A missing leg makes the score missing.
 
     The legs are stacked into one (group, leg, value) table, so all of them are ranked in one
-    pass, and no group is ever sorted in a single task. The candidates are read three times, so
-    they are staged once. The sum is rounded to nine decimals: equal legs give equal scores in
+    pass. The candidates are read several times, so they are staged once. The sum is rounded to nine decimals: equal legs give equal scores in
     whatever order they are added.
     """
     cand = stage(cand)
@@ -90,7 +89,6 @@ def conviction_score(cand: DataFrame, by: list[str], keys: list[str], p: Signal
         F.struct(F.lit(n).alias("leg"), c.cast("double").alias("value")) for n, c in legs.items()
     ])).alias("m")).select(*ks, "m.*").where("value IS NOT NULL")
     ranks = spread_pct_rank(stacked, [*by, "leg"], "value", "pct", rows_per_piece)
-    scored = (stacked.join(ranks, [*by, "leg", "value"])
-              .groupBy(*ks).agg(F.sum("pct").alias("score"), F.count("pct").alias("_legs"))
+    scored = (ranks.groupBy(*ks).agg(F.sum("pct").alias("score"), F.count("pct").alias("_legs"))
               .select(*ks, F.when(F.col("_legs") == len(legs), F.round("score", 9)).alias("score")))
     return cand.join(scored, ks, "left")

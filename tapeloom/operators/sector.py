@@ -13,6 +13,7 @@ from ..functions.asof import asof
 from ..functions.ranking import pct_rank, spread_median
 from ..functions.rolling import axis, compound, nz, series, yes
 from ..params import Regime, Tilt
+from ..session import stage
 from .regime import regime_history
 
 KEY = ["trade_date", "sector"]
@@ -146,11 +147,12 @@ def sector_tilt(daily: DataFrame, master: DataFrame, nifty: DataFrame, start=Non
     if end is not None:
         daily = daily.where(F.col("trade_date") <= F.lit(end))
         nifty = nifty.where(F.col("trade_date") <= F.lit(end))
-    panel = sector_panel(daily, master, t)
+    panel = stage(sector_panel(daily, master, t))
+    nifty = stage(nifty)
     d = sector_factors(panel, t)
     deliv = (_members(daily, master, t).where("deliv_per IS NOT NULL")
              .select("symbol", "sector", "trade_date", "deliv_per", "turnover_lacs"))
-    br = breadth(delivery_state(deliv, t), t)
+    br = breadth(stage(delivery_state(deliv, t)), t)
     d = d.join(br.drop("n_names"), KEY, "left").join(persistence(panel, t).drop("pers_n"), KEY, "left")
     if start is not None:
         d = d.where(F.col("trade_date") >= F.lit(start))

@@ -17,7 +17,7 @@ from .base import LOOSE, PANEL
 from .panel_queries import PREP, SCREEN_SQL, YEARS, screen_all_sessions
 from .spec import register
 
-LEDGER_COLS = ("date:d symbol entry_px:f8 clr:f deliv_per:f vol_ratio:f score:f exit_date:d exit_px:f8 gross_bps:f "
+LEDGER_COLS = ("date:d symbol entry_px:r clr:f deliv_per:f vol_ratio:f score:f exit_date:d exit_px:r gross_bps:f "
                "net_bps:f status")
 BOOKED = SCREEN_SQL.replace("out AS (SELECT b.*", "booked AS (SELECT b.*") + """,
 picks AS (SELECT trade_date AS date, symbol, close_price AS entry_px, clr, deliv_per, vol_ratio, score,
@@ -204,7 +204,7 @@ def _carry(spark, sf):
     return bs.carry_board(td.derivatives(spark, sf), _spot(spark, sf))
 
 
-@register("near_next_contracts", "J4 J5 W13 F10", "trade_date:d symbol fut:f dte:i oi:i fut_next:f dte_next:i spot:f8 turnover_lacs:f8",
+@register("near_next_contracts", "J4 J5 W13 F10", "trade_date:d symbol fut:r dte:i oi:i fut_next:r dte_next:i spot:r turnover_lacs:f8",
           FUT + ", out AS (SELECT * FROM nn)")
 def near_next_contracts(spark, sf):
     return bs.near_next(td.derivatives(spark, sf), _spot(spark, sf))

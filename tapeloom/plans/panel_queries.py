@@ -16,8 +16,8 @@ from .base import CALENDAR, FEATURES, LEGS, LOOSE, PANEL, SIGNAL, score_sql
 from .spec import register
 
 
-@register("eod_scan", "SRC1 J24 F11", "trade_date:d symbol prev_close:f8 open_price:f8 high_price:f8 low_price:f8 close_price:f8 "
-          "avg_price:f8 ttl_trd_qnty:i deliv_qty:i deliv_per:f turnover_lacs:f8 no_of_trades:i", PANEL + """,
+@register("eod_scan", "SRC1 J24 F11", "trade_date:d symbol prev_close:r open_price:r high_price:r low_price:r close_price:r "
+          "avg_price:r ttl_trd_qnty:i deliv_qty:i deliv_per:f turnover_lacs:f8 no_of_trades:i", PANEL + """,
 uni AS (SELECT DISTINCT symbol FROM (SELECT symbol, lead(avg_price) OVER (PARTITION BY symbol ORDER BY trade_date) nx
         FROM panel) WHERE nx IS NOT NULL),
 out AS (SELECT * FROM eod WHERE symbol IN (SELECT symbol FROM uni) AND trade_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')""")
@@ -190,7 +190,7 @@ SCREEN_SQL = FEATURES + CALENDAR + f"""
   WHERE {SIGNAL} AND NOT {BLOCK}),
 """ + score_sql("cand", "scored") + ",\n" + BOOK.format(src="scored", dst="book", mult="1") + """,
 out AS (SELECT b.*, coalesce(up, FALSE) AS risk_on FROM book b LEFT JOIN gate USING (trade_date))"""
-SCREEN_COLS = ("trade_date:d symbol sector close_price:f8 clr:f deliv_trail:f deliv_per:f vol_ratio:f ret:f close_vs_vwap:f "
+SCREEN_COLS = ("trade_date:d symbol sector close_price:r clr:f deliv_trail:f deliv_per:f vol_ratio:f ret:f close_vs_vwap:f "
                "rs_idx_cum:f score:f weight:f risk_on:b position:i")
 
 
@@ -304,8 +304,8 @@ ref AS (SELECT r1.symbol, trade_date, coalesce(s.sector, '_' || r1.symbol) AS se
     p9 AS (PARTITION BY r1.symbol ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING))"""
 
 
-@register("live_reference", "MT9 W7", "symbol trade_date:d sector ref_close:f8 prev_close:f8 vol_med20:f atr14:f deliv_trail:f "
-          "deliv_trail_prior:f rs_cum9:f rs_cum9_prior:f pdh:f8 pdl:f8", REF + ", out AS (SELECT * FROM ref WHERE turnover_lacs >= 4)")
+@register("live_reference", "MT9 W7", "symbol trade_date:d sector ref_close:r prev_close:r vol_med20:f atr14:f deliv_trail:f "
+          "deliv_trail_prior:f rs_cum9:f rs_cum9_prior:f pdh:r pdl:r", REF + ", out AS (SELECT * FROM ref WHERE turnover_lacs >= 4)")
 def live_reference(spark, sf):
     from ..operators.boards import reference_table
     return reference_table(B.eod(spark, sf), B.index(spark, sf), B.sectors(spark, sf), LOOSE)

@@ -2,7 +2,8 @@
 
 A query is registered with the columns it returns, the Spark plan, and an independent SQL body for
 the same answer. The column list drives one shared output convention on both sides: dates and
-times as text, doubles rounded, counts as long.
+times as text (d, t), doubles rounded to a number of digits (f6) or raw where they are copied or a
+single division (r), counts as long (i), flags (b), text by default.
 """
 from __future__ import annotations
 
@@ -43,6 +44,8 @@ def finish(df: DataFrame, spec: str) -> DataFrame:
             c = c.cast("bigint")
         elif kind == "b":
             c = c.cast("boolean")
+        elif kind == "r":
+            c = c.cast("double")
         elif kind.startswith("f"):
             r = F.round(c.cast("double"), int(kind[1:] or 6))
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
@@ -62,6 +65,8 @@ def finish_sql(body: str, spec: str) -> str:
             e = f"CAST({q} AS BIGINT)"
         elif kind == "b":
             e = f"CAST({q} AS BOOLEAN)"
+        elif kind == "r":
+            e = f"CAST({q} AS DOUBLE)"
         elif kind.startswith("f"):
             n = int(kind[1:] or 6)
             r = f"round(CAST({q} AS DOUBLE), {n})"
