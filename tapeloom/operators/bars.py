@@ -146,10 +146,13 @@ def session_vwap(bars: DataFrame, keys: list[str]) -> DataFrame:
         F.when(v > 0, F.sum(tp * F.col("volume")) / v).otherwise(F.max_by("close", "ts")).alias("vwap"))
 
 
-def last_minutes_vwap(bars: DataFrame, keys: list[str], from_minute: int = Session().last30_min) -> DataFrame:
-    """VWAP of the closing stretch of the session; missing when nothing traded in it."""
+def last_minutes_vwap(bars: DataFrame, keys: list[str], late: Column | None = None) -> DataFrame:
+    """VWAP of the closing stretch of the session (by default from 15:00); missing when nothing
+    traded in it."""
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    late = F.when(minute_of_day(F.col("ts")) >= from_minute, F.col("volume"))
+    if late is None:
+        late = minute_of_day(F.col("ts")) >= Session().last30_min
+    late = F.when(late, F.col("volume"))
     return bars.groupBy(*keys).agg(F.when(F.sum(late) > 0, F.sum(tp * late) / F.sum(late)).alias("close30"))
 
 

@@ -206,7 +206,7 @@ out AS (SELECT symbol, d, sum(tp * volume) / sum(volume) AS vwap, sum(tp * volum
   FROM day GROUP BY 1, 2)""")
 def session_vwap(spark, sf):
     b = _bars(spark, sf).withColumn("d", F.to_date("ts"))
-    return bo.session_vwap(b, ["symbol", "d"]).join(bo.last_minutes_vwap(b, ["symbol", "d"], 22 * 60), ["symbol", "d"])
+    return bo.session_vwap(b, ["symbol", "d"]).join(bo.last_minutes_vwap(b, ["symbol", "d"], F.hour("ts") >= 22), ["symbol", "d"])
 
 
 ANATOMY = """CASE WHEN high <= low THEN 'flat' WHEN abs(close - open) / (high - low) >= 0.7 THEN CASE WHEN close >= open THEN 'marubozu_bull' ELSE 'marubozu_bear' END
