@@ -79,10 +79,10 @@ def volume_pace(spark, sf):
 @register("risk_levels", "SC10 SC11", "trade_date:d symbol entry:f limit_buy:f stop:f t1:f t2:f risk_pct:f rr1:f atr_pct:f s_stop:f s_t1:f s_t2:f",
           FEATURES + """,
 l0 AS (SELECT *, CASE WHEN low_price < close_price THEN greatest(close_price - atr14, low_price) ELSE close_price - atr14 END AS st FROM feat WHERE atr14 IS NOT NULL),
-out AS (SELECT *, round_even(CAST(close_price AS DECIMAL(38, 10)), 2) AS entry, round_even(CAST(low_price AS DECIMAL(38, 10)), 2) AS limit_buy, round_even(CAST(st AS DECIMAL(38, 10)), 2) AS stop, round_even(CAST(close_price + atr14 AS DECIMAL(38, 10)), 2) AS t1,
-  round_even(CAST(close_price + 2 * atr14 AS DECIMAL(38, 10)), 2) AS t2, round_even(CAST(100 * (close_price - st) / close_price AS DECIMAL(38, 10)), 2) AS risk_pct,
-  CASE WHEN close_price - st > 0 THEN round_even(CAST(atr14 / (close_price - st) AS DECIMAL(38, 10)), 2) END AS rr1, round_even(CAST(100 * atr14 / close_price AS DECIMAL(38, 10)), 2) AS atr_pct,
-  round_even(CAST(close_price + atr14 AS DECIMAL(38, 10)), 2) AS s_stop, round_even(CAST(close_price - atr14 AS DECIMAL(38, 10)), 2) AS s_t1, round_even(CAST(close_price - 2 * atr14 AS DECIMAL(38, 10)), 2) AS s_t2 FROM l0)""")
+out AS (SELECT *, round_even(CAST(CAST(close_price AS VARCHAR) AS DECIMAL(38, 16)), 2) AS entry, round_even(CAST(CAST(low_price AS VARCHAR) AS DECIMAL(38, 16)), 2) AS limit_buy, round_even(CAST(CAST(st AS VARCHAR) AS DECIMAL(38, 16)), 2) AS stop, round_even(CAST(CAST(close_price + atr14 AS VARCHAR) AS DECIMAL(38, 16)), 2) AS t1,
+  round_even(CAST(CAST(close_price + 2 * atr14 AS VARCHAR) AS DECIMAL(38, 16)), 2) AS t2, round_even(CAST(CAST(100 * (close_price - st) / close_price AS VARCHAR) AS DECIMAL(38, 16)), 2) AS risk_pct,
+  CASE WHEN close_price - st > 0 THEN round_even(CAST(CAST(atr14 / (close_price - st) AS VARCHAR) AS DECIMAL(38, 16)), 2) END AS rr1, round_even(CAST(CAST(100 * atr14 / close_price AS VARCHAR) AS DECIMAL(38, 16)), 2) AS atr_pct,
+  round_even(CAST(CAST(close_price + atr14 AS VARCHAR) AS DECIMAL(38, 16)), 2) AS s_stop, round_even(CAST(CAST(close_price - atr14 AS VARCHAR) AS DECIMAL(38, 16)), 2) AS s_t1, round_even(CAST(CAST(close_price - 2 * atr14 AS VARCHAR) AS DECIMAL(38, 16)), 2) AS s_t2 FROM l0)""")
 def risk_levels(spark, sf):
     d = ft.add_features(B.eod(spark, sf), LOOSE).where("atr14 IS NOT NULL")
     px, atr = F.col("close_price"), F.col("atr14")
