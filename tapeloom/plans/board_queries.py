@@ -554,25 +554,48 @@ def repriced_board(spark, sf):
 
 
 # --- short horizon -------------------------------------------------------------------------------
-@register("side_by_bar", "W37 W34 W35", "symbol ts:t setup side", H4 + struct_sql("h4", "symbol") + """,
+_LOW = struct_sql("fz", "symbol").lstrip(",\n")
+for _old, _new in (("s0", "k0"), ("s1", "k1"), ("s2", "k2"), ("s4", "k5"), ("stru", "lstru")):
+    _LOW = re.sub(rf"(?m)(^{_old} AS|FROM {_old}\b)", lambda m, o=_old, n=_new: m[0].replace(o, n), _LOW)
+_LOW = re.sub(r"(?m)(^s3 AS|FROM s3\b)", lambda m: m[0].replace("s3", "k3"), _LOW)
+
+
+def sides_sql(delay: int) -> str:
+    """CTE `sides`: verdict per fine bar from the newest coarse bar `delay` minutes back."""
+    return H4 + struct_sql("h4", "symbol") + f""",
 hstr AS (SELECT symbol, ts AS hts, struct AS struct_H, box_hi AS box_hi_H, box_lo AS box_lo_H, n AS n_H FROM stru),
 fz AS (SELECT * FROM fine),
-{LOW},
-pair AS (SELECT l.symbol, l.ts, l.close AS ltp, l.n AS ln, l.struct AS struct_L, h.* EXCLUDE (symbol) FROM lstru l ASOF LEFT JOIN hstr h ON h.symbol = l.symbol AND l.ts - INTERVAL 180 MINUTES >= h.hts),
-{SYN},
-out AS (SELECT symbol, ts, setup, CASE WHEN ln >= 5 AND coalesce(n_H >= 5, FALSE) THEN side END AS side FROM sd)""".replace(
-    "{LOW}", struct_sql("fz", "symbol").lstrip(",\n").replace("s0 AS", "k0 AS").replace("FROM s0", "FROM k0").replace("s1 AS", "k1 AS").replace("FROM s1", "FROM k1")
-    .replace("s2 AS", "k2 AS").replace("FROM s2", "FROM k2").replace("\ns3 AS", "\nk3 AS").replace("FROM s3", "FROM k3").replace("s4 AS", "k4b AS").replace("FROM s4", "FROM k4b")
-    .replace("stru AS", "lstru AS")).replace("{SYN}", synth_sql("H", "L", "pair", "sd")))
+{_LOW},
+pair AS (SELECT l.symbol, l.ts, l.close AS ltp, l.n AS ln, l.struct AS struct_L, h.* EXCLUDE (symbol) FROM lstru l
+  ASOF LEFT JOIN hstr h ON h.symbol = l.symbol AND l.ts - INTERVAL {delay} MINUTES >= h.hts),
+{synth_sql("H", "L", "pair", "sd")},
+sides AS (SELECT symbol, ts, setup, ltp, CASE WHEN ln >= 5 AND coalesce(n_H >= 5, FALSE) THEN side END AS side FROM sd)"""
+
+
+@register("side_by_bar", "W37 W34 W35", "symbol ts:t setup side", sides_sql(180) + ", out AS (SELECT * FROM sides)")
 def side_by_bar(spark, sf):
     fine = td.bars(spark, sf, 60)
     return sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 180)
 
 
-@register("short_entries", "W35", "symbol entered at:f", None)
+@register("short_entries", "W35", "symbol d:d entered at:f", sides_sql(0) + """,
+dd AS (SELECT *, CAST(ts AS DATE) AS d FROM sides),
+eod_side AS (SELECT symbol, d, arg_max(side, ts) AS last_side FROM dd WHERE side IS NOT NULL GROUP BY 1, 2),
+hit AS (SELECT symbol, d, min(ts) AS ts, arg_min(ltp, ts) AS px FROM dd WHERE side = 'SHORT' GROUP BY 1, 2),
+cut AS (SELECT unnest([DATE '2024-01-10', DATE '2024-01-20', DATE '2024-01-30']) AS c),
+nd AS (SELECT c, symbol, max(d) AS d FROM dd, cut WHERE d <= c GROUP BY 1, 2),
+bf AS (SELECT n.symbol, n.d, (SELECT arg_max(side, ts) FROM dd WHERE dd.symbol = n.symbol AND dd.d < n.d AND side IS NOT NULL) AS before FROM nd n),
+out AS (SELECT b.symbol, b.d, strftime(ts, '%H:%M') AS entered, round_even(px, 2) AS "at" FROM bf b JOIN hit h ON h.symbol = b.symbol AND h.d = b.d WHERE coalesce(before <> 'SHORT', TRUE))""")
 def short_entries(spark, sf):
     fine = td.bars(spark, sf, 60)
-    return sh.short_entry(sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 0))
+    sides = sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 0)
+    out = None
+    for day in ("2024-01-10", "2024-01-20", "2024-01-30"):       # three as-of days
+        seen = sides.where(F.to_date("ts") <= F.lit(day))
+        newest = seen.groupBy("symbol").agg(F.max(F.to_date("ts")).alias("d"))
+        part = sh.short_entry(seen).join(newest, "symbol")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("energy", "A34", "symbol rv10:f rvol:f", BARS + """,
