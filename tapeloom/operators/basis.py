@@ -9,7 +9,7 @@ from ..functions.ranking import prefix_counts, spread_median
 from ..functions.rolling import axis, nz, yes
 from ..functions.scalars import carry_tag
 from ..params import Basis
-from ..session import stage
+from ..session import known_size, stage
 from .regime import expanding_pct
 
 DAY = "trade_date"
@@ -48,7 +48,7 @@ def quintile(d: DataFrame, by: str, value: str, out: str) -> DataFrame:
     distinct = d.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c")).groupBy(by).agg(
         F.count(value).alias("_distinct"))
     q = F.greatest(F.lit(1), F.ceil(5 * F.col("_before") / (F.col("_total") - 1)))
-    return pos.join(distinct, by).select(by, "symbol", F.when(F.col("_distinct") >= 5, q).alias(out))
+    return pos.join(known_size(distinct), by).select(by, "symbol", F.when(F.col("_distinct") >= 5, q).alias(out))
 
 
 def carry_board(futures: DataFrame, spot: DataFrame, p: Basis = Basis()) -> DataFrame:
@@ -56,7 +56,7 @@ def carry_board(futures: DataFrame, spot: DataFrame, p: Basis = Basis()) -> Data
     flag, basis quintile, confirmation and tag."""
     d = stage(basis_columns(near_next(futures, spot), p))
     med = spread_median(d, [DAY], "basis_pct", ["symbol"], "_med")
-    d = d.join(med, DAY).join(quintile(d, DAY, "basis_ann", "q"), [DAY, "symbol"], "left")
+    d = d.join(known_size(med), DAY).join(quintile(d, DAY, "basis_ann", "q"), [DAY, "symbol"], "left")
     d = d.withColumn("div_impl", F.col("_med") - F.col("basis_pct"))
     d = d.withColumn("exdiv", F.col("div_impl") > p.exdiv)
     d = d.withColumn("confirm", yes(F.col("q") >= p.confirm_q) & ~F.col("exdiv"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions.rolling import roll_mean, roll_median, roll_sum, series, true_range, yes
 from ..params import Levels, Session, Signal
-from ..session import stage
+from ..session import known_size, stage
 from ..sources.panel import with_sector
 from . import bars as bo
 from . import synthesis as sy
@@ -26,7 +26,7 @@ def reference_table(panel: DataFrame, index: DataFrame, sectors: DataFrame,
     w = series("symbol")
     n = win.rs_lookback - 1
     pc = F.lag("close_price").over(w)
-    d = panel.join(index_day_returns(index), "trade_date", "left").withColumns({
+    d = panel.join(known_size(index_day_returns(index)), "trade_date", "left").withColumns({
         "prev_c": pc, "_tr": true_range(F.col("high_price"), F.col("low_price"), pc),
         "_rs": F.col("close_price") / pc - 1 - F.col("idx_ret")})
     d = d.withColumns({
@@ -64,7 +64,7 @@ BOARD_KEYS = ["trade_date", "symbol"]
 def quote_legs(quotes: DataFrame, ref: DataFrame, index_pct: DataFrame, minute: int, p: Signal = Signal()) -> DataFrame:
     """Quote beside its reference row: candle anatomy, day move, relative strength, volume pace,
     risk levels, turnover proxy. `index_pct` is (trade_date, idx_pct)."""
-    d = quotes.join(ref, BOARD_KEYS).join(index_pct, "trade_date", "left")
+    d = quotes.join(ref, BOARD_KEYS).join(known_size(index_pct), "trade_date", "left")
     pc = F.coalesce(F.when(F.col("prev_close_price") != 0, F.col("prev_close_price")), F.col("ref_close"))
     d = d.withColumn("pc", pc).where("open_price IS NOT NULL AND high_price IS NOT NULL AND low_price IS NOT NULL "
                                      "AND lp IS NOT NULL AND pc <> 0")
@@ -142,7 +142,8 @@ def overnight_book(board: DataFrame, p: Signal = Signal(), size_mult: float = 1.
 
 
 def gate_rows(d: DataFrame, gate: DataFrame) -> DataFrame:
-    return d.join(gate.select("trade_date", F.col("up").alias("risk_on")), "trade_date", "left").withColumn("risk_on", yes(F.col("risk_on")))
+    g = known_size(gate.select("trade_date", F.col("up").alias("risk_on")))
+    return d.join(g, "trade_date", "left").withColumn("risk_on", yes(F.col("risk_on")))
 
 
 def action_counts(board: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import nz
 from ..params import Delivery
+from ..session import known_size
 
 
 def _usable(panel: DataFrame, as_of, days: int) -> DataFrame:
@@ -51,6 +52,7 @@ def delivery_trend(panel: DataFrame, as_of, p: Delivery = Delivery(), bucket: st
     slots = (d.select("slot").distinct().orderBy(F.col("slot").desc()).limit(p.slots)
              .withColumn("back", F.row_number().over(w))
              .withColumn("n_slots", F.max("back").over(Window.partitionBy(F.lit(0)))))
+    slots = known_size(slots)
     last_slot = slots.agg(F.max("slot")).scalar()
     cut = slots.agg(F.min("slot")).scalar() if daily else slots.agg(F.date_sub(F.max("slot"), 6)).scalar()
     d = d.join(slots, "slot", "left").withColumn("_old", F.col("trade_date") < cut)

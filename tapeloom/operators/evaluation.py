@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import series, yes
 from ..params import Calibration, Signal
+from ..session import known_size
 from .features import add_features, add_relative_strength, conviction_score, signal_mask
 from .regime import regime_gate
 from .selection import top_per_session
@@ -24,7 +25,7 @@ def add_forward_returns(panel: DataFrame) -> DataFrame:
 def prepare(panel: DataFrame, index: DataFrame, p: Signal = Signal()) -> DataFrame:
     """Features, relative strength, forward returns and the gate, without incomplete rows."""
     d = add_forward_returns(add_relative_strength(add_features(panel, p), index, p))
-    return (d.join(regime_gate(index, p), "trade_date", "left")
+    return (d.join(known_size(regime_gate(index, p)), "trade_date", "left")
              .withColumn("yr", F.year("trade_date"))
              .na.drop(subset=["clr", "deliv_per", "vol_ratio", "on_bps", "up"]))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import ROWS_PER_PIECE, spread_pct_rank
 from ..functions.rolling import axis, nz, roll_mean, roll_median, roll_sum, series, true_range
 from ..params import Signal
-from ..session import stage
+from ..session import known_size, stage
 
 
 def add_features(panel: DataFrame, p: Signal = Signal()) -> DataFrame:
@@ -41,10 +41,9 @@ def index_day_returns(index: DataFrame) -> DataFrame:
 
 
 def add_relative_strength(feat: DataFrame, index: DataFrame, p: Signal = Signal()) -> DataFrame:
-    """Daily and cumulative return in excess of the index. The index side has one row per session,
-    so Spark's size statistics turn the join into a broadcast on their own."""
+    """Daily and cumulative return in excess of the index."""
     w = series("symbol")
-    d = feat.join(index_day_returns(index), "trade_date", "left")
+    d = feat.join(known_size(index_day_returns(index)), "trade_date", "left")
     d = d.withColumn("rs_idx", F.col("ret") - F.col("idx_ret"))
     return d.withColumn("rs_idx_cum", roll_sum(F.col("rs_idx"), w, p.rs_lookback))
 

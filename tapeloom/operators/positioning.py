@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import asof
+from ..session import known_size
 
 DAY = "trade_date"
 
@@ -54,7 +55,7 @@ def asof_labels(board: DataFrame, labels: DataFrame, cols: list[str]) -> DataFra
     as-of step runs on the distinct dates only, the rest is an equi join."""
     dates = board.select(DAY).distinct()
     used = asof(dates, labels.select(DAY).distinct(), DAY, []).withColumnRenamed(f"matched_{DAY}", "date_used")
-    d = board.join(used, DAY, "left")
+    d = board.join(known_size(used), DAY, "left")
     lab = labels.select(F.col(DAY).alias("date_used"), "symbol", *cols)
     d = d.join(lab, ["date_used", "symbol"], "left")
     return d.withColumns({**{c: F.coalesce(c, F.lit("—")) for c in cols},

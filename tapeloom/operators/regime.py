@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import axis, compound, nz, roll_mean, roll_std, yes
 from ..params import Regime, Signal
+from ..session import known_size
 
 def regime_gate(index: DataFrame, p: Signal = Signal()) -> DataFrame:
     """(trade_date, up): close above its moving average; unknown counts as not up."""
@@ -19,7 +20,7 @@ def regime_gate(index: DataFrame, p: Signal = Signal()) -> DataFrame:
 
 def gate_on(dates: DataFrame, index: DataFrame, p: Signal = Signal()) -> DataFrame:
     """The gate on given dates; a date without an index row reads False."""
-    return (dates.join(regime_gate(index, p), "trade_date", "left")
+    return (dates.join(known_size(regime_gate(index, p)), "trade_date", "left")
                  .withColumn("up", yes(F.col("up"))))
 
 

@@ -13,7 +13,7 @@ from ..functions.asof import asof
 from ..functions.ranking import pct_rank, spread_median
 from ..functions.rolling import axis, compound, nz, series, yes
 from ..params import Regime, Tilt
-from ..session import stage
+from ..session import known_size, stage
 from .regime import regime_history
 
 KEY = ["trade_date", "sector"]
@@ -59,7 +59,7 @@ def with_slot(d: DataFrame) -> DataFrame:
     """Number the sessions of a panel. A window over the session number counts market sessions, so
     a missing symbol-day takes up a slot without the grid ever being filled in."""
     slots = d.select("trade_date").distinct().withColumn("slot", F.row_number().over(axis()))
-    return d.join(slots, "trade_date")
+    return d.join(known_size(slots), "trade_date")
 
 
 def delivery_state(deliv: DataFrame, t: Tilt = Tilt()) -> DataFrame:
@@ -78,18 +78,18 @@ def delivery_state(deliv: DataFrame, t: Tilt = Tilt()) -> DataFrame:
         "_flow": F.avg(y).over(w.rangeBetween(-(t.dv_flow - 1), 0)),
         "_n": F.count(y).over(trend), "_sy": F.sum(y).over(trend),
         "_sx": F.sum(x).over(trend), "_sxy": F.sum(x * y).over(trend)})
-    size = F.size("_hist")
-    mid = (F.element_at("_hist", ((size + 1) / 2).cast("int")) + F.element_at("_hist", ((size + 2) / 2).cast("int"))) / 2
-    med = F.when(size >= t.deliv_min_hist, mid)
+    # explode of a one-element array evaluates the sorted window once; as a plain column it would be
+    # copied into every expression and filter that reads it
+    d = d.withColumn("_m", F.explode(F.transform(F.array("_hist"), _median_and_pin)))
+    med = F.when(F.col("_m.n") >= t.deliv_min_hist, F.col("_m.med"))
     denom = sum((i - m) ** 2 for i in range(t.slope_win))
     centre = x - m
     raw = (F.col("_sxy") - centre * F.col("_sy")
            - F.col("_sy") / F.col("_n") * (F.col("_sx") - centre * F.col("_n"))) / denom
     raw = F.when(x >= t.slope_win, raw) / nz(med)
     ratio5 = F.col("_flow") / nz(F.col("_base"))
-    pinned = 2 * F.size(F.filter("_hist", lambda v: v == F.col("_med"))) > size
-    d = d.withColumn("_med", med).withColumns({
-        "ratio5": ratio5, "slope": F.when(F.abs(raw) > 1e-12, raw).otherwise(0.0), "_pinned": pinned})
+    d = d.withColumns({"_med": med, "ratio5": ratio5, "slope": F.when(F.abs(raw) > 1e-12, raw).otherwise(0.0),
+                       "_pinned": F.col("_m.pinned")})
     usable = ((F.col("_med").isNotNull()) & (F.col("turnover_lacs") >= t.min_turnover)
               & F.col("ratio5").isNotNull() & ~F.col("_pinned"))
     return d.where(usable).select(
@@ -97,6 +97,15 @@ def delivery_state(deliv: DataFrame, t: Tilt = Tilt()) -> DataFrame:
         ((F.col("ratio5") > t.accum_r5) & (F.col("slope") > 0)).cast("double").alias("accum"))
 
 
+def _median_and_pin(h: Column) -> Column:
+    """Length, median and "more than half equal the median" of an ascending array."""
+    n = F.size(h)
+    med = F.when(n > 0, (F.element_at(h, F.greatest(((n + 1) / 2).cast("int"), F.lit(1)))
+                         + F.element_at(h, F.greatest(((n + 2) / 2).cast("int"), F.lit(1)))) / 2)
+    # a value that fills more than half of a sorted array sits in its middle, so it is the median
+    return F.struct(n.alias("n"), med.alias("med"), (2 * F.size(F.filter(h, lambda v: v == med)) > n).alias("pinned"))
+
+
 def breadth(state: DataFrame, t: Tilt = Tilt()) -> DataFrame:
     """Share of accumulating names and median slope per sector; at least min_names names."""
     g = state.groupBy(*KEY).agg(F.avg("accum").alias("accum_breadth"), F.count(F.lit(1)).alias("n_names"))
@@ -156,12 +165,13 @@ def sector_tilt(daily: DataFrame, master: DataFrame, nifty: DataFrame, start=Non
     d = d.join(br.drop("n_names"), KEY, "left").join(persistence(panel, t).drop("pers_n"), KEY, "left")
     if start is not None:
         d = d.where(F.col("trade_date") >= F.lit(start))
+    d = stage(d)                                 # sector-level: sessions x sectors
     reg = regime_history(nifty, r) if regime is None else regime
     reg_cols = [c for c in reg.columns if c != "trade_date"]
     dates = d.select("trade_date").distinct()
     context = asof(asof(dates, index_momentum(nifty, t), "trade_date", ["n2", "n1"]).drop("matched_trade_date"),
                    reg, "trade_date", reg_cols).drop("matched_trade_date")
-    d = d.join(context, "trade_date")
+    d = d.join(known_size(context), "trade_date")
     day = Window.partitionBy("trade_date")
     d = d.withColumns({"rs_2w": F.col("mom_2w") - F.col("n2"), "rs_1w": F.col("mom_1w") - F.col("n1"),
                        "thin": F.col("n_liq") < t.min_names, "n_sectors": F.count(F.lit(1)).over(day)})

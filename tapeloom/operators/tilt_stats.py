@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Signal
+from ..session import known_size
 
 OW, UW = "OVERWEIGHT", "UNDERWEIGHT"
 
@@ -15,8 +16,8 @@ def tagged_signals(sel: DataFrame, universe: DataFrame, tilt: DataFrame, p: Sign
     the liquid universe. `sel` carries sector, on_bps and d2_bps; `universe` is the prepared panel."""
     night = (universe.where(F.col("turnover_lacs") >= p.liq_lacs).groupBy("trade_date")
              .agg(F.avg("on_bps").alias("univ_on")))
-    d = (sel.join(tilt.select("trade_date", "sector", "tilt"), ["trade_date", "sector"], "left")
-            .join(night, "trade_date", "left"))
+    d = (sel.join(known_size(tilt.select("trade_date", "sector", "tilt")), ["trade_date", "sector"], "left")
+            .join(known_size(night), "trade_date", "left"))
     return d.withColumns({"net": F.col("on_bps") - p.cost_bps, "excess": F.col("on_bps") - F.col("univ_on")})
 
 

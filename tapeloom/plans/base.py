@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import screen as scr
 from ..operators.calendar import parse_calendar
 from ..params import Signal
+from ..session import stage
 from ..sources import panel as src
 from ..sources import testdata as td
 
@@ -114,16 +115,39 @@ def score_sql(src: str, dst: str, by: str = "trade_date") -> str:
 {dst} AS (SELECT *, round({' + '.join(pct_rank_sql(c, by) for c in legs)}, 9) AS score FROM {dst}0)"""
 
 
+_staged: dict = {}
+
+
+def new_run() -> None:
+    """Forget the inputs staged by the query before; every query builds its own."""
+    _staged.clear()
+
+
+def _once(name: str, make) -> DataFrame:
+    if name not in _staged:
+        _staged[name] = stage(make())
+    return _staged[name]
+
+
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The session panel, aggregated from the prints once per query."""
+    return _once("panel", lambda: td.eod_panel(spark, sf))
+
+
 def eod(spark: SparkSession, sf: str) -> DataFrame:
-    return src.load_eod(td.eod_panel(spark, sf))
+    return src.load_eod(panel(spark, sf))
 
 
 def index(spark: SparkSession, sf: str) -> DataFrame:
-    return src.load_index(td.index_series(spark, sf), INDEX)
+    return _once("index", lambda: src.load_index(td.index_series(panel(spark, sf)), INDEX))
 
 
 def nifty(spark: SparkSession, sf: str) -> DataFrame:
-    return src.index_returns(td.index_series(spark, sf), INDEX)
+    return src.index_returns(td.index_series(panel(spark, sf)), INDEX)
+
+
+def futures(spark: SparkSession, sf: str) -> DataFrame:
+    return td.derivatives(panel(spark, sf))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:

@@ -309,7 +309,7 @@ def baseline_health(spark, sf):
 @register("missing_sessions", "J23", "trade_date:d", PANEL + """,
 out AS (SELECT DISTINCT trade_date FROM panel WHERE trade_date < DATE '2001-06-01' AND trade_date > (SELECT max(trade_date) FROM panel WHERE trade_date < DATE '2001-02-01'))""")
 def missing_sessions(spark, sf):
-    d = td.eod_panel(spark, sf)
+    d = B.panel(spark, sf)
     return bd.missing_sessions(d, d.where("trade_date < '2001-02-01'"), "2001-06-01")
 
 

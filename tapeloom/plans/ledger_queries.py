@@ -83,7 +83,7 @@ def ledger_reconcile(spark, sf):
 out AS (SELECT date, symbol, count(*) OVER () AS n_stale FROM picks
   WHERE date < (SELECT max(trade_date) FROM panel WHERE series = 'EQ'))""")
 def ledger_stale_opens(spark, sf):
-    return lg.stale_opens(_picks(spark, sf), src.last_session(td.eod_panel(spark, sf)))
+    return lg.stale_opens(_picks(spark, sf), src.last_session(B.panel(spark, sf)))
 
 
 @register("ledger_summary", "A19", "trades:i win:f mean_bps:f4 total_bps:f2 worst_bps:f2", CLOSED + """,
@@ -197,17 +197,17 @@ carry AS (SELECT *, coalesce(q >= 5, FALSE) AND NOT exdiv AS confirm FROM carry0
 
 
 def _spot(spark, sf):
-    return td.eod_panel(spark, sf).where("series = 'EQ' AND close_price > 0")
+    return B.panel(spark, sf).where("series = 'EQ' AND close_price > 0")
 
 
 def _carry(spark, sf):
-    return bs.carry_board(td.derivatives(spark, sf), _spot(spark, sf))
+    return bs.carry_board(B.futures(spark, sf), _spot(spark, sf))
 
 
 @register("near_next_contracts", "J4 J5 W13 F10", "trade_date:d symbol fut:r dte:i oi:i fut_next:r dte_next:i spot:r turnover_lacs:f8",
           FUT + ", out AS (SELECT * FROM nn)")
 def near_next_contracts(spark, sf):
-    return bs.near_next(td.derivatives(spark, sf), _spot(spark, sf))
+    return bs.near_next(B.futures(spark, sf), _spot(spark, sf))
 
 
 @register("carry_board", "E7 SC21 SC22 SC23 W14", "trade_date:d symbol basis_pct:f basis_ann:f4 roll_ann:f4 div_impl:f exdiv:b q:i confirm:b tag dte:i",
@@ -226,7 +226,7 @@ ixc AS (SELECT i.trade_date, (f.fut / i.close_val - 1) * 100 * 365 / f.dte AS ca
 @register("index_carry_history", "W36 J6 E7", "trade_date:d carry_ann:f", IXC + """,
 out AS (SELECT * FROM ixc WHERE trade_date <= DATE '2001-01-15' ORDER BY trade_date DESC LIMIT 24)""")
 def index_carry_history(spark, sf):
-    return bs.carry_history(td.derivatives(spark, sf), B.index(spark, sf), "2001-01-15", 24)
+    return bs.carry_history(B.futures(spark, sf), B.index(spark, sf), "2001-01-15", 24)
 
 
 @register("carry_market", "A13 E7", "trade_date:d index_ann:f pctile:f asof:d stale_days:i roll_med:f4 carry_med:f n_exdiv:i n:i", IXC + """,
@@ -238,7 +238,7 @@ out AS (SELECT d.trade_date, p.carry_ann AS index_ann, pctile, p.trade_date AS a
   coalesce(n_exdiv, 0) AS n_exdiv, coalesce(n, 0) AS n FROM dates d ASOF LEFT JOIN pc p ON d.trade_date >= p.trade_date
   LEFT JOIN md ON md.trade_date = d.trade_date)""")
 def carry_market(spark, sf):
-    return bs.carry_market(_carry(spark, sf), td.derivatives(spark, sf), B.index(spark, sf),
+    return bs.carry_market(_carry(spark, sf), B.futures(spark, sf), B.index(spark, sf),
                            B.eod(spark, sf).select("trade_date").distinct())
 
 
@@ -260,7 +260,7 @@ pos AS (SELECT trade_date, symbol, max(label) FILTER (rn = 1) AS fut_near, max(l
 
 @register("futures_positions", "J19", "trade_date:d symbol fut_near fut_next", POS + ", out AS (SELECT * FROM pos)")
 def futures_positions(spark, sf):
-    return ps.futures_positions(td.derivatives(spark, sf))
+    return ps.futures_positions(B.futures(spark, sf))
 
 
 @register("positioning_asof", "J18 J17", "trade_date:d symbol date_used:d stale_days:i fut_near fut_next", POS + """,
@@ -271,7 +271,7 @@ out AS (SELECT e.trade_date, e.symbol, date_used, e.trade_date - date_used AS st
   coalesce(fut_next, '—') AS fut_next FROM eod e JOIN used USING (trade_date)
   LEFT JOIN quarter q ON q.trade_date = date_used AND q.symbol = e.symbol)""")
 def positioning_asof(spark, sf):
-    labels = ps.futures_positions(td.derivatives(spark, sf)).where(F.month("trade_date") % 3 == 1)
+    labels = ps.futures_positions(B.futures(spark, sf)).where(F.month("trade_date") % 3 == 1)
     return ps.asof_labels(B.eod(spark, sf).select("trade_date", "symbol"), labels, ["fut_near", "fut_next"])
 
 

@@ -22,7 +22,7 @@ uni AS (SELECT DISTINCT symbol FROM (SELECT symbol, lead(avg_price) OVER (PARTIT
         FROM panel) WHERE nx IS NOT NULL),
 out AS (SELECT * FROM eod WHERE symbol IN (SELECT symbol FROM uni) AND trade_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')""")
 def eod_scan(spark, sf):
-    return src.load_eod(td.eod_panel(spark, sf), src.derivative_universe(td.derivatives(spark, sf)),
+    return src.load_eod(B.panel(spark, sf), src.derivative_universe(B.futures(spark, sf)),
                         "1996-01-01", "2000-12-31")
 
 
@@ -30,13 +30,13 @@ def eod_scan(spark, sf):
 out AS (SELECT DISTINCT symbol FROM (SELECT symbol, lead(avg_price) OVER (PARTITION BY symbol ORDER BY trade_date) nx
         FROM panel) WHERE nx IS NOT NULL)""")
 def derivative_universe(spark, sf):
-    return src.derivative_universe(td.derivatives(spark, sf))
+    return src.derivative_universe(B.futures(spark, sf))
 
 
 @register("index_window", "SRC3", "trade_date:d close_val:f", PANEL + """,
 out AS (SELECT * FROM idx WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31')""")
 def index_window(spark, sf):
-    return src.load_index(td.index_series(spark, sf), B.INDEX, "1997-01-01", "1999-12-31")
+    return src.load_index(td.index_series(B.panel(spark, sf)), B.INDEX, "1997-01-01", "1999-12-31")
 
 
 @register("index_returns", "SRC4 W6", "trade_date:d close_val:f nret:f", PANEL + ", out AS (SELECT * FROM nifty)")
@@ -58,8 +58,8 @@ out AS (SELECT 'last' AS kind, m AS trade_date FROM mx
     (SELECT trade_date, lead(avg_price) OVER (PARTITION BY symbol ORDER BY trade_date) nx FROM panel)
     WHERE nx IS NOT NULL AND trade_date <= DATE '2000-06-15')""")
 def session_bounds(spark, sf):
-    d = td.eod_panel(spark, sf)
-    dates = src.derivative_dates(td.derivatives(spark, sf))
+    d = B.panel(spark, sf)
+    dates = src.derivative_dates(B.futures(spark, sf))
     return (src.last_session(d).withColumn("kind", F.lit("last"))
             .unionByName(src.last_session(d, before="2000-06-01").withColumn("kind", F.lit("before")))
             .unionByName(src.dated(dates, None, "2000-06-15").agg(F.max("trade_date").alias("trade_date"))
@@ -81,7 +81,7 @@ def event_calendar(spark, sf):
 @register("eod_features", "E1 SC1 SC2 SC3 SC4 W1 W2 W3 W4", "trade_date:d symbol clr:f body:f ret:f close_vs_vwap:f "
           "vwap_in_range:f vol_ratio:f deliv_spike:f deliv_trail:f atr14:f", FEATURES + ", out AS (SELECT * FROM feat)")
 def eod_features(spark, sf):
-    return ft.add_features(B.eod(spark, sf), LOOSE)
+    return ft.add_features(src.load_eod(td.eod_panel(spark, sf)), LOOSE)
 
 
 @register("relative_strength", "J1 W5 W6", "trade_date:d symbol idx_ret:f rs_idx:f rs_idx_cum:f",
@@ -169,7 +169,7 @@ def event_guard_semi(spark, sf):
 out AS (SELECT trade_date, symbol, (SELECT min(c.date) FROM cal c WHERE c.symbol = f.symbol AND c.date > f.trade_date
     AND c.date <= f.trade_date + 3) AS event_date FROM eod f)""")
 def next_event_date(spark, sf):
-    return cal.next_event(B.eod(spark, sf), B.calendar(spark, sf))
+    return cal.next_event(src.load_eod(td.eod_panel(spark, sf)), B.calendar(spark, sf))
 
 
 @register("event_guard_status", "A38", "available:b n:i asof:d", PANEL + CALENDAR + """,
@@ -242,7 +242,7 @@ YEAR_COLS = "year:i n:i gross_on:f4 net_on:f4 win_pct:f total_bps:f3 d2_net:f4"
 
 @register("forward_returns", "SC24 W11", "trade_date:d symbol on_bps:f4 d2_bps:f4", PREP + ", out AS (SELECT * FROM fwd)")
 def forward_returns(spark, sf):
-    return ev.add_forward_returns(B.eod(spark, sf))
+    return ev.add_forward_returns(src.load_eod(td.eod_panel(spark, sf)))
 
 
 @register("prepared_rows", "F18 J2", "trade_date:d symbol yr:i up:b on_bps:f4", PREP + ", out AS (SELECT * FROM prep)")

@@ -132,7 +132,7 @@ TILT_COLS = ("trade_date:d sector score:f rank:f rank_pos:i n_sectors:i tilt rs_
 
 
 def _inputs(spark, sf):
-    return td.eod_panel(spark, sf), td.sector_dim(spark, sf), B.nifty(spark, sf)
+    return B.panel(spark, sf), td.sector_dim(spark, sf), B.nifty(spark, sf)
 
 
 @register("sector_day_aggregate", "A1 SC25 J7", "trade_date:d sector daily_dv_cr:f wtd_ret_pct:f", SECTOR + ", out AS (SELECT * FROM spanel)")

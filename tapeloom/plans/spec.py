@@ -82,8 +82,11 @@ def register(name: str, covers: str, spec: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = Query(name, covers, spec,
-                              lambda spark, sf: finish(fn(spark, sf), spec),
+        def run(spark, sf):
+            from . import base
+            base.new_run()
+            return finish(fn(spark, sf), spec)
+        QUERIES[name] = Query(name, covers, spec, run,
                               None if sql is None else finish_sql(sql, spec))
         return fn
     return wrap

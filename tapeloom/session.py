@@ -46,3 +46,11 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def known_size(df: DataFrame) -> DataFrame:
+    """Stage a table that is meant to be small next to the rows it is joined to (one row per
+    session, per index bar). The planner then knows its size from the files: it broadcasts it while
+    it is under spark.sql.autoBroadcastJoinThreshold and shuffles both sides when it is not. Without
+    this a join on the session would first shuffle the whole panel by date."""
+    return stage(df)

@@ -71,10 +71,10 @@ def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "open", "high", "low", "close", "volume")
 
 
-def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_series(panel: DataFrame) -> DataFrame:
     """Equal-weight mean close of the valid panel rows per session; the stored percent change is
     missing for every row, so readers compute it."""
-    d = eod_panel(spark, sf_dir).where("close_price > 0 AND high_price > low_price AND series = 'EQ'")
+    d = panel.where("close_price > 0 AND high_price > low_price AND series = 'EQ'")
     return (d.groupBy("trade_date").agg(F.avg("close_price").alias("close_val"))
              .select(F.lit("MKT").alias("index_name"), "trade_date", "close_val",
                      F.lit(None).cast("double").alias("pct_chg")))
@@ -103,10 +103,10 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("").alias("bm_desc")))
 
 
-def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derivatives(panel: DataFrame) -> DataFrame:
     """Near and next contracts per (symbol, session), priced at the mean price of the following
     sessions, plus two contracts on the index."""
-    d = eod_panel(spark, sf_dir)
+    d = panel
     w = Window.partitionBy("symbol").orderBy("trade_date")
     key = F.substring("symbol", 2, 20).cast("bigint")
     near_days = (1 + key % 30).cast("int")
@@ -122,7 +122,7 @@ def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col(f"no_of_trades{n}").alias("contracts")) for n in (1, 2)])).alias("c")
     ).select("trade_date", "instrument", "symbol", "c.*").where("close_price IS NOT NULL")
     iw = Window.partitionBy("index_name").orderBy("trade_date")
-    ix = index_series(spark, sf_dir).withColumns(
+    ix = index_series(panel).withColumns(
         {f"next{n}": F.lead("close_val", n).over(iw) for n in (1, 2)}).select(
         "trade_date", F.lit("FUTIDX").alias("instrument"), F.col("index_name").alias("symbol"),
         F.explode(F.array(*[F.struct(
