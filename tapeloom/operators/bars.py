@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import asof
-from ..functions.rolling import yes
+from ..functions.rolling import nz, yes
 from ..functions.scalars import day_fraction, minute_of_day, price_action
 from ..params import Levels, Session, Signal
 
@@ -121,7 +121,7 @@ def back_adjust(bars: DataFrame, gap: float = Levels().gap, keys: list[str] = ("
     """Scale every bar in front of a corporate action onto the scale after it: the factor of a bar
     is the product of the close ratios of all later actions. Fewer than three bars stay as they are."""
     w = Window.partitionBy(*keys).orderBy("ts")
-    ratio = F.lead("close").over(w) / F.col("close")
+    ratio = F.lead("close").over(w) / nz(F.col("close"))
     event = (F.abs(ratio - 1) > gap) & (ratio > 0)
     later = w.rowsBetween(0, Window.unboundedFollowing)
     d = bars.withColumn("_ln", F.when(event, F.ln(ratio)))
@@ -166,7 +166,7 @@ def session_state(bars: DataFrame, keys: list[str]) -> DataFrame:
         F.when(v > 0, F.sum(tp * F.col("volume")) / v).otherwise(F.max_by("close", "ts")).alias("vwap"),
         F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_bars"))
     d = d.withColumns(price_action(F.col("open"), F.col("high"), F.col("low"), F.col("ltp")))
-    return d.withColumns({"vs_vwap": 100 * (F.col("ltp") / F.col("vwap") - 1), "above_vwap": F.col("ltp") >= F.col("vwap")})
+    return d.withColumns({"vs_vwap": 100 * (F.col("ltp") / nz(F.col("vwap")) - 1), "above_vwap": F.col("ltp") >= F.col("vwap")})
 
 
 def rsi_columns(close: str, n: str, rn: str, period: int, drop_last: int = 0) -> tuple[Column, Column]:
@@ -224,7 +224,7 @@ def first_trigger(running: DataFrame, keys: list[str], p: Signal = Signal(), bar
 
     `running` carries prev_close, and ref_volume / rs_base / idx_ret for the optional legs; a
     missing baseline leaves that leg out. The pace leg reads the clock at the bar's close."""
-    day_ret = F.col("close") / F.col("prev_close") - 1
+    day_ret = F.col("close") / nz(F.col("prev_close")) - 1
     cvwap = F.when(F.col("run_vwap") > 0, (F.col("close") - F.col("run_vwap")) / F.col("run_vwap")).otherwise(0.0)
     ok = (day_ret >= p.ret) & (F.col("run_clr") >= p.clr) & (cvwap >= p.close_vs_vwap) & (F.col("prev_close") != 0)
     if rs:
@@ -244,7 +244,7 @@ def index_at_bars(bars: DataFrame, index: DataFrame, prev_close: str = "prev_clo
     """Index return so far at each bar time of a session: the last index bar at or before it, 0 where
     there is none. The as-of step runs on the distinct bar times."""
     axis = bars.select(F.to_date("ts").alias("_day"), "ts").distinct()
-    ix = index.select(F.to_date("ts").alias("_day"), "ts", (F.col("close") / F.col(prev_close) - 1).alias("idx_ret"))
+    ix = index.select(F.to_date("ts").alias("_day"), "ts", (F.col("close") / nz(F.col(prev_close)) - 1).alias("idx_ret"))
     a = asof(axis, ix, "ts", ["idx_ret"], by=["_day"]).drop("matched_ts", "_day")
     return bars.join(a, "ts", "left").withColumn("idx_ret", F.coalesce("idx_ret", F.lit(0.0)))
 

@@ -38,7 +38,7 @@ def basis_columns(d: DataFrame, p: Basis = Basis()) -> DataFrame:
     pct = (F.col("fut") / F.col("spot") - 1) * 100
     span = nz(F.col("dte_next") - F.col("dte"))
     return d.withColumns({"basis_pct": pct, "basis_ann": pct * 365 / F.col("dte"),
-                          "roll_ann": (F.col("fut_next") / F.col("fut") - 1) * 100 * 365 / span})
+                          "roll_ann": (F.col("fut_next") / nz(F.col("fut")) - 1) * 100 * 365 / span})
 
 
 def quintile(d: DataFrame, by: str, value: str, out: str) -> DataFrame:
@@ -47,7 +47,7 @@ def quintile(d: DataFrame, by: str, value: str, out: str) -> DataFrame:
     pos = prefix_counts(d.select(by, "symbol", value), [by], [value, "symbol"])
     distinct = d.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c")).groupBy(by).agg(
         F.count(value).alias("_distinct"))
-    q = F.greatest(F.lit(1), F.ceil(5 * F.col("_before") / (F.col("_total") - 1)))
+    q = F.greatest(F.lit(1), F.ceil(5 * F.col("_before") / nz(F.col("_total") - 1)))
     return pos.join(known_size(distinct), by).select(by, "symbol", F.when(F.col("_distinct") >= 5, q).alias(out))
 
 

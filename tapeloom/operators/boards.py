@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..functions.rolling import roll_mean, roll_median, roll_sum, series, true_range, yes
+from ..functions.rolling import nz, roll_mean, roll_median, roll_sum, series, true_range, yes
 from ..params import Levels, Session, Signal
 from ..session import known_size, stage
 from ..sources.panel import with_sector
@@ -28,7 +28,7 @@ def reference_table(panel: DataFrame, index: DataFrame, sectors: DataFrame,
     pc = F.lag("close_price").over(w)
     d = panel.join(known_size(index_day_returns(index)), "trade_date", "left").withColumns({
         "prev_c": pc, "_tr": true_range(F.col("high_price"), F.col("low_price"), pc),
-        "_rs": F.col("close_price") / pc - 1 - F.col("idx_ret")})
+        "_rs": F.col("close_price") / nz(pc) - 1 - F.col("idx_ret")})
     d = d.withColumns({
         "vol_med20": roll_median(F.col("ttl_trd_qnty"), w, win.lookback),
         "atr14": roll_mean(F.col("_tr"), w, win.atr_win),
@@ -72,7 +72,7 @@ def quote_legs(quotes: DataFrame, ref: DataFrame, index_pct: DataFrame, minute:
     d = d.withColumns({"h": h, "l": l, "ltp": F.col("lp"), "atr": F.coalesce("atr14", F.lit(0.0))})
     anatomy = sc.price_action(F.col("open_price"), F.col("h"), F.col("l"), F.col("ltp"))
     d = d.withColumns({k: anatomy[k] for k in ("clr", "body", "character")})
-    d = d.withColumn("day_raw", 100 * (F.col("ltp") / F.col("pc") - 1))
+    d = d.withColumn("day_raw", 100 * (F.col("ltp") / nz(F.col("pc")) - 1))
     d = d.withColumns({
         "rs_raw": F.col("day_raw") - F.col("idx_pct"),
         "pace": F.when(F.col("volume") > 0, sc.volume_pace(F.col("volume"), F.col("vol_med20"), F.lit(minute))),
@@ -158,7 +158,7 @@ def baseline_health(quotes: DataFrame, ref: DataFrame, tol: float = 0.005, need:
     session: names checked, mismatches, and whether the store is stale."""
     d = quotes.join(ref.select(*BOARD_KEYS, "ref_close", "prev_close"), BOARD_KEYS).where(
         "prev_close_price <> 0 AND ref_close > 0")
-    near = lambda base: yes(F.abs(F.col("prev_close_price") / F.col(base) - 1) <= tol)
+    near = lambda base: yes(F.abs(F.col("prev_close_price") / nz(F.col(base)) - 1) <= tol)
     ok = near("ref_close") | (yes(F.col("prev_close") > 0) & near("prev_close"))
     g = d.groupBy("trade_date").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~ok).alias("mismatch"))
     share = F.col("mismatch") / F.col("checked")
@@ -303,7 +303,7 @@ def frame_board(feat: DataFrame, quotes: DataFrame, idx_pct: Column, risk_on: Co
     """Timeframe shortlist row: last-bar strength, VWAP side, tone, relative strength, levels and
     both labels. `quotes` is (symbol, prev_close)."""
     d = feat.join(quotes.select("symbol", "prev_close"), "symbol")
-    d = d.withColumns({"day_pct": F.bround(100 * (F.col("ltp") / F.col("prev_close") - 1), 2)})
+    d = d.withColumns({"day_pct": F.bround(100 * (F.col("ltp") / nz(F.col("prev_close")) - 1), 2)})
     d = d.withColumns({"rs_pct": F.bround(F.col("day_pct") - idx_pct, 2),
                        **sc.levels(F.col("ltp"), F.col("atr"), F.col("day_low")), **sc.short_levels(F.col("ltp"), F.col("atr"))})
     args = [F.col("bar_clr"), F.col("above_vwap"), F.col("tone"), F.col("rs_pct")]
@@ -318,11 +318,11 @@ def reprice(board: DataFrame, quotes: DataFrame, idx_pct: Column, risk_on: Colum
     ltp = F.when(live, F.bround("_lp", 2)).otherwise(F.col("ltp"))
     keep = lambda name, value: F.when(live, value).otherwise(F.col(name))
     px = F.col("_lp")
-    day = 100 * (px / F.col("prev_close") - 1)
+    day = 100 * (px / nz(F.col("prev_close")) - 1)
     bh, bl = F.greatest("bar_h", px), F.least("bar_l", px)
     new = {"ltp": ltp, "day_pct": keep("day_pct", F.bround(day, 2)), "rs_pct": keep("rs_pct", F.bround(day - idx_pct, 2)),
            "bar_clr": keep("bar_clr", F.when(bh > bl, F.bround((px - bl) / (bh - bl), 3)).otherwise(0.5)),
-           "vs_vwap": keep("vs_vwap", F.bround(100 * (px / F.col("vwap") - 1), 2)),
+           "vs_vwap": keep("vs_vwap", F.bround(100 * (px / nz(F.col("vwap")) - 1), 2)),
            "above_vwap": keep("above_vwap", px >= F.col("vwap"))}
     for k, v in {**sc.levels(px, F.col("atr"), F.col("day_low")), **sc.short_levels(px, F.col("atr"))}.items():
         if k in board.columns:
@@ -337,5 +337,5 @@ def reprice_scan(board: DataFrame, quotes: DataFrame) -> DataFrame:
     """Price and day move of a scan board from the newest quotes; setups are attached again on top."""
     d = board.drop("lp").join(quotes.select("symbol", "lp"), "symbol", "left")
     live = F.col("lp").isNotNull() & (F.col("lp") != 0)
-    return d.withColumns({"day_pct": F.when(live, F.bround(100 * (F.col("lp") / F.col("prev_close") - 1), 2)).otherwise(F.col("day_pct")),
+    return d.withColumns({"day_pct": F.when(live, F.bround(100 * (F.col("lp") / nz(F.col("prev_close")) - 1), 2)).otherwise(F.col("day_pct")),
                           "ltp": F.when(live, F.bround("lp", 2)).otherwise(F.col("ltp"))}).drop("lp")

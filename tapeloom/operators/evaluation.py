@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import series, yes
+from ..functions.rolling import nz, series, yes
 from ..params import Calibration, Signal
 from ..session import known_size
 from .features import add_features, add_relative_strength, conviction_score, signal_mask
@@ -18,8 +18,8 @@ def add_forward_returns(panel: DataFrame) -> DataFrame:
     w = series("symbol")
     d = panel.withColumns({"next_open": F.lead("open_price").over(w),
                            "next_close": F.lead("close_price").over(w)})
-    return d.withColumns({"on_bps": (F.col("next_open") / F.col("close_price") - 1) * 1e4,
-                          "d2_bps": (F.col("next_close") / F.col("next_open") - 1) * 1e4})
+    return d.withColumns({"on_bps": (F.col("next_open") / nz(F.col("close_price")) - 1) * 1e4,
+                          "d2_bps": (F.col("next_close") / nz(F.col("next_open")) - 1) * 1e4})
 
 
 def prepare(panel: DataFrame, index: DataFrame, p: Signal = Signal()) -> DataFrame:

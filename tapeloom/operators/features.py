@@ -21,13 +21,13 @@ def add_features(panel: DataFrame, p: Signal = Signal()) -> DataFrame:
     d = panel.withColumns({
         "clr": (F.col("close_price") - F.col("low_price")) / rng,
         "body": (F.col("close_price") - F.col("open_price")) / rng,
-        "ret": F.col("close_price") / F.col("prev_close") - 1,
+        "ret": F.col("close_price") / nz(F.col("prev_close")) - 1,
         "close_vs_vwap": (F.col("close_price") - vwap) / vwap,
         "vwap_in_range": (vwap - F.col("low_price")) / rng,
         "_tr": true_range(F.col("high_price"), F.col("low_price"), F.lag("close_price").over(w)),
     })
     return d.withColumns({
-        "vol_ratio": F.col("ttl_trd_qnty") / roll_median(F.col("ttl_trd_qnty"), w, p.lookback, 1),
+        "vol_ratio": F.col("ttl_trd_qnty") / nz(roll_median(F.col("ttl_trd_qnty"), w, p.lookback, 1)),
         "deliv_spike": F.col("deliv_per") - roll_median(F.col("deliv_per"), w, p.lookback, 1),
         "deliv_trail": roll_mean(F.col("deliv_per"), w, p.deliv_trail_win, 1),
         "atr14": roll_mean(F.col("_tr"), w, p.atr_win),
@@ -37,7 +37,7 @@ def add_features(panel: DataFrame, p: Signal = Signal()) -> DataFrame:
 def index_day_returns(index: DataFrame) -> DataFrame:
     w = axis()
     return index.select("trade_date",
-                        (F.col("close_val") / F.lag("close_val").over(w) - 1).alias("idx_ret"))
+                        (F.col("close_val") / nz(F.lag("close_val").over(w)) - 1).alias("idx_ret"))
 
 
 def add_relative_strength(feat: DataFrame, index: DataFrame, p: Signal = Signal()) -> DataFrame:

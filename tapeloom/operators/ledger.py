@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import asof
+from ..functions.rolling import nz
 from ..params import Calibration, Signal
 
 COLUMNS = {"date": "date", "symbol": "string", "entry_px": "double", "clr": "double",
@@ -50,7 +51,7 @@ def reconcile(ledger: DataFrame, panel: DataFrame, p: Signal = Signal()) -> Data
     fills = panel.select("symbol", F.col("trade_date").alias("date"), F.col("open_price").alias("fill_px"))
     d = asof(ledger, fills, "date", ["fill_px"], by=["symbol"], forward=True, strict=True)
     close = (F.col("status") == "OPEN") & F.col("fill_px").isNotNull()
-    gross = (F.col("fill_px") / F.col("entry_px") - 1) * 1e4
+    gross = (F.col("fill_px") / nz(F.col("entry_px")) - 1) * 1e4
     put = {"exit_date": F.col("matched_date"), "exit_px": F.col("fill_px"), "gross_bps": F.bround(gross, 1),
            "net_bps": F.bround(gross - p.cost_bps, 1), "status": F.lit("CLOSED")}
     return d.select(*[F.when(close, put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c)
@@ -114,7 +115,7 @@ def health(ledger: DataFrame, window: int = 20) -> DataFrame:
 
 def realized_cost(ledger: DataFrame, p: Signal = Signal()) -> DataFrame:
     """Effective cost from fills that differ from the reference prints."""
-    slip = ((F.col("entry_px") / F.col("ref_close") - 1) + (F.col("ref_open") / F.col("exit_px") - 1)) * 1e4
+    slip = ((F.col("entry_px") / nz(F.col("ref_close")) - 1) + (F.col("ref_open") / nz(F.col("exit_px")) - 1)) * 1e4
     live = (closed(ledger).where("net_bps IS NOT NULL AND ref_close IS NOT NULL AND ref_open IS NOT NULL")
             .where("ref_close <> entry_px OR ref_open <> exit_px"))
     return live.agg(F.count(F.lit(1)).alias("n_live_fills"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import nz
 from ..params import Levels, Structure
 from .structure import structure_table
 
@@ -107,7 +108,7 @@ def sr_levels(summary: DataFrame, spot: Column | None = None, p: Levels = Levels
     d = d.withColumns({
         "support": F.col("_sup.level"), "sup_touches": F.coalesce("_sup.touches", F.lit(0)),
         "resistance": F.col("_res.level"), "res_touches": F.coalesce("_res.touches", F.lit(0)),
-        "head_up": F.bround((F.col("_up2") - x) / a, 2), "head_dn": F.bround((x - F.col("_dn2")) / a, 2)})
+        "head_up": F.bround((F.col("_up2") - x) / nz(a), 2), "head_dn": F.bround((x - F.col("_dn2")) / nz(a), 2)})
     for side, col in (("sup", "support"), ("res", "resistance")):
         z = zone_activity(F.col("window_bars"), F.col(col), a, p)
         d = d.withColumn("_z", F.when(F.col(col).isNotNull(), z))
@@ -119,7 +120,7 @@ def levels_report(summary: DataFrame, keys: list[str], p: Levels = Levels()) ->
     """Every wall of every series with its distance, touches and zone activity."""
     d = summary.select(*keys, "last", "atr", "window_bars", F.explode("walls").alias("wall"))
     d = d.withColumn("z", zone_activity(F.col("window_bars"), F.col("wall.level"), F.col("atr"), p))
-    return d.select(*keys, F.col("wall.level").alias("level"), (100 * (F.col("wall.level") - F.col("last")) / F.col("last")).alias("dist_pct"),
+    return d.select(*keys, F.col("wall.level").alias("level"), (100 * (F.col("wall.level") - F.col("last")) / nz(F.col("last"))).alias("dist_pct"),
                     F.col("wall.touches").alias("touches"), "z.*",
                     F.when(F.col("wall.level") > F.col("last"), "RES").otherwise("SUP").alias("side"))
 

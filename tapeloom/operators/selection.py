@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import nz
 from ..params import Signal
 
 
@@ -54,7 +55,7 @@ def trigger_universe(ref: DataFrame, n: int, min_turn_cr: float) -> DataFrame:
     """n most volatile names by ATR percent behind a turnover gate; if the gate empties the set,
     the n most traded names ranked the same way."""
     u = ref.select("symbol",
-                   (100 * F.col("atr14") / F.col("ref_close")).alias("atr_pct"),
+                   (100 * F.col("atr14") / nz(F.col("ref_close"))).alias("atr_pct"),
                    (F.col("vol_med20") * F.col("ref_close") / 1e7).alias("turn_cr")).dropna()
     gated = u.where(F.col("turn_cr") >= min_turn_cr)
     fallback = u.orderBy(F.col("turn_cr").desc(), "symbol").limit(n)

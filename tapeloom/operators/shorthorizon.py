@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.asof import asof
-from ..functions.rolling import yes
+from ..functions.rolling import nz, yes
 from ..params import Cost, Levels, Session, Structure
 from . import bars as bo
 from . import synthesis as sy
@@ -122,18 +122,18 @@ def short_horizon_board(fine: DataFrame, fine_min: int, confirm_min: int, up_min
         "symbol", "support", "resistance", "head_up", "head_dn", F.col("atr").alias("atr_u"))
     d = d.join(lv, "symbol", "left")
     head = F.when(F.col("side") == "LONG", F.col("head_up")).when(F.col("side") == "SHORT", F.col("head_dn"))
-    room = 1e4 * head * F.col("atr_u") / F.col("ltp") / F.col("_exp")
+    room = 1e4 * head * F.col("atr_u") / nz(F.col("ltp")) / F.col("_exp")
     sides = side_by_bar(fine, bo.resample(fine, confirm_min, s), confirm_min - fine_min, st)
     d = d.join(run_start(sides, d.select("symbol", "side", "ltp")), "symbol", "left")
     pc = F.coalesce("_pc", "open")
     atr = F.when(F.col("atr_c") > 0, F.col("atr_c"))
     return d.select(
         "symbol", "setup", "dir", "side", "setup_rank", "loc", F.bround("ltp", 2).alias("ltp"),
-        F.bround(100 * (F.col("ltp") / pc - 1), 2).alias("day_pct"), F.coalesce("entered", F.lit("—")).alias("entered"),
+        F.bround(100 * (F.col("ltp") / nz(pc) - 1), 2).alias("day_pct"), F.coalesce("entered", F.lit("—")).alias("entered"),
         "at", "since_pct", F.bround("_exp", 1).alias("exp_move"), F.bround("_cost", 1).alias("cost"),
         F.bround("_pays", 0).alias("p_pays"), sc.pays_tag(F.col("_pays")).alias("pays"), F.bround("rvol", 2).alias("rvol"),
-        F.bround(1e4 * cost.tick / F.col("ltp"), 2).alias("spread"), "ltf_struct", F.col("struct").alias("htf_struct"),
-        F.bround(100 * (F.col("ltp") / F.col("vwap") - 1), 2).alias("vs_vwap"), F.col("support").alias("sup"), F.col("resistance").alias("res"),
+        F.bround(1e4 * cost.tick / nz(F.col("ltp")), 2).alias("spread"), "ltf_struct", F.col("struct").alias("htf_struct"),
+        F.bround(100 * (F.col("ltp") / nz(F.col("vwap")) - 1), 2).alias("vs_vwap"), F.col("support").alias("sup"), F.col("resistance").alias("res"),
         F.coalesce(F.bround(room, 2), F.lit(float("inf"))).alias("room"),
         F.bround(F.col("ltp") - atr, 2).alias("stop"), F.bround(F.col("ltp") + atr, 2).alias("t1"), F.bround(atr, 2).alias("atr"),
         F.bround("turnover", 1).alias("turnover"), F.col("n_bars").alias("bars"))

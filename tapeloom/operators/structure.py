@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import yes
+from ..functions.rolling import nz, yes
 from ..params import Structure
 from .bars import with_atr
 
@@ -37,10 +37,10 @@ def structure_table(bars: DataFrame, keys: list[str], p: Structure = Structure()
     d = d.withColumns({"_path": F.sum("_diff").over(w.rowsBetween(-(lb - 2), 0)),
                        "_s3": F.when(F.col("n") >= 3, F.col("_s3"))})
     half = F.lit(0.5)
-    now = F.col("_s3") / F.percentile("_s3", half).over(w.rowsBetween(-(lb - 3), -1))
+    now = F.col("_s3") / nz(F.percentile("_s3", half).over(w.rowsBetween(-(lb - 3), -1)))
     coil = F.when(F.least("n", F.lit(lb)) >= 8, now)
     if forming:
-        before = F.lag("_s3").over(w) / F.percentile("_s3", half).over(w.rowsBetween(-(lb - 3), -2))
+        before = F.lag("_s3").over(w) / nz(F.percentile("_s3", half).over(w.rowsBetween(-(lb - 3), -2)))
         coil = F.when(F.least("n", F.lit(lb)) > 8, before).otherwise(coil)
     # a frame without range falls back to its box, for the label only
     unit = F.when(F.col("atr") > 0, F.col("atr")).otherwise((F.col("box_hi") - F.col("box_lo")) / lb)

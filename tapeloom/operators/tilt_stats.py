@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rolling import nz
 from ..params import Signal
 from ..session import known_size
 
@@ -72,10 +73,10 @@ def cluster_t(tagged: DataFrame) -> DataFrame:
                   F.sum(F.col("s1") * F.col("s1")).alias("m11"), F.sum("n").alias("n"), F.sum("n1").alias("k"),
                   F.sum("y1").alias("y1"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("n_nights"))
     n, k = F.col("n"), F.col("k")
-    det = n * k - k * k
+    det = nz(n * k - k * k)
     a, b = -k / det, n / det                     # second row of the inverse of [[n, k], [k, k]]
     var = a * a * F.col("m00") + 2 * a * b * F.col("m01") + b * b * F.col("m11")
-    beta = F.col("y1") / k - (F.col("y") - F.col("y1")) / (n - k)
+    beta = F.col("y1") / nz(k) - (F.col("y") - F.col("y1")) / nz(n - k)
     ok = (n > 20) & (F.col("n_nights") > 5) & (var > 0)
     return g.select(F.when(ok, beta / F.sqrt(var)).alias("t_clustered"), F.when(ok, beta).alias("beta"), "n_nights")
 

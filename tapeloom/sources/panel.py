@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import nz
+
 EOD_COLUMNS = ["trade_date", "symbol", "prev_close", "open_price", "high_price", "low_price",
                "close_price", "avg_price", "ttl_trd_qnty", "deliv_qty", "deliv_per",
                "turnover_lacs", "no_of_trades"]
@@ -41,7 +43,7 @@ def index_returns(index: DataFrame, name: str, end=None) -> DataFrame:
     d = dated(index.where(F.col("index_name") == name), None, end)
     whole = Window.partitionBy("index_name")
     w = whole.orderBy("trade_date")
-    computed = (F.col("close_val") / F.lag("close_val").over(w) - 1) * 100
+    computed = (F.col("close_val") / nz(F.lag("close_val").over(w)) - 1) * 100
     stored = F.count("pct_chg").over(whole) > 0
     return d.select("trade_date", "close_val",
                     F.when(stored, F.col("pct_chg")).otherwise(computed).alias("nret"))
