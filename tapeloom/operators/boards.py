@@ -14,7 +14,7 @@ from . import synthesis as sy
 from .calendar import blocked_days
 from .features import conviction_score, index_day_returns
 from .levels import WALL, big_wall, live_levels
-from .selection import capped_book
+from .selection import capped_book, top_per_session
 from .structure import last_bar, structure_table
 
 
@@ -265,13 +265,13 @@ def side_table(board: DataFrame, side: str, preset: str = "btst", liquidity: str
 
 
 def carry_tables(board: DataFrame, fallback: int = 10) -> DataFrame:
-    """Carry and forming rows by readiness; when nothing forms, the strongest closes instead."""
-    w = Window.partitionBy("trade_date")
-    d = board.withColumn("_forming", F.max((F.col("action") == "FORMING").cast("int")).over(w))
-    strong = F.row_number().over(w.orderBy(F.col("clr").desc_nulls_last(), "symbol"))
-    table = (F.when(F.col("action") == "BTST-CARRY", "carry").when(F.col("action") == "FORMING", "forming")
-              .when((F.col("_forming") == 0) & (F.col("_strong") <= fallback), "strongest"))
-    return d.withColumn("_strong", strong).withColumn("table", table).where("table IS NOT NULL").drop("_forming", "_strong")
+    """Carry and forming rows; in a session where nothing forms, its strongest closes as well. The
+    fallback is a rank filter, so no session is gathered or sorted whole."""
+    named = F.when(F.col("action") == "BTST-CARRY", "carry").when(F.col("action") == "FORMING", "forming")
+    forming = known_size(board.where("action = 'FORMING'").select("trade_date").distinct())
+    strong = top_per_session(board.join(forming, "trade_date", "left_anti"), fallback, "clr")
+    return (board.withColumn("table", named).where("table IS NOT NULL")
+            .unionByName(strong.where("action NOT IN ('BTST-CARRY', 'FORMING')").withColumn("table", F.lit("strongest"))))
 
 
 def scan_quality(summary: DataFrame, symbols: DataFrame, quotes: DataFrame, frame: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import scalars as sc
 from ..functions.asof import asof
 from ..functions.rolling import nz, yes
 from ..params import Cost, Levels, Session, Structure
+from ..session import stage
 from . import bars as bo
 from . import synthesis as sy
 from .levels import frame_summary, sr_levels
@@ -39,6 +40,7 @@ def run_start(sides: DataFrame, current: DataFrame, max_walk: int = 240, min_ind
     side is taken from `current` (symbol, side, ltp)."""
     w = Window.partitionBy("symbol").orderBy("ts")
     whole = Window.partitionBy("symbol")
+    sides, current = stage(sides), stage(current.select("symbol", "side", "ltp"))     # both are read twice
     d = sides.withColumns({"_i": F.row_number().over(w) - 1, "_last": F.count(F.lit(1)).over(whole) - 1,
                            "_day": F.to_date("ts"), "_today": F.to_date(F.max("ts").over(whole))})
     d = d.withColumn("_s0", F.min(F.when(F.col("_day") == F.col("_today"), F.col("_i"))).over(whole))
@@ -46,11 +48,11 @@ def run_start(sides: DataFrame, current: DataFrame, max_walk: int = 240, min_ind
     d = d.withColumnRenamed("side", "_side").join(current.select("symbol", "side", "ltp"), "symbol")
     inside = (F.col("_i") >= F.col("_floor")) & (F.col("_i") < F.col("_last"))
     breaks = F.when(inside & ~yes(F.col("_side") == F.col("side")), F.col("_i"))
-    g = d.withColumn("_break", breaks)
-    b = g.groupBy("symbol").agg(F.max("_break").alias("_break"), F.max_by("_side", "_break").alias("_bside"),
-                                F.first("_last").alias("_l"), F.first("_floor").alias("_f"))
+    unread = F.when(F.col("_side").isNull(), breaks)
+    b = d.groupBy("symbol").agg(F.max(breaks).alias("_break"), F.max(unread).alias("_unread"),
+                                F.max("_last").alias("_l"), F.max("_floor").alias("_f"))
     start = F.when(F.col("_break").isNotNull(), F.col("_break") + 1).otherwise(F.least("_f", "_l"))
-    bounded = F.when(F.col("_break").isNotNull(), F.col("_bside").isNull()).otherwise(start <= F.col("_f"))
+    bounded = F.when(F.col("_break").isNotNull(), F.coalesce(F.col("_unread") == F.col("_break"), F.lit(False))).otherwise(start <= F.col("_f"))
     b = b.withColumns({"_start": start, "_bounded": bounded})
     d = d.join(b.select("symbol", "_start", "_bounded"), "symbol").where((F.col("_i") == F.col("_start")) & (F.col("_last") >= 5))
     d = d.where(F.col("side").isin("LONG", "SHORT"))

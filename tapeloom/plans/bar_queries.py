@@ -45,7 +45,7 @@ def frames_sql() -> str:
   HAVING NOT (frame = '1W' AND CAST(max(keyed.ts) AS DATE) < d AND DATE '{NOW}' <= d))"""
 
 
-def struct_sql(src: str, keys: str, forming: bool = False) -> str:
+def struct_sql(src: str, keys: str, forming: bool = False, p: Structure = Structure()) -> str:
     """CTE `stru`: structure of every bar of `src`."""
     w = f"PARTITION BY {keys} ORDER BY ts"
     coil = ("CASE WHEN least(n, 20) > 8 THEN lag(s3) OVER o / quantile_cont(s3, 0.5) OVER (" + w + " ROWS BETWEEN 17 PRECEDING AND 2 PRECEDING) "
@@ -66,8 +66,8 @@ s2 AS (SELECT *, avg(tr) OVER ({w} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS
 s3 AS (SELECT *, CASE WHEN atr > 0 THEN atr ELSE (box_hi - box_lo) / 20 END AS u FROM s2),
 s4 AS (SELECT *, CASE WHEN len(sh) >= 3 AND u > 0 AND sh[-1] - sh[-2] > 2 * u THEN sh[-2] ELSE sh[-1] END AS bh,
   CASE WHEN len(sl) >= 3 AND u > 0 AND sl[2] - sl[1] > 2 * u THEN sl[2] ELSE sl[1] END AS bl FROM s3),
-stru AS (SELECT *, CASE WHEN n < 5 THEN 'n/a' WHEN close > bh + 0.5 * u THEN 'BREAKOUT_UP' WHEN close < bl - 0.5 * u THEN 'BREAKOUT_DOWN'
-  WHEN er >= 0.4 AND abs(net) >= u THEN CASE WHEN net > 0 THEN 'TREND_UP' ELSE 'TREND_DOWN' END
+stru AS (SELECT *, CASE WHEN n < 5 THEN 'n/a' WHEN close > bh + {p.breakout_atr}::DOUBLE * u THEN 'BREAKOUT_UP' WHEN close < bl - {p.breakout_atr}::DOUBLE * u THEN 'BREAKOUT_DOWN'
+  WHEN er >= {p.trend_er}::DOUBLE AND abs(net) >= {p.trend_atr}::DOUBLE * u THEN CASE WHEN net > 0 THEN 'TREND_UP' ELSE 'TREND_DOWN' END
   WHEN coalesce(coil < 0.6::DOUBLE, FALSE) THEN 'CONSOLIDATION' ELSE 'RANGE' END AS struct FROM s4)"""
 
 

@@ -554,15 +554,22 @@ def repriced_board(spark, sf):
 
 
 # --- short horizon -------------------------------------------------------------------------------
-_LOW = struct_sql("fz", "symbol").lstrip(",\n")
-for _old, _new in (("s0", "k0"), ("s1", "k1"), ("s2", "k2"), ("s4", "k5"), ("stru", "lstru")):
-    _LOW = re.sub(rf"(?m)(^{_old} AS|FROM {_old}\b)", lambda m, o=_old, n=_new: m[0].replace(o, n), _LOW)
-_LOW = re.sub(r"(?m)(^s3 AS|FROM s3\b)", lambda m: m[0].replace("s3", "k3"), _LOW)
+def renamed(sql: str, prefix: str) -> str:
+    """The same CTEs under prefixed names, so that a fragment can be used twice in one statement."""
+    names = "s0 s1 s2 s3 s4 stru v0 v1 v2 v3 v4 summ wbars".split()
+    for n in names:
+        sql = re.sub(rf"(?m)(^{n} AS|FROM {n}\b|JOIN {n}\b)", lambda m, n=n: m[0].replace(n, prefix + n), sql)
+    return sql.lstrip(",\n")
+
+
+# event prices only range, so the side queries read structure with lower thresholds
+EASY = Structure(breakout_atr=0.1, trend_er=0.15, trend_atr=0.4)
+_LOW = renamed(struct_sql("fz", "symbol", p=EASY), "l")
 
 
 def sides_sql(delay: int) -> str:
     """CTE `sides`: verdict per fine bar from the newest coarse bar `delay` minutes back."""
-    return H4 + struct_sql("h4", "symbol") + f""",
+    return H4 + struct_sql("h4", "symbol", p=EASY) + f""",
 hstr AS (SELECT symbol, ts AS hts, struct AS struct_H, box_hi AS box_hi_H, box_lo AS box_lo_H, n AS n_H FROM stru),
 fz AS (SELECT * FROM fine),
 {_LOW},
@@ -575,7 +582,7 @@ sides AS (SELECT symbol, ts, setup, ltp, CASE WHEN ln >= 5 AND coalesce(n_H >= 5
 @register("side_by_bar", "W37 W34 W35", "symbol ts:t setup side", sides_sql(180) + ", out AS (SELECT * FROM sides)")
 def side_by_bar(spark, sf):
     fine = td.bars(spark, sf, 60)
-    return sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 180)
+    return sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 180, EASY)
 
 
 @register("short_entries", "W35", "symbol d:d entered at:f", sides_sql(0) + """,
@@ -588,7 +595,7 @@ bf AS (SELECT n.symbol, n.d, (SELECT arg_max(side, ts) FROM dd WHERE dd.symbol =
 out AS (SELECT b.symbol, b.d, strftime(ts, '%H:%M') AS entered, round_even(px, 2) AS "at" FROM bf b JOIN hit h ON h.symbol = b.symbol AND h.d = b.d WHERE coalesce(before <> 'SHORT', TRUE))""")
 def short_entries(spark, sf):
     fine = td.bars(spark, sf, 60)
-    sides = sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 0)
+    sides = sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 0, EASY)
     out = None
     for day in ("2024-01-10", "2024-01-20", "2024-01-30"):       # three as-of days
         seen = sides.where(F.to_date("ts") <= F.lit(day))
@@ -608,7 +615,45 @@ def energy(spark, sf):
     return sh.energy(td.bars(spark, sf, 60), "2024-01-30 22:00:00", 60)
 
 
-@register("short_horizon_board", "MT8 W34 SC42", "symbol setup dir side setup_rank:i ltp:f day_pct:f entered at:f since_pct:f exp_move:f cost:f p_pays:f pays rvol:f sup:f res:f room:f stop:f t1:f", None)
+SHORT_SQL = sides_sql(180) + ",\n" + renamed(struct_sql("fine", "symbol", True, EASY), "f") + f""",
+k7 AS (SELECT *, {slot_sql(420)} FROM fine), h7 AS ({agg_sql('symbol')} FROM k7 GROUP BY symbol, d, slot),
+""" + renamed(struct_sql("h7", "symbol", p=EASY) + summary_sql("symbol", "60"), "u") + """,
+nd AS (SELECT symbol, max(CAST(ts AS DATE)) AS ld FROM fine GROUP BY 1),
+se AS (SELECT symbol, arg_min(open, ts) AS o, arg_max(close, ts) AS ltp, sum(volume * close) / 100000 AS turnover, avg(1) AS one
+  FROM fine JOIN nd USING (symbol) WHERE CAST(ts AS DATE) = ld GROUP BY 1),
+pv AS (SELECT symbol, arg_max(close, ts) AS pc FROM fine JOIN nd USING (symbol) WHERE CAST(ts AS DATE) < ld GROUP BY 1),
+lo AS (SELECT symbol, struct AS struct_L FROM fstru QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+ho AS (SELECT symbol, struct AS struct_H, box_hi AS box_hi_H, box_lo AS box_lo_H, n AS n_H, atr AS atr_c FROM stru QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+ex AS (SELECT * FROM se JOIN lo USING (symbol) JOIN ho USING (symbol) LEFT JOIN pv USING (symbol)),
+""" + synth_sql("H", "L", "ex", "sx") + """,
+cl AS (SELECT f.*, row_number() OVER (PARTITION BY f.symbol ORDER BY ts DESC) AS k FROM fine f JOIN nd USING (symbol) WHERE CAST(ts AS DATE) = ld),
+en AS (SELECT symbol, avg(10000 * (high - low) / close) FILTER (k <= 10) AS rv10, avg(volume) FILTER (k <= 10) AS v10 FROM cl GROUP BY 1),
+md AS (SELECT symbol, median(volume) AS m FROM fine GROUP BY 1),
+c1 AS (SELECT *, 2.271::DOUBLE + 0.854::DOUBLE * rv10 AS ex5, v10 / m AS rv, 2 + 0.594::DOUBLE + 0.02::DOUBLE + 0.18::DOUBLE * (2 + 0.594::DOUBLE + 0.02::DOUBLE) + 2.5 + 0.3 + 10000 * 2 * 0.05::DOUBLE / ltp AS co
+  FROM sx JOIN en USING (symbol) JOIN md USING (symbol)),
+kn AS (SELECT unnest([0.25, 0.40, 0.50, 0.60, 0.75, 1.00, 1.25, 1.50, 2.00, 2.50]::DOUBLE[]) AS x0, unnest([0.40, 0.50, 0.60, 0.75, 1.00, 1.25, 1.50, 2.00, 2.50, 3.00]::DOUBLE[]) AS x1,
+  unnest([81.4, 72.3, 66.5, 61.0, 53.3, 42.3, 33.5, 26.5, 16.8, 10.8]::DOUBLE[]) AS y0, unnest([72.3, 66.5, 61.0, 53.3, 42.3, 33.5, 26.5, 16.8, 10.8, 7.1]::DOUBLE[]) AS y1),
+c2 AS (SELECT *, CASE WHEN co / ex5 <= 0.25 THEN 81.4 WHEN co / ex5 > 3 THEN 7.1 ELSE (SELECT y0 + (y1 - y0) / (x1 - x0) * (co / ex5 - x0) FROM kn WHERE co / ex5 > x0 AND co / ex5 <= x1) END AS pp FROM c1),
+lvl0 AS (SELECT u.symbol, u.atr AS ua, u.walls AS uw, c2.ltp AS px FROM usumm u JOIN c2 USING (symbol)),
+lvl1 AS (SELECT symbol, ua, list_min(list_transform(list_filter(uw, lambda c: c.level > px + 0.25 * ua), lambda c: c.level)) AS res, list_max(list_transform(list_filter(uw, lambda c: c.level < px - 0.25 * ua), lambda c: c.level)) AS sup,
+  round_even((list_min(list_transform(list_filter(uw, lambda c: c.touches >= 2 AND c.level > px), lambda c: c.level)) - px) / ua, 2) AS hup,
+  round_even((px - list_max(list_transform(list_filter(uw, lambda c: c.touches >= 2 AND c.level < px), lambda c: c.level))) / ua, 2) AS hdn FROM lvl0),
+ix AS (SELECT s.symbol, s.ts, s.ltp AS close, s.side AS sd0, row_number() OVER (PARTITION BY s.symbol ORDER BY s.ts) - 1 AS i, count(*) OVER (PARTITION BY s.symbol) - 1 AS last, CAST(s.ts AS DATE) AS d FROM sides s),
+fl AS (SELECT symbol, any_value(last) AS last, greatest(min(i) FILTER (d = ld), any_value(last) - 240, 4) AS flo FROM ix JOIN nd USING (symbol) GROUP BY 1),
+bk AS (SELECT x.symbol, max(x.i) AS bi FROM ix x JOIN fl USING (symbol) JOIN c2 USING (symbol) WHERE x.i >= flo AND x.i < fl.last AND x.sd0 IS DISTINCT FROM c2.side GROUP BY 1),
+st AS (SELECT fl.symbol, CASE WHEN bi IS NOT NULL THEN bi + 1 ELSE least(flo, fl.last) END AS s0, CASE WHEN bi IS NOT NULL THEN (SELECT sd0 IS NULL FROM ix WHERE ix.symbol = fl.symbol AND ix.i = bi) ELSE TRUE END AS bounded
+  FROM fl LEFT JOIN bk USING (symbol)),
+rn AS (SELECT st.symbol, bounded, ix.ts, ix.close FROM st JOIN ix ON ix.symbol = st.symbol AND ix.i = st.s0),
+out AS (SELECT c2.symbol, setup, dir, c2.side, setup_rank, round_even(ltp, 2) AS ltp, round_even(100 * (ltp / coalesce(pc, o) - 1), 2) AS day_pct,
+  CASE WHEN c2.side IN ('LONG', 'SHORT') THEN concat(CASE WHEN bounded THEN '≥' ELSE '' END, strftime(rn.ts, '%H:%M')) ELSE '—' END AS entered,
+  CASE WHEN c2.side IN ('LONG', 'SHORT') THEN round_even(rn.close, 2) END AS "at",
+  CASE WHEN c2.side IN ('LONG', 'SHORT') THEN round_even(CASE WHEN c2.side = 'SHORT' THEN -1 ELSE 1 END * 100 * (ltp / rn.close - 1), 2) END AS since_pct,
+  round_even(ex5, 1) AS exp_move, round_even(co, 1) AS cost, round_even(pp, 0) AS p_pays, round_even(rv, 2) AS rvol, sup, res,
+  coalesce(round_even(10000 * CASE c2.side WHEN 'LONG' THEN hup WHEN 'SHORT' THEN hdn END * ua / ltp / ex5, 2), 'inf'::DOUBLE) AS room,
+  round_even(ltp - atr_c, 2) AS stop, round_even(ltp + atr_c, 2) AS t1 FROM c2 LEFT JOIN lvl1 USING (symbol) LEFT JOIN rn USING (symbol))"""
+
+
+@register("short_horizon_board", "MT8 W34 SC42", "symbol setup dir side setup_rank:i ltp:f day_pct:f entered at:f since_pct:f exp_move:f cost:f p_pays:f rvol:f sup:f res:f room:f stop:f t1:f", SHORT_SQL)
 def short_horizon_board(spark, sf):
     fine = stage(td.bars(spark, sf, 60))
-    return sh.short_horizon_board(fine, 60, 240, 420, bq.NOW, Cost(), FULL)
+    return sh.short_horizon_board(fine, 60, 240, 420, bq.NOW, Cost(), FULL, EASY)

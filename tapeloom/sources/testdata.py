@@ -45,10 +45,12 @@ def eod_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum("value"), 2).alias("value"),      # money is in cents; keeps the sum exact
         F.sum(F.when(F.col("delivered"), F.col("qty")).otherwise(0.0)).alias("dq"),
         F.count(F.lit(1)).alias("no_of_trades")))
-    w = Window.partitionBy("l_suppkey").orderBy("trade_date")
+    # windows on the symbol itself: later per-symbol windows find the rows already in place
+    g = g.withColumn("symbol", F.concat(F.lit("S"), F.col("l_suppkey")))
+    w = Window.partitionBy("symbol").orderBy("trade_date")
     return g.select(
         "trade_date",
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
+        "symbol",
         F.when(F.col("l_suppkey") % 10 == 9, "SM").otherwise("EQ").alias("series"),
         F.lag("close_price").over(w).alias("prev_close"),
         "open_price", "high_price", "low_price", "close_price",
