@@ -78,6 +78,7 @@ def evidence_rank(tag: Column, side: str, preset: str = "btst") -> Column:
     return (-F.bround(F.coalesce(ev, F.lit(-999.0)) * 10, 0)).cast("int")
 
 
+# The verdict texts of the next two functions are fixed values.
 def long_verdict(tag: Column, preset: str = "btst") -> Column:
     ev, hold = _evidence(tag, "LONG", preset)
     years = _lookup(tag, P.LONG_YEARS, "")

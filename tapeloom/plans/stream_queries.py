@@ -79,7 +79,7 @@ def stream_first_trigger(spark, sf):
 @register("stream_first_seen", "STR5s SRC17", "symbol day:d", """
 out AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events)""")
 def stream_first_seen(spark, sf):
-    return run.run_available(live.first_seen_stream(_tick_stream(spark, sf), "1 day"))
+    return run.run_available(live.first_seen_stream(_stream_of(td.bars(spark, sf, 60)), "1 day"))
 
 
 @register("stream_side_runs", "STR6s W34", "symbol side run_start:t at:r", BARS + """,
@@ -107,7 +107,7 @@ def stream_latest_quotes(spark, sf):
 @register("stream_rescan_due", "STR9s", "day:d bucket:i", """
 out AS (SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(floor((hour(ts) * 60 + minute(ts)) / CAST(240 AS DOUBLE)) AS INT) AS bucket FROM events)""")
 def stream_rescan_due(spark, sf):
-    return run.run_available(live.rescan_due(_tick_stream(spark, sf), 240, "1 day", FULL))
+    return run.run_available(live.rescan_due(_stream_of(td.bars(spark, sf, 60)), 240, "1 day", FULL))
 
 
 @register("stream_live_gate", "STR11s W9", "trade_date:d live_close:f up:b", LIVE_SQL)

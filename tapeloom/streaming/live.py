@@ -127,7 +127,9 @@ def first_trigger_stream(bars: DataFrame, delay: str, p: Signal = Signal()) -> D
 
 def first_seen_stream(rows: DataFrame, delay: str) -> DataFrame:
     """First time each symbol shows up in a session: a plain deduplication, which keeps the first
-    row of a key per state lifetime; the session is part of the key, so it resets by itself."""
+    row of a key per state lifetime; the session is part of the key, so it resets by itself. Pass
+    bars or scan rows: a deduplication has no map-side combine, so raw ticks of a hot symbol would
+    all travel to one task."""
     d = rows.withWatermark("ts", delay).withColumn("day", F.to_date("ts"))
     return d.dropDuplicatesWithinWatermark(["symbol", "day"]).select("symbol", "day", F.col("ts").alias("first_seen"))
 
@@ -171,7 +173,8 @@ def bar_bucket(ts, minutes: int, s: Session = Session()):
 
 
 def rescan_due(clock: DataFrame, minutes: int, delay: str, s: Session = Session()) -> DataFrame:
-    """One row per (day, bar bucket) the clock stream enters: the moments a scan is due."""
+    """One row per (day, bar bucket) the clock stream enters: the moments a scan is due. The clock
+    is a bar stream or any other slow stream, not the ticks."""
     d = clock.withWatermark("ts", delay).withColumns({"day": F.to_date("ts"), "bucket": bar_bucket(F.col("ts"), minutes, s)})
     return d.dropDuplicatesWithinWatermark(["day", "bucket"]).select("day", "bucket", "ts")
 
