@@ -13,7 +13,7 @@ from ..functions.asof import asof
 from ..functions.ranking import pct_rank, spread_median
 from ..functions.rolling import axis, compound, nz, series, yes
 from ..params import Regime, Tilt
-from ..session import known_size, stage
+from ..session import known_size, stage, stage_all
 from .regime import regime_history
 
 KEY = ["trade_date", "sector"]
@@ -149,28 +149,31 @@ def tilt_label(rank: Column, br: Column, thin: Column, revert: Column, t: Tilt =
 
 
 def sector_tilt(daily: DataFrame, master: DataFrame, nifty: DataFrame, start=None, end=None,
-                t: Tilt = Tilt(), r: Regime = Regime(), regime: DataFrame | None = None) -> DataFrame:
+                t: Tilt = Tilt(), r: Regime = Regime(), lead_days: int | None = None) -> DataFrame:
     """Tilt of every ranked sector for every session in [start, end]; causal at each of them. The
     trailing factors are formed before the range is cut, so a single session reads the same in a
-    one-session run and in a full-history run."""
+    one-session run and in a full-history run.
+
+    Spark cannot push the range below the windows. `lead_days` bounds the panel that is read to that
+    many days before `start`: at least the longest trailing window plus the longest gap of a symbol.
+    The index series is always read whole, its volatility rank is over all history."""
     if end is not None:
         daily = daily.where(F.col("trade_date") <= F.lit(end))
         nifty = nifty.where(F.col("trade_date") <= F.lit(end))
-    panel = stage(sector_panel(daily, master, t))
-    nifty = stage(nifty)
-    d = sector_factors(panel, t)
+    if start is not None and lead_days is not None:
+        daily = daily.where(F.col("trade_date") >= F.date_sub(F.lit(start).cast("date"), lead_days))
     deliv = (_members(daily, master, t).where("deliv_per IS NOT NULL")
              .select("symbol", "sector", "trade_date", "deliv_per", "turnover_lacs"))
-    br = breadth(stage(delivery_state(deliv, t)), t)
-    d = d.join(br.drop("n_names"), KEY, "left").join(persistence(panel, t).drop("pers_n"), KEY, "left")
+    nifty = known_size(nifty)
+    index_read = index_momentum(nifty, t).join(regime_history(nifty, r), "trade_date")
+    panel, state, index_read = stage_all(sector_panel(daily, master, t), delivery_state(deliv, t), index_read)
+    d = (sector_factors(panel, t).join(breadth(state, t).drop("n_names"), KEY, "left")
+         .join(persistence(panel, t).drop("pers_n"), KEY, "left"))
     if start is not None:
         d = d.where(F.col("trade_date") >= F.lit(start))
     d = stage(d)                                 # sector-level: sessions x sectors
-    reg = regime_history(nifty, r) if regime is None else regime
-    reg_cols = [c for c in reg.columns if c != "trade_date"]
-    dates = d.select("trade_date").distinct()
-    context = asof(asof(dates, index_momentum(nifty, t), "trade_date", ["n2", "n1"]).drop("matched_trade_date"),
-                   reg, "trade_date", reg_cols).drop("matched_trade_date")
+    context = asof(d.select("trade_date").distinct(), index_read, "trade_date",
+                   [c for c in index_read.columns if c != "trade_date"]).drop("matched_trade_date")
     d = d.join(known_size(context), "trade_date")
     day = Window.partitionBy("trade_date")
     d = d.withColumns({"rs_2w": F.col("mom_2w") - F.col("n2"), "rs_1w": F.col("mom_1w") - F.col("n1"),
@@ -200,9 +203,9 @@ def sector_tilt(daily: DataFrame, master: DataFrame, nifty: DataFrame, start=Non
 
 
 def sector_tilt_asof(daily: DataFrame, master: DataFrame, nifty: DataFrame, as_of, t: Tilt = Tilt(),
-                     r: Regime = Regime()) -> DataFrame:
+                     r: Regime = Regime(), lead_days: int | None = None) -> DataFrame:
     """The tilt of one session; empty if the day is not a session."""
-    return sector_tilt(daily, master, nifty, as_of, as_of, t, r)
+    return sector_tilt(daily, master, nifty, as_of, as_of, t, r, lead_days)
 
 
 def tenure(tilt: DataFrame, cap: int = 90) -> DataFrame:

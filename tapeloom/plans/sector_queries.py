@@ -199,7 +199,7 @@ def _tilt(spark, sf):
 @register("sector_tilt_asof", "E5", TILT_COLS, TILT_SQL + ", out AS (SELECT * FROM tilt WHERE trade_date = DATE '2000-05-01')")
 def sector_tilt_asof(spark, sf):
     d, m, n = _inputs(spark, sf)
-    return se.sector_tilt_asof(d, m, n, "2000-05-01", TILT, REGIME)
+    return se.sector_tilt_asof(d, m, n, "2000-05-01", TILT, REGIME, lead_days=1400)
 
 
 BADGED = TILT_SQL + """,

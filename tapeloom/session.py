@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,9 @@ def known_size(df: DataFrame) -> DataFrame:
     it is under spark.sql.autoBroadcastJoinThreshold and shuffles both sides when it is not. Without
     this a join on the session would first shuffle the whole panel by date."""
     return stage(df)
+
+
+def stage_all(*dfs: DataFrame) -> list[DataFrame]:
+    """Stage independent results side by side, so that a small one does not wait for a large one."""
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(stage, dfs))
