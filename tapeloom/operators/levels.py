@@ -55,13 +55,16 @@ def frame_summary(bars: DataFrame, keys: list[str], s: Structure = Structure(),
     """One row per series: structure and box at the newest bar, band width, walls of the lookback
     window, blind-zone extremes, and the window's bars for the zone reads.
 
-    One shuffle: windows and the final fold share their partitioning."""
+    One shuffle: windows and the final fold share their partitioning. Only the bars the newest read
+    depends on (the lookback and two in front of it) enter the heavy windows."""
     lb = F.lit(p.lookback) if lookback is None else (lookback if isinstance(lookback, Column) else F.lit(lookback))
     wing = p.pivot_wing
     w = Window.partitionBy(*keys).orderBy("ts")
     near = w.rowsBetween(-wing, wing)
-    d = structure_table(bars, keys, s, forming).withColumns({
-        "_total": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "_lb": lb,
+    d = bars.withColumns({"_lb": lb, "_full": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "_rn": F.row_number().over(w)})
+    d = d.where(F.col("_rn") > F.col("_full") - F.greatest("_lb", F.lit(s.lookback)) - 2).drop("_rn")
+    d = structure_table(d, keys, s, forming).withColumns({
+        "_total": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
         "_wh": F.max("high").over(near), "_wl": F.min("low").over(near)})
     back = F.col("_total") - F.col("n")                          # bars after this one
     start = F.greatest(F.lit(1), F.col("_total") - F.col("_lb") + 1)
@@ -73,7 +76,7 @@ def frame_summary(bars: DataFrame, keys: list[str], s: Structure = Structure(),
     blind = (F.col("_back") == 1) if forming else (F.col("_back") < 2)
     recent = F.col("_back") < s.lookback
     last3 = F.col("_back") < 3
-    fields = F.struct("struct", "box_hi", "box_lo", "er", "coil", "n", F.col("close").alias("last"), "atr", "ts")
+    fields = F.struct("struct", "box_hi", "box_lo", "er", "coil", F.col("_full").cast("int").alias("n"), F.col("close").alias("last"), "atr", "ts")
     g = d.groupBy(*keys).agg(
         F.max_by(fields, "ts").alias("b"),
         F.collect_list(hi_pivot).alias("_hp"), F.collect_list(lo_pivot).alias("_lp"),

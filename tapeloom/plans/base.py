@@ -123,7 +123,7 @@ def new_run() -> None:
     _staged.clear()
 
 
-def _once(name: str, make) -> DataFrame:
+def once(name: str, make) -> DataFrame:
     if name not in _staged:
         _staged[name] = stage(make())
     return _staged[name]
@@ -131,7 +131,12 @@ def _once(name: str, make) -> DataFrame:
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """The session panel, aggregated from the prints once per query."""
-    return _once("panel", lambda: td.eod_panel(spark, sf))
+    return once("panel", lambda: td.eod_panel(spark, sf))
+
+
+def session_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars inside the sessions, folded from the prints once per query."""
+    return once("session_bars", lambda: td.session_bars(spark, sf))
 
 
 def eod(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +144,7 @@ def eod(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str) -> DataFrame:
-    return _once("index", lambda: src.load_index(td.index_series(panel(spark, sf)), INDEX))
+    return once("index", lambda: src.load_index(td.index_series(panel(spark, sf)), INDEX))
 
 
 def nifty(spark: SparkSession, sf: str) -> DataFrame:

@@ -237,12 +237,13 @@ def _quotes(spark, sf):
 
 
 def _next_ref(spark, sf):
-    return bd.next_session_reference(bd.reference_table(B.eod(spark, sf), B.index(spark, sf), B.sectors(spark, sf), None))
+    return B.once("next_ref", lambda: bd.next_session_reference(
+        bd.reference_table(B.eod(spark, sf), B.index(spark, sf), B.sectors(spark, sf), None)))
 
 
 def _extras(spark, sf):
     keys = ["symbol", "trade_date"]
-    b = td.session_bars(spark, sf)
+    b = B.session_bars(spark, sf)
     run = bo.running_session(b.join(_next_ref(spark, sf).select(*keys, F.col("ref_close").alias("prev_close")), keys), keys)
     trig = bo.first_trigger(run, keys, BOARD, pace=False, rs=False)
     return (bo.session_vwap(b, keys).join(bo.last_minutes_vwap(b, keys, F.dayofmonth("ts") >= 25), keys)
@@ -393,13 +394,13 @@ setup AS (SELECT *, CASE WHEN w IS NULL THEN '' ELSE printf('1M %.2f ×%d%s', w.
 
 
 def _scan_summary(spark, sf):
-    b = td.session_bars(spark, sf).select("symbol", "ts", *bo.OHLCV)
+    b = B.session_bars(spark, sf).select("symbol", "ts", *bo.OHLCV)
     lb = F.when(F.col("frame") == "1D", Levels().daily_lookback).otherwise(Levels().lookback)
     return lv.frame_summary(bo.multi_frame(b, {}, ("1D", "1W", "1M"), SCAN_NOW, FULL), ["symbol", "frame"], Structure(), Levels(), lb)
 
 
 def _scan(spark, sf):
-    b = td.session_bars(spark, sf)
+    b = B.session_bars(spark, sf)
     turn = b.groupBy("symbol").agg((F.sum(F.col("volume") * F.col("close")) / 1e5).alias("turnover"))
     wide = bd.wide_frames(_scan_summary(spark, sf), SCAN_FRAMES, FIELDS)
     return wide.join(turn, "symbol").withColumn("ltp", F.col("last_1D"))
