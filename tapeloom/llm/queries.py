@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import edit_embedding, language, simhash, token_counts, transducer
+from . import edit_embedding, language, latent_leaks, paragraph_bands, simhash, token_counts, transducer
 from .common import documents, pick
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def op2_language_id(spark, sf):
             .select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous"))
 
 
+def op4_decontamination(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return latent_leaks.leaks(documents(spark, sf), items)
+
+
 def op5_simhash(spark, sf):
     return (simhash.near_duplicates(documents(spark, sf))
             .select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id"))
@@ -28,6 +33,10 @@ def op7_token_counts(spark, sf):
     return token_counts.token_counts(documents(spark, sf), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
 
 
+def op8_paragraphs(spark, sf):
+    return paragraph_bands.repeats(documents(spark, sf)).drop("at")
+
+
 def op9_edit_fingerprints(spark, sf):
     return edit_embedding.edited_fingerprints(documents(spark, sf))
 
@@ -39,5 +48,6 @@ def op10_bpe_round_trip(spark, sf):
                        F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_simhash, op7_token_counts, op9_edit_fingerprints, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_simhash, op7_token_counts, op8_paragraphs, op9_edit_fingerprints,
+                                   op10_bpe_round_trip)}
 SQL: dict[str, str] = {}
