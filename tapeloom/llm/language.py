@@ -219,5 +219,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(docs, run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_known(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang and others) without the rows whose language is `und`; lang is filled in
+    where it is null. Learns as the query does, from rows with a language that are not held out. Where
+    nothing can be learned all rows stay."""
+    d = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    at = {n: f"_{docs.columns.index(n)}" for n in ("doc_id", "text", "lang")}
+    model = learn(d.select(F.col(at["text"]).alias("text"), F.col(at["lang"]).alias("lang"), F.col(at["doc_id"]).alias("doc_id")),
+                  ~held_out(F.col("doc_id")))
+    if not model.languages:
+        return docs
+    made = identify(d.withColumn("text", F.col(at["text"])), model).where("lang_pred <> 'und'")
+    return (made.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")).select(*d.columns).toDF(*docs.columns))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

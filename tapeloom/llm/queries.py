@@ -4,13 +4,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import edit_embedding, language, latent_leaks, paragraph_bands, simhash, token_counts, transducer
+from . import edit_embedding, language, latent_leaks, licences, paragraph_bands, preferences, simhash, style_tree, token_counts, transducer
 from .common import documents, pick
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
 
+def op1_preferences(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    made = preferences.format_pairs(preferences.with_swapped_reply(turns), "conv_id")
+    return made.withColumns({c: preferences.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op2_language_id(spark, sf):
     docs = pick(documents(spark, sf), "doc_id", "text", "lang")
     out = language.held_out(F.col("doc_id"))
@@ -19,6 +25,10 @@ def op2_language_id(spark, sf):
             .select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous"))
 
 
+def op3_main_text(spark, sf):
+    return style_tree.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def op4_decontamination(spark, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     return latent_leaks.leaks(documents(spark, sf), items)
@@ -29,6 +39,11 @@ def op5_simhash(spark, sf):
             .select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id"))
 
 
+def op6_licenses(spark, sf):
+    return (licences.scan(documents(spark, sf), licences.known(spark))
+            .withColumn("licenses", F.array_join("licenses", ",")))
+
+
 def op7_token_counts(spark, sf):
     return token_counts.token_counts(documents(spark, sf), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
 
@@ -48,6 +63,7 @@ def op10_bpe_round_trip(spark, sf):
                        F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_decontamination, op5_simhash, op7_token_counts, op8_paragraphs, op9_edit_fingerprints,
-                                   op10_bpe_round_trip)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_preferences, op2_language_id, op3_main_text, op4_decontamination, op5_simhash, op6_licenses, op7_token_counts, op8_paragraphs,
+    op9_edit_fingerprints, op10_bpe_round_trip)}
+SQL: dict[str, str] = {"op1_preferences": preferences.SQL, "op6_licenses": licences.SQL}

@@ -121,5 +121,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: its smallest doc_id (nulls last), then the smallest text
+    hash, then the smallest of the other columns."""
+    d = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    id_, text = (F.col(f"_{docs.columns.index(n)}") for n in ("doc_id", "text"))
+    at = F.xxhash64(text)
+    named = d.select(F.struct(id_.isNull().alias("none"), id_.alias("id"), at.alias("at")).alias("doc_id"), text.alias("text"))
+    first = known_size(near_duplicates(named).where(F.col("doc_id") == F.col("component_id"))
+                       .groupBy(F.col("doc_id.id").alias("id"), F.col("doc_id.at").alias("at")).agg(F.count("*").alias("rows")))
+    kept = d.join(first, F.col("id").eqNullSafe(id_) & (F.col("at") == at))
+    alone = kept.where("rows = 1").select(*d.columns)
+    # rows that share id and text: one is taken after partial minima
+    again = (kept.where("rows > 1").groupBy("id", "at").agg(F.min(F.struct(*d.columns)).alias("row")).select("row.*"))
+    return alone.unionByName(again).toDF(*docs.columns)
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
