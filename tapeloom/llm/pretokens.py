@@ -22,6 +22,7 @@ from .common import arrow_map, batch_of, pick, strings
 SEAM = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of a worker's memo and of a task's counter; either is emptied when it is full.
 MEMO, COUNTER = 1 << 19, 1 << 19
+MARKS = frozenset(".,;:!?")
 #: Longer pieces are not kept.
 KEPT_CHARS = 64
 
@@ -61,6 +62,13 @@ class Cutter:
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def __call__(self, piece: str) -> list[str]:
+        # letters after a space, and one mark behind them, are what most pieces are
+        if piece[:1] == " ":
+            word = piece[1:]
+            if word.isalpha():
+                return [piece]
+            if word[:-1].isalpha() and word[-1] in MARKS:
+                return [piece[:-1], piece[-1]]
         parts = self.split.split(piece) if self.split else [piece]
         out = []
         for p in parts:
