@@ -178,8 +178,8 @@ legs AS (SELECT trade_date, symbol, 1 + CAST(substr(symbol, 2) AS BIGINT) % 30 A
     lead(avg_price, 1) OVER w AS p1, lead(avg_price, 2) OVER w AS p2, lead(ttl_trd_qnty, 1) OVER w AS o1,
     lead(ttl_trd_qnty, 2) OVER w AS o2 FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
 fut AS (
-  SELECT trade_date, symbol, trade_date + CAST(nd AS INT) AS expiry_date, p1 AS close_price, o1 AS open_interest, 1 AS rn FROM legs WHERE p1 IS NOT NULL
-  UNION ALL SELECT trade_date, symbol, trade_date + CAST(nd + 28 AS INT), p2, o2, 2 FROM legs WHERE p2 IS NOT NULL),
+  SELECT trade_date, symbol, CAST(date_trunc('quarter', trade_date) + INTERVAL 2 MONTH AS DATE) + CAST(nd AS INT) AS expiry_date, p1 AS close_price, o1 AS open_interest, 1 AS rn FROM legs WHERE p1 IS NOT NULL
+  UNION ALL SELECT trade_date, symbol, CAST(date_trunc('quarter', trade_date) + INTERVAL 5 MONTH AS DATE) + CAST(nd AS INT), p2, o2, 2 FROM legs WHERE p2 IS NOT NULL),
 ixfut AS (SELECT trade_date, 20 AS dte, lead(close_val) OVER (ORDER BY trade_date) AS fut FROM idx),
 nn AS (
   SELECT a.trade_date, a.symbol, a.close_price AS fut, a.expiry_date - a.trade_date AS dte, a.open_interest AS oi,
@@ -252,7 +252,7 @@ def carry_annotation(spark, sf):
 
 POS = FUT + """,
 chg AS (SELECT *, open_interest - lag(open_interest) OVER w AS doi, close_price - lag(close_price) OVER w AS dpx,
-  expiry_date - trade_date <= 3 AS rolling FROM fut WINDOW w AS (PARTITION BY symbol, rn ORDER BY trade_date)),
+  expiry_date - trade_date <= 3 AS rolling FROM fut WINDOW w AS (PARTITION BY symbol, expiry_date ORDER BY trade_date)),
 lab AS (SELECT trade_date, symbol, rn, CASE WHEN rolling THEN '⟳ rolling' WHEN dpx > 0 AND doi > 0 THEN 'LB' WHEN dpx < 0 AND doi > 0 THEN 'SB'
   WHEN dpx > 0 AND doi < 0 THEN 'SC' WHEN dpx < 0 AND doi < 0 THEN 'LU' END AS label FROM chg),
 pos AS (SELECT trade_date, symbol, max(label) FILTER (rn = 1) AS fut_near, max(label) FILTER (rn = 2) AS fut_next FROM lab GROUP BY 1, 2)"""
@@ -263,6 +263,22 @@ def futures_positions(spark, sf):
     return ps.futures_positions(B.futures(spark, sf))
 
 
+@register("option_positions", "J19", "trade_date:d symbol call put bias pcr:f4", PANEL + """,
+legs AS (SELECT trade_date, symbol, CAST(date_trunc('quarter', trade_date) + INTERVAL 2 MONTH AS DATE) + CAST(1 + CAST(substr(symbol, 2) AS BIGINT) % 30 AS INT) AS ex,
+  deliv_qty AS coi, ttl_trd_qnty - deliv_qty AS poi, close_price - low_price AS cpx, high_price - close_price AS ppx FROM panel),
+d AS (SELECT *, coi - lag(coi) OVER w AS dc, poi - lag(poi) OVER w AS dp, cpx - lag(cpx) OVER w AS dcp, ppx - lag(ppx) OVER w AS dpp
+  FROM legs WINDOW w AS (PARTITION BY symbol, ex ORDER BY trade_date)),
+l AS (SELECT *, CASE WHEN dc > 0 AND dcp > 0 THEN 'C.Buying' WHEN dc > 0 AND dcp < 0 THEN 'C.Writing' WHEN dc < 0 AND dcp > 0 THEN 'C.SC'
+    WHEN dc < 0 AND dcp < 0 THEN 'C.LE' END AS "call",
+  CASE WHEN dp > 0 AND dpp > 0 THEN 'P.Buying' WHEN dp > 0 AND dpp < 0 THEN 'P.Writing' WHEN dp < 0 AND dpp > 0 THEN 'P.SC'
+    WHEN dp < 0 AND dpp < 0 THEN 'P.LE' END AS put FROM d),
+out AS (SELECT *, CASE WHEN "call" = 'C.Buying' AND put = 'P.Writing' THEN 'Bull' WHEN "call" = 'C.Writing' AND put = 'P.Buying' THEN 'Bear'
+    WHEN "call" = 'C.Writing' AND put = 'P.Writing' THEN 'Range' WHEN "call" = 'C.Buying' AND put = 'P.Buying' THEN 'Vol Bet'
+    ELSE concat_ws(' ', "call", put) END AS bias, CASE WHEN coi > 0 THEN CAST(poi AS DOUBLE) / coi END AS pcr FROM l)""")
+def option_positions(spark, sf):
+    return ps.option_positions(td.options(B.panel(spark, sf)))
+
+
 @register("positioning_asof", "J18 J17", "trade_date:d symbol date_used:d stale_days:i fut_near fut_next", POS + """,
 quarter AS (SELECT * FROM pos WHERE month(trade_date) % 3 = 1),
 days AS (SELECT DISTINCT trade_date AS d FROM quarter),

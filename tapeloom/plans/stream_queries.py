@@ -76,10 +76,11 @@ def stream_first_trigger(spark, sf):
     return run.run_available(live.first_trigger_stream(s, DELAY, Signal())).withColumnRenamed("day", "d")
 
 
-@register("stream_first_seen", "STR5s SRC17", "symbol day:d", """
-out AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events)""")
+@register("stream_first_seen", "STR5s SRC17", "symbol day:d first_seen:t", f"""
+out AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, min(ts) AS first_seen FROM events GROUP BY 1, 2
+  HAVING CAST(min(ts) AS DATE) + INTERVAL 1 DAY <= {CUT})""")
 def stream_first_seen(spark, sf):
-    return run.run_available(live.first_seen_stream(_stream_of(td.bars(spark, sf, 60)), "1 day"))
+    return run.run_available(live.first_seen_stream(_tick_stream(spark, sf), DELAY))
 
 
 @register("stream_side_runs", "STR6s W34", "symbol side run_start:t at:r", BARS + """,

@@ -106,8 +106,9 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derivatives(panel: DataFrame) -> DataFrame:
-    """Near and next contracts per (symbol, session), priced at the mean price of the following
-    sessions, plus two contracts on the index."""
+    """Near and next quarterly contracts per (symbol, session), priced at the mean price of the
+    following sessions, plus two contracts on the index. A stock contract keeps its expiry over the
+    six sessions it is quoted in."""
     d = panel
     w = Window.partitionBy("symbol").orderBy("trade_date")
     key = F.substring("symbol", 2, 20).cast("bigint")
@@ -118,7 +119,7 @@ def derivatives(panel: DataFrame) -> DataFrame:
     stock = legs.select(
         "trade_date", F.lit("FUTSTK").alias("instrument"), "symbol",
         F.explode(F.array(*[F.struct(
-            F.date_add("trade_date", F.col("near_days") + 28 * (n - 1)).alias("expiry_date"),
+            F.date_add(F.add_months(F.trunc("trade_date", "quarter"), 3 * n - 1), F.col("near_days")).alias("expiry_date"),
             F.col(f"avg_price{n}").alias("close_price"),
             F.col(f"ttl_trd_qnty{n}").alias("open_interest"),
             F.col(f"no_of_trades{n}").alias("contracts")) for n in (1, 2)])).alias("c")
@@ -136,6 +137,19 @@ def derivatives(panel: DataFrame) -> DataFrame:
     return stock.unionByName(ix)
 
 
+def options(panel: DataFrame) -> DataFrame:
+    """One call and one put per (symbol, session) on the quarter's contract. Delivered quantity stands
+    for the call's open interest and the rest for the put's; the way from the close to the session's
+    low and high is the premium."""
+    near_days = (1 + F.substring("symbol", 2, 20).cast("bigint") % 30).cast("int")
+    leg = lambda side, oi, premium: F.struct(F.lit(side).alias("option_type"), oi.alias("open_interest"), premium.alias("close_price"))
+    return panel.select(
+        "trade_date", "symbol", F.date_add(F.add_months(F.trunc("trade_date", "quarter"), 2), near_days).alias("expiry_date"),
+        F.explode(F.array(leg("C", F.col("deliv_qty"), F.col("close_price") - F.col("low_price")),
+                          leg("P", F.col("ttl_trd_qnty") - F.col("deliv_qty"), F.col("high_price") - F.col("close_price")))).alias("leg")
+    ).select("trade_date", "symbol", "expiry_date", "leg.*")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prints of the event stream: symbol, ts, price, volume."""
     return table(spark, sf_dir, "events").select(

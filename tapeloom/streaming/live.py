@@ -126,12 +126,11 @@ def first_trigger_stream(bars: DataFrame, delay: str, p: Signal = Signal()) -> D
 
 
 def first_seen_stream(rows: DataFrame, delay: str) -> DataFrame:
-    """First time each symbol shows up in a session: a plain deduplication, which keeps the first
-    row of a key per state lifetime; the session is part of the key, so it resets by itself. Pass
-    bars or scan rows: a deduplication has no map-side combine, so raw ticks of a hot symbol would
-    all travel to one task."""
-    d = rows.withWatermark("ts", delay).withColumn("day", F.to_date("ts"))
-    return d.dropDuplicatesWithinWatermark(["symbol", "day"]).select("symbol", "day", F.col("ts").alias("first_seen"))
+    """Earliest event time of each symbol in a session, whatever order its rows come in; emitted once
+    the watermark has passed the session. Tasks combine before the shuffle, so raw ticks may be passed."""
+    day = F.window("ts", "1 day")
+    g = rows.withWatermark("ts", delay).groupBy("symbol", day.alias("w")).agg(F.min("ts").alias("first_seen"))
+    return g.select("symbol", F.to_date("w.start").alias("day"), "first_seen")
 
 
 def side_run_stream(sides: DataFrame, delay: str) -> DataFrame:
