@@ -7,8 +7,8 @@ Jaccard similarity of 0.8 two classes share a key with probability 1 - (1 - 0.8^
 Classes with a common key are joined and their similarity is computed exactly from their words.
 
 A key that more than CROWD classes share is not paired out. Each of its classes is compared with the
-key's pivot, the class with the most paragraphs, and the classes are dealt anew by longer keys, made
-of two bands and then of four, where the same rule holds. Links are pairs of classes of
+key's pivot, the class with the most paragraphs, and the key is split by longer keys, made of its band
+and one more and then of four, where the same rule holds. Links are pairs of classes of
 similarity THRESHOLD or more; components of links are the clusters. The first paragraph of a cluster,
 by doc_id (nulls last), text hash and place, stays and all others go.
 
@@ -22,7 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -195,20 +195,26 @@ def _filter(classes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _combined(bands: int, tables: int) -> list[tuple[int, ...]]:
-    """Sets of that many bands, spread evenly."""
-    rng = np.random.default_rng(bands)
-    sets = {tuple(sorted(rng.choice(BANDS, bands, replace=False).tolist())) for _ in range(8 * tables)}
-    return sorted(sets)[::max(1, len(sets) // tables)][:tables]
+def _longer(level: int) -> Column:
+    """The keys that a crowded key (table t, of the first band i and what is in t besides) is split by:
+    two for each, of two bands at the second level and of four at the third."""
+    i = F.expr(f"t div {1 << max(0, level - 1)}")
+    band = lambda by: F.get("keys", ((i + by) % BANDS).cast("int"))
+    made = []
+    for u in range(2):
+        more = [band(F.lit(1 + u))] if level == 1 else [band(1 + F.col("t") % 2), band(F.lit(3 + u)), band(F.lit(6 + 2 * u))]
+        t = F.col("t") * 2 + u
+        made.append(F.struct(t.cast("int").alias("t"), F.xxhash64(t, band(F.lit(0)), *more).alias("key")))
+    return F.explode(F.array(*made))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b) with a < b: pairs of classes (class, n, n_words, keys) that share a key and whose lengths
     allow the similarity."""
-    spark, found, todo = classes.sparkSession, [], classes
-    for tables in ([(i,) for i in range(BANDS)], _combined(2, 24), _combined(4, 48)):
-        key = F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.col("keys")[j] for j in t]) for i, t in enumerate(tables)]))
-        rows = todo.select(key.alias("key"), "class", "n", "n_words")
+    spark, found = classes.sparkSession, []
+    rows = (classes.select("class", "n", "n_words", F.posexplode("keys").alias("t", "key"))
+            .withColumn("key", F.xxhash64("t", "key")))
+    for level in range(3):
         shared = known_size(rows.groupBy("key").count().where("count > 1"))
         rows = stage(rows.join(shared, "key"))
         calm, crowd = rows.where(F.col("count") <= CROWD), rows.where(F.col("count") > CROWD)
@@ -216,9 +222,12 @@ def candidates(classes: DataFrame) -> DataFrame:
         pivot = known_size(crowd.groupBy("key").agg(F.max_by(F.struct("class", "n_words"), F.struct("n", "class")).alias("p"))
                            .select("key", F.col("p.class").alias("class"), F.col("p.n_words").alias("n_words")))
         found.append(_sized(crowd.alias("x").join(pivot.alias("y"), "key").where("x.class <> y.class")))
-        if crowd.isEmpty():
+        if level == 2 or crowd.isEmpty():
             break
-        todo = stage(classes.join(known_size(crowd.select("class").distinct()), "class", "left_semi"))
+        # a class has a fixed number of keys, so the list of its crowded ones is short
+        tables = crowd.groupBy("class").agg(F.collect_set("t").alias("tables"))
+        rows = (classes.join(known_size(tables), "class").select("class", "n", "n_words", "keys", F.explode("tables").alias("t"))
+                .select("class", "n", "n_words", _longer(level + 1).alias("k")).select("class", "n", "n_words", "k.*"))
     out = spark.createDataFrame([], "a bigint, b bigint")
     for f in found:
         out = out.unionByName(f)
