@@ -22,8 +22,8 @@ from ..session import stage
 from .common import arrow_map, batch_of, pick, strings, take
 from .pretokens import Cutter, Memo, pretoken_counts, tokenizer
 
-#: Pre-tokens that travel with the tasks, and the longest of them: at most 16 MB of text.
-HOT, HOT_CHARS = 1 << 18, 64
+#: Pre-tokens that travel with the tasks, and the longest of them: at most 8 MB of text.
+HOT, HOT_CHARS = 1 << 17, 64
 
 
 def pieces_of(vocabulary: DataFrame, path: str) -> DataFrame:
