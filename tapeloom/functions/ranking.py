@@ -2,12 +2,11 @@
 
 `pct_rank` is a plain window, for cross-sections bounded by a dimension (sectors on a date).
 
-Cross-sections of symbols have no such bound, so everything else here first measures the largest
-group. Up to `ROWS_PER_PIECE` rows a group is sorted in one window partition. Beyond that it is cut
-at splitter values, every piece is sorted on its own, and the sizes of the pieces in front are
-added. Splitters are the rows whose key hash is divisible by the piece size, a pure function of the
-data, so a lost task that is run again finds the same cuts. They only balance the work: every row
-is ranked on either path, with the same result.
+Cross-sections of symbols have no such bound, so everything else here cuts each group at splitter
+values, sorts every piece on its own and adds the sizes of the pieces in front. Splitters are the rows
+whose key hash is divisible by the piece size, a pure function of the data, so a lost task that is run
+again finds the same cuts; a group smaller than a piece has none and is one piece. They only balance
+the work: every row is ranked, by the same plan at every size.
 
 The input is read more than once, so callers pass a staged table.
 """
@@ -28,11 +27,6 @@ def pct_rank(value: str, by: list[str]) -> Column:
     return F.when(c.isNotNull(), (rank + (ties - 1) / 2.0) / n)
 
 
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    """Rows of the largest group; one pass with a map-side combine."""
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
 def prefix_counts(df: DataFrame, by: list[str], order: list[str], weight: str | None = None,
                   rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """Add `_before` (total weight of the rows of the group ordered in front) and `_total`.
@@ -41,15 +35,6 @@ def prefix_counts(df: DataFrame, by: list[str], order: list[str], weight: str |
     """
     df = df.where(F.col(order[0]).isNotNull())
     df = df.withColumn("_w", F.lit(1) if weight is None else F.col(weight))
-    if largest_group(df, by) <= rows_per_piece:
-        group = Window.partitionBy(*by)
-        front = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({"_before": F.coalesce(F.sum("_w").over(front), F.lit(0)),
-                               "_total": F.sum("_w").over(group)}).drop("_w")
-    return _prefix_counts_by_piece(df, by, order, rows_per_piece)
-
-
-def _prefix_counts_by_piece(df: DataFrame, by: list[str], order: list[str], rows_per_piece: int) -> DataFrame:
     key = F.struct(*order)
     cuts = (df.where(F.pmod(F.xxhash64(*by, *order), F.lit(rows_per_piece)) == 0)
               .groupBy(*by).agg(F.sort_array(F.collect_set(key)).alias("_cuts")))
@@ -74,9 +59,8 @@ def spread_pct_rank(df: DataFrame, by: list[str], value: str, out: str,
                     rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """Rows of `df` with a value, plus its average-tie percent rank in the group."""
     df = df.where(F.col(value).isNotNull())
-    if largest_group(df, by) <= rows_per_piece:
-        return df.withColumn(out, pct_rank(value, by))
-    # equal values are folded first, so a value that fills a third of a group is one row
+    # equal values are folded for the ranks; joining them back, Spark splits the rows of a value that
+    # fills a third of a group, as the other side has one row for it
     dist = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     d = prefix_counts(dist, by, [value], "_c", rows_per_piece)
     ranks = d.select(*by, value, ((F.col("_before") + (F.col("_c") + 1) / 2.0) / F.col("_total")).alias(out))

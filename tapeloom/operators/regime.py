@@ -5,6 +5,8 @@ the calendar and never grows with the panel.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,11 @@ def live_gate(index: DataFrame, live: DataFrame, p: Signal = Signal()) -> DataFr
                             & (F.col("live_close") > ma)).alias("up"))
 
 
-def ema(value: str, span: int, w, horizon: int = 1500) -> Column:
-    """Recursive exponential mean (no bias correction), folded over at most `horizon` rows. What
-    lies further back weighs less than one unit in the last place of a double."""
+def ema(value: str, span: int, w) -> Column:
+    """Recursive exponential mean (no bias correction), folded over the rows that count: what lies
+    further back weighs less than one unit in the last place of a double, whatever the span."""
     a = 2.0 / (span + 1)
+    horizon = 1 if a >= 1 else math.ceil(54 * math.log(2) / -math.log1p(-a)) + 1
     xs = F.collect_list(value).over(w.rowsBetween(-(horizon - 1), 0))
     return F.aggregate(xs, F.lit(None).cast("double"),
                        lambda acc, x: F.when(acc.isNull(), x).otherwise(a * x + (1 - a) * acc))

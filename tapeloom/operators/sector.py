@@ -149,19 +149,19 @@ def tilt_label(rank: Column, br: Column, thin: Column, revert: Column, t: Tilt =
 
 
 def sector_tilt(daily: DataFrame, master: DataFrame, nifty: DataFrame, start=None, end=None,
-                t: Tilt = Tilt(), r: Regime = Regime(), lead_days: int | None = None) -> DataFrame:
+                t: Tilt = Tilt(), r: Regime = Regime()) -> DataFrame:
     """Tilt of every ranked sector for every session in [start, end]; causal at each of them. The
     trailing factors are formed before the range is cut, so a single session reads the same in a
     one-session run and in a full-history run.
 
-    Spark cannot push the range below the windows. `lead_days` bounds the panel that is read to that
-    many days before `start`: at least the longest trailing window plus the longest gap of a symbol.
+    Spark cannot push the range below the windows. The panel is read from as many days before `start`
+    as the trailing windows of the parameters reach: the panel's and, before it, the persistence's.
     The index series is always read whole, its volatility rank is over all history."""
     if end is not None:
         daily = daily.where(F.col("trade_date") <= F.lit(end))
         nifty = nifty.where(F.col("trade_date") <= F.lit(end))
-    if start is not None and lead_days is not None:
-        daily = daily.where(F.col("trade_date") >= F.date_sub(F.lit(start).cast("date"), lead_days))
+    if start is not None:
+        daily = daily.where(F.col("trade_date") >= F.date_sub(F.lit(start).cast("date"), t.panel_cal + t.pers_cal))
     deliv = (_members(daily, master, t).where("deliv_per IS NOT NULL")
              .select("symbol", "sector", "trade_date", "deliv_per", "turnover_lacs"))
     nifty = known_size(nifty)
@@ -203,12 +203,12 @@ def sector_tilt(daily: DataFrame, master: DataFrame, nifty: DataFrame, start=Non
 
 
 def sector_tilt_asof(daily: DataFrame, master: DataFrame, nifty: DataFrame, as_of, t: Tilt = Tilt(),
-                     r: Regime = Regime(), lead_days: int | None = None) -> DataFrame:
+                     r: Regime = Regime()) -> DataFrame:
     """The tilt of one session; empty if the day is not a session."""
-    return sector_tilt(daily, master, nifty, as_of, as_of, t, r, lead_days)
+    return sector_tilt(daily, master, nifty, as_of, as_of, t, r)
 
 
-def tenure(tilt: DataFrame, cap: int = 90) -> DataFrame:
+def tenure(tilt: DataFrame) -> DataFrame:
     """Sessions in a row each sector has held its current OVERWEIGHT or UNDERWEIGHT call, 0 for any
     other label. A session in which the sector was not ranked breaks the run."""
     d = with_slot(tilt)
@@ -217,7 +217,7 @@ def tenure(tilt: DataFrame, cap: int = 90) -> DataFrame:
     d = d.withColumn("_run", F.sum(F.when(yes(same), 0).otherwise(1)).over(w))
     k = F.row_number().over(Window.partitionBy("sector", "_run").orderBy("slot"))
     held = F.col("tilt").isin("OVERWEIGHT", "UNDERWEIGHT")
-    return d.withColumn("days_in_tilt", F.when(yes(held), F.least(k, F.lit(cap))).otherwise(0)).drop("_run", "slot")
+    return d.withColumn("days_in_tilt", F.when(yes(held), k).otherwise(0)).drop("_run", "slot")
 
 
 def badge(side: Column | None = None, cap: int = 90) -> Column:

@@ -199,7 +199,7 @@ def _tilt(spark, sf):
 @register("sector_tilt_asof", "E5", TILT_COLS, TILT_SQL + ", out AS (SELECT * FROM tilt WHERE trade_date = DATE '2000-05-01')")
 def sector_tilt_asof(spark, sf):
     d, m, n = _inputs(spark, sf)
-    return se.sector_tilt_asof(d, m, n, "2000-05-01", TILT, REGIME, lead_days=1400)
+    return se.sector_tilt_asof(d, m, n, "2000-05-01", TILT, REGIME)
 
 
 BADGED = TILT_SQL + """,
@@ -207,7 +207,7 @@ ti AS (SELECT *, dense_rank() OVER (ORDER BY trade_date) AS slot FROM tilt),
 tj AS (SELECT *, CASE WHEN lag(tilt) OVER w = tilt AND lag(slot) OVER w = slot - 1 THEN 0 ELSE 1 END AS brk FROM ti
   WINDOW w AS (PARTITION BY sector ORDER BY slot)),
 tk AS (SELECT *, sum(brk) OVER (PARTITION BY sector ORDER BY slot) AS run FROM tj),
-ten AS (SELECT *, CASE WHEN tilt IN ('OVERWEIGHT', 'UNDERWEIGHT') THEN least(row_number() OVER (PARTITION BY sector, run ORDER BY slot), 90) ELSE 0 END AS days_in_tilt FROM tk)"""
+ten AS (SELECT *, CASE WHEN tilt IN ('OVERWEIGHT', 'UNDERWEIGHT') THEN row_number() OVER (PARTITION BY sector, run ORDER BY slot) ELSE 0 END AS days_in_tilt FROM tk)"""
 
 
 @register("tilt_tenure", "W28", "trade_date:d sector tilt days_in_tilt:i", BADGED + ", out AS (SELECT * FROM ten)")
