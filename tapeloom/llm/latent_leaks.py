@@ -4,17 +4,18 @@ Benchmark passages become TF-IDF vectors, whose document frequencies are counted
 corpus. A distributed randomised SVD of the passages gives a latent space: tasks multiply their
 passages with a random matrix, the partial products are summed by blocks of terms, and only the
 (terms x rank) factor is orthonormalised on the driver. Windows of every document are projected into
-that space and compared by cosine with all passages, in blocks. A window that is close enough is read
-word by word: the longest common subsequence must cover COVER of the passage, or PART of it together
+that space and compared with all passages, in blocks: a candidate has a cosine of COSINE or more, and
+its projection on the passage is at least HELD of the passage's length. A candidate is read word by word: the longest common subsequence must cover COVER of the passage, or PART of it together
 with ANSWER of the words of its answer (a column `answer`, or else the last sentence).
 
-Windows are one and a half times as long as the passages they are compared with and overlap such that
-each stretch of a passage's length lies whole in one of them. Items of over PASSAGE words are cut into
-even passages and leak if one of them does. Passages are taken in blocks of BLOCK, and each block has
-its own pass over the documents, so what tasks are sent does not grow with the benchmark.
+Windows are one and a half times to twice as long as the passages they are compared with and overlap
+such that each stretch of a passage's length lies whole in one of them. Words that more than COMMON of
+the documents hold have no weight, unless a passage has fewer than SHORT others. Items of over PASSAGE words are cut into
+even passages and leak if one of them does. Passages are taken in blocks of BLOCK, no more than the
+space has dimensions, so none is lost in it; each block has its own pass over the documents, and what
+tasks are sent does not grow with the benchmark.
 
-Words are stretches without white space, lower-cased, without the signs at their ends; stretches of
-signs alone are skipped. Null or empty documents and items match nothing. Items of fewer than SHORT
+Words are lower-cased stretches without white space and MARKS. Null or empty documents and items match nothing. Items of fewer than SHORT
 words match word for word only. Repeated rows of documents give one row each per item; repeated items
 with equal ids give one row. Rows with null ids are treated as any other. Ties of windows go to the
 first. Empty tables give an empty result.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +36,24 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..session import known_size, stage
 from .common import arrow_map, batch_of, pick, strings
 
-PASSAGE, BLOCK, SHORT = 128, 4096, 8
-RANK, OVERSAMPLE = 96, 16
-SCALES = (16, 32, 64, 128)
-STEP = 8
-COSINE, COVER, PART, ANSWER = 0.4, 0.8, 0.6, 0.8
-#: Words that are projected at once; entries of the memo of a worker; characters split at once.
-CHUNK, MEMO, SLICE = 1 << 14, 1 << 18, 1 << 22
-_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+PASSAGE, BLOCK, SHORT = 128, 256, 8
+RANK, OVERSAMPLE = 256, 16
+#: Longest passage, window and hop of each scale, in words.
+SCALES = ((16, 32, 16), (32, 48, 16), (64, 96, 32), (128, 192, 64))
+STEP = 16
+COSINE, HELD, COMMON = 0.3, 0.4, 0.1
+COVER, PART, ANSWER = 0.8, 0.6, 0.8
+MARKS = ".,;:!?\"'`()[]{}<>/\\|-_*#%&$@+=~^…–—“”„‘’«»¿¡·•。，、？！"
+#: Words that are projected at once; characters split at once.
+CHUNK, SLICE = 1 << 14, 1 << 22
 _SPACE = re.compile(r"\s")
 
 
-def plain(token: str) -> str:
-    return _ENDS.sub("", token.lower())
+def words_of(text: str) -> list[str]:
+    for m in MARKS:
+        if m in text:
+            text = text.replace(m, " ")
+    return text.lower().split()
 
 
 def parts(text: str):
@@ -61,29 +68,17 @@ def parts(text: str):
     yield text[at:] if at else text
 
 
-class Reader(dict):
-    """token -> number of its word in the vocabulary, 0 for other words, -1 for no word."""
+def numbers(text: str, vocabulary: dict[str, int]) -> np.ndarray:
+    """The words of a text as numbers, 0 for words that are not in the vocabulary."""
+    out = []
+    for p in parts(text):
+        w = words_of(p)
+        out.append(np.fromiter(map(vocabulary.get, w, repeat(0)), np.int32, len(w)))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
-    def __init__(self, words: list[str]):
-        super().__init__()
-        self.number = {w: i + 1 for i, w in enumerate(words)}
 
-    def __missing__(self, token: str) -> int:
-        w = plain(token)
-        n = self.number.get(w, 0) if w else -1
-        if len(self) >= MEMO:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = n
-        return n
-
-    def __call__(self, text: str) -> np.ndarray:
-        out = []
-        for p in parts(text):
-            tokens = p.split()
-            a = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
-            out.append(a[a >= 0])
-        return out[0] if len(out) == 1 else np.concatenate(out)
+def numbered(words: list[str]) -> dict[str, int]:
+    return {w: i + 1 for i, w in enumerate(words)}
 
 
 def passages(items: DataFrame) -> DataFrame:
@@ -97,10 +92,9 @@ def passages(items: DataFrame) -> DataFrame:
         for b in batches:
             out = ([], [], [], [])
             for i, (item, text) in enumerate(zip(b.column(0).to_pylist(), strings(b, "text"))):
-                words = [w for t in (text or "").split() if (w := plain(t))]
+                words = words_of(text or "")
                 given = b.column(2)[i].as_py() if has else None
-                tail = [w for w in ([plain(t) for t in given.split()] if given else
-                                    [plain(t) for t in re.split(r"(?<=[.!?])\s+", (text or "").strip())[-1].split()]) if w]
+                tail = words_of(given or re.split(r"(?<=[.!?])\s+", (text or "").strip())[-1])
                 if given:
                     words += tail
                 n = -(-len(words) // PASSAGE)
@@ -121,14 +115,13 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[int, np.nda
     schema = pa.schema([("word", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
-        read, total = Reader(sent.value), np.zeros(len(sent.value) + 1, np.int64)
+        vocabulary, total = numbered(sent.value), np.zeros(len(sent.value) + 1, np.int64)
         for b in batches:
             for text in strings(b, "text"):
-                seen = {read[t] for p in parts(text or "") for t in set(p.split())}
-                seen.discard(0)
-                seen.discard(-1)
-                total[list(seen)] += 1
-                total[0] += 1
+                seen = np.zeros(len(total), np.int64)
+                seen[numbers(text or "", vocabulary)] = 1
+                seen[0] = 1  # counts documents
+                total += seen
         at = np.flatnonzero(total)
         yield batch_of(schema, at, total[at])
 
@@ -215,9 +208,10 @@ def common(masks: dict[int, int], length: int, words: list[int]) -> int:
 class Index:
     words: list[str]
     project: np.ndarray  # word number (0: none), rank
+    told: np.ndarray  # does the word have a weight?
     items: list
     passages: list[Passage]
-    scales: list[tuple[int, np.ndarray, np.ndarray]]  # scale, numbers of passages, their unit vectors
+    scales: list[tuple[int, int, np.ndarray, np.ndarray]]  # window and hop in steps, numbers of passages, their vectors
 
     def near(self, texts: list[np.ndarray]):
         """(text, passage, first word, end, cosine) of windows close to a passage."""
@@ -226,21 +220,29 @@ class Index:
         flat = np.zeros(starts[-1] * STEP, np.int32)
         for t, at in zip(texts, starts):
             flat[at * STEP:at * STEP + len(t)] = t
-        blocks = self.project[flat].reshape(-1, STEP, self.project.shape[1]).sum(axis=1)
-        run = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
+        # a word said again at once counts once
+        told = np.flatnonzero(self.told[flat] & np.concatenate([[True], flat[1:] != flat[:-1]]))
+        if not len(told):
+            return
+        step = told // STEP
+        first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+        run = np.zeros((len(flat) // STEP + 1, self.project.shape[1]), np.float32)
+        run[step[first] + 1] = np.add.reduceat(self.project[flat[told]], first, axis=0)
+        np.cumsum(run, axis=0, out=run)
         owner, end = np.repeat(np.arange(len(texts)), lengths), np.repeat(starts[1:], lengths)
-        inner = np.arange(len(blocks)) - np.repeat(starts[:-1], lengths)
-        for scale, numbers, unit in self.scales:
-            hop = scale // 2 // STEP
-            first = np.flatnonzero(inner % hop == 0)
-            last = np.minimum(first + 3 * hop, end[first])
-            x = (run[last] - run[first]).astype(np.float32)
-            norm = np.sqrt((x * x).sum(axis=1))
-            near = x @ unit.T
-            w, p = np.nonzero(near >= COSINE * np.maximum(norm, 1e-6)[:, None])
-            base = starts[owner[first[w]]]
-            yield from zip(owner[first[w]].tolist(), numbers[p].tolist(), ((first[w] - base) * STEP).tolist(),
-                           ((last[w] - base) * STEP).tolist(), (near[w, p] / norm[w]).tolist())
+        inner = np.arange(len(owner)) - np.repeat(starts[:-1], lengths)
+        for long, hop, number, vectors in self.scales:
+            begin = np.flatnonzero(inner % hop == 0)
+            last = np.minimum(begin + long, end[begin])
+            x = run[last] - run[begin]
+            length = (vectors * vectors).sum(axis=1)
+            inside = x @ vectors.T
+            w, p = np.nonzero(inside >= HELD * length)
+            cosine = inside[w, p] / np.sqrt(np.maximum((x[w] * x[w]).sum(axis=1) * length[p], 1e-12))
+            w, p, cosine = w[cosine >= COSINE], p[cosine >= COSINE], cosine[cosine >= COSINE]
+            base = starts[owner[begin[w]]]
+            yield from zip(owner[begin[w]].tolist(), number[p].tolist(), ((begin[w] - base) * STEP).tolist(),
+                           ((last[w] - base) * STEP).tolist(), cosine.tolist())
 
     def check(self, number: int, text: np.ndarray, first: int, end: int, masks) -> tuple[float, float] | None:
         """(cover, cover of the answer) if the window holds the passage."""
@@ -266,9 +268,14 @@ def build(docs: DataFrame, block: list, items: list) -> Index:
     """The latent index of the passages of one block, rows of passages()."""
     spark = docs.sparkSession
     words = sorted({w for r in block for w in r["words"]})
-    number = {w: i + 1 for i, w in enumerate(words)}
+    number = numbered(words)
     n, held = document_frequencies(docs, words)
-    idf = np.log((n + 1) / (held + 1)) + 1e-3
+    common = held > COMMON * n
+    for r in block:
+        at = [number[w] for w in r["words"]]
+        if len(at) - common[at].sum() < SHORT:
+            common[at] = False
+    idf = np.where(common, 0.0, np.log((n + 1) / (held + 1)) + 1e-3)
     idf[0] = 0
     counted = [Counter(number[w] for w in r["words"]) for r in block]
     rows = [([*c], [float((1 + np.log(f)) * idf[t]) for t, f in c.items()]) for c in counted]
@@ -276,15 +283,14 @@ def build(docs: DataFrame, block: list, items: list) -> Index:
     space = latent_space(vectors, len(words) + 1)
     project = (space * idf[:, None]).astype(np.float32)
     at = np.stack([np.asarray(w) @ space[t] for t, w in rows]).astype(np.float32)
-    at /= np.maximum(np.sqrt((at * at).sum(axis=1, keepdims=True)), 1e-9)
     found = [Passage(i, np.array([number[w] for w in r["words"]], np.int32), r["answer"]) for i, r in enumerate(block)]
     scales, low = [], 0
-    for s in SCALES:
-        numbers = np.array([i for i, p in enumerate(found) if low < len(p.words) <= s], int)
-        if len(numbers):
-            scales.append((s, numbers, at[numbers]))
-        low = s
-    return Index(words, project, items, found, scales)
+    for size, window, hop in SCALES:
+        those = np.array([i for i, p in enumerate(found) if low < len(p.words) <= size], int)
+        if len(those):
+            scales.append((window // STEP, hop // STEP, those, at[those]))
+        low = size
+    return Index(words, project, idf > 0, items, found, scales)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -312,7 +318,7 @@ def _search(docs: DataFrame, index: Index, kinds: str, item_type: pa.DataType) -
 
     def run(batches):
         ix = sent.value
-        read, masks = Reader(ix.words), [p.masks for p in ix.passages]
+        vocabulary, masks = numbered(ix.words), [p.masks for p in ix.passages]
 
         def search(texts):
             best = {}
@@ -328,7 +334,7 @@ def _search(docs: DataFrame, index: Index, kinds: str, item_type: pa.DataType) -
 
         def whole(text):
             """Chunks of a long text overlap by the longest window and what is read around it."""
-            over, best, at = 4 * SCALES[-1], {}, 0
+            over, best, at = 4 * SCALES[-1][1], {}, 0
             while True:
                 for (_, item), (first, cosine, cover, answer) in search([text[at:at + CHUNK]]).items():
                     old = best.get(item)
@@ -349,7 +355,7 @@ def _search(docs: DataFrame, index: Index, kinds: str, item_type: pa.DataType) -
                 held, size = [], 0
 
             for i, text in enumerate(texts):
-                x = read(text or "")
+                x = numbers(text or "", vocabulary)
                 if len(x) > CHUNK:
                     out += [(i, item, *v) for item, v in whole(x).items()]
                 elif len(x):

@@ -92,7 +92,8 @@ def paragraph_clusters(rows):
 
 
 def holds(text, item):
-    return f" {' '.join(plain(item))} " in f" {' '.join(plain(text or ''))} "
+    words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    return f" {words(item)} " in f" {words(text or '')} "
 
 
 def tokens(texts):
