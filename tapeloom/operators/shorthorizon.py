@@ -139,3 +139,15 @@ def short_horizon_board(fine: DataFrame, fine_min: int, confirm_min: int, up_min
         F.coalesce(F.bround(room, 2), F.lit(float("inf"))).alias("room"),
         F.bround(F.col("ltp") - atr, 2).alias("stop"), F.bround(F.col("ltp") + atr, 2).alias("t1"), F.bround(atr, 2).alias("atr"),
         F.bround("turnover", 1).alias("turnover"), F.col("n_bars").alias("bars"))
+
+
+def short_entries(sides: DataFrame) -> DataFrame:
+    """The entry of short_entry() as of every session of every symbol, in one pass: (symbol, d, entered,
+    at) for the sessions in which a short side appears that the last read before did not have."""
+    short = F.when(F.col("side") == "SHORT", F.struct("ts", "close"))
+    days = sides.groupBy("symbol", F.to_date("ts").alias("d")).agg(
+        F.min(short).alias("hit"), F.max_by("side", F.when(F.col("side").isNotNull(), F.col("ts"))).alias("_side"))
+    past = Window.partitionBy("symbol").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.last("_side", ignorenulls=True).over(past))
+    new = F.col("hit").isNotNull() & F.coalesce(F.col("_before") != "SHORT", F.lit(True))
+    return days.where(new).select("symbol", "d", F.date_format("hit.ts", "HH:mm").alias("entered"), F.bround("hit.close", 2).alias("at"))

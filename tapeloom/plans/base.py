@@ -123,32 +123,34 @@ def new_run() -> None:
     _staged.clear()
 
 
-def once(name: str, make) -> DataFrame:
-    if name not in _staged:
-        _staged[name] = stage(make())
-    return _staged[name]
+def once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """One staged table for each session, folder and name; queries over other data keep their own."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _staged:
+        _staged[key] = stage(make())
+    return _staged[key]
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The session panel, aggregated from the prints once per query."""
-    return once("panel", lambda: td.eod_panel(spark, sf))
+def panel(spark: SparkSession, sf: str, start=None, end=None) -> DataFrame:
+    """The session panel, aggregated from the prints once per query; a dated query reads its range only."""
+    return once(spark, sf, f"panel {start} {end}", lambda: td.eod_panel(spark, sf, start, end))
 
 
 def session_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars inside the sessions, folded from the prints once per query."""
-    return once("session_bars", lambda: td.session_bars(spark, sf))
+    return once(spark, sf, "session_bars", lambda: td.session_bars(spark, sf))
 
 
-def eod(spark: SparkSession, sf: str) -> DataFrame:
-    return src.load_eod(panel(spark, sf))
+def eod(spark: SparkSession, sf: str, start=None, end=None) -> DataFrame:
+    return src.load_eod(panel(spark, sf, start, end))
 
 
 def index(spark: SparkSession, sf: str) -> DataFrame:
-    return once("index", lambda: src.load_index(td.index_series(panel(spark, sf)), INDEX))
+    return once(spark, sf, "index", lambda: src.load_index(td.index_series(panel(spark, sf)), INDEX))
 
 
-def nifty(spark: SparkSession, sf: str) -> DataFrame:
-    return src.index_returns(td.index_series(panel(spark, sf)), INDEX)
+def nifty(spark: SparkSession, sf: str, end=None) -> DataFrame:
+    return src.index_returns(td.index_series(panel(spark, sf, None, end)), INDEX)
 
 
 def futures(spark: SparkSession, sf: str) -> DataFrame:

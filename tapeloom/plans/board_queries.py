@@ -237,7 +237,7 @@ def _quotes(spark, sf):
 
 
 def _next_ref(spark, sf):
-    return B.once("next_ref", lambda: bd.next_session_reference(
+    return B.once(spark, sf, "next_ref", lambda: bd.next_session_reference(
         bd.reference_table(B.eod(spark, sf), B.index(spark, sf), B.sectors(spark, sf), None)))
 
 
@@ -590,20 +590,12 @@ def side_by_bar(spark, sf):
 dd AS (SELECT *, CAST(ts AS DATE) AS d FROM sides),
 eod_side AS (SELECT symbol, d, arg_max(side, ts) AS last_side FROM dd WHERE side IS NOT NULL GROUP BY 1, 2),
 hit AS (SELECT symbol, d, min(ts) AS ts, arg_min(ltp, ts) AS px FROM dd WHERE side = 'SHORT' GROUP BY 1, 2),
-cut AS (SELECT unnest([DATE '2024-01-05', DATE '2024-01-08', DATE '2024-01-12', DATE '2024-01-15', DATE '2024-01-24', DATE '2024-01-30']) AS c),
-nd AS (SELECT c, symbol, max(d) AS d FROM dd, cut WHERE d <= c GROUP BY 1, 2),
+nd AS (SELECT DISTINCT symbol, d FROM dd),
 bf AS (SELECT n.symbol, n.d, (SELECT arg_max(side, ts) FROM dd WHERE dd.symbol = n.symbol AND dd.d < n.d AND side IS NOT NULL) AS before FROM nd n),
 out AS (SELECT b.symbol, b.d, strftime(ts, '%H:%M') AS entered, round_even(px, 2) AS "at" FROM bf b JOIN hit h ON h.symbol = b.symbol AND h.d = b.d WHERE coalesce(before <> 'SHORT', TRUE))""")
 def short_entries(spark, sf):
     fine = td.bars(spark, sf, 60)
-    sides = stage(sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 0, EASY))
-    out = None
-    for day in ("2024-01-05", "2024-01-08", "2024-01-12", "2024-01-15", "2024-01-24", "2024-01-30"):     # as-of days
-        seen = sides.where(F.to_date("ts") <= F.lit(day))
-        newest = seen.groupBy("symbol").agg(F.max(F.to_date("ts")).alias("d"))
-        part = sh.short_entry(seen).join(newest, "symbol")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return sh.short_entries(sh.side_by_bar(fine, bo.resample(fine, 240, FULL), 0, EASY))
 
 
 @register("energy", "A34", "symbol rv10:f rvol:f", BARS + """,

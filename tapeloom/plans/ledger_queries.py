@@ -1,6 +1,8 @@
 """Ledger, calibration, basis, positioning, delivery."""
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import basis as bs
@@ -295,6 +297,12 @@ def positioning_asof(spark, sf):
 AS_OF = "2000-09-01"
 
 
+def _dated(spark, sf, days):
+    """The sessions that a look back of so many days from AS_OF can meet."""
+    return B.eod(spark, sf, date.fromisoformat(AS_OF) - timedelta(days=days), AS_OF)
+
+
+
 @register("delivery_momentum", "E8 A14", "symbol wtd_recent:f avg_norm:f deliv_vs_norm:f", PANEL + f""",
 u AS (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date < DATE '{AS_OF}' ORDER BY trade_date DESC) AS k FROM eod
   WHERE trade_date <= DATE '{AS_OF}' AND trade_date >= DATE '{AS_OF}' - 2000 AND turnover_lacs > 0 AND deliv_per IS NOT NULL),
@@ -304,7 +312,7 @@ g AS (SELECT symbol, sum(deliv_per * turnover_lacs) FILTER (trade_date > DATE '{
     / nullif(sum(turnover_lacs) FILTER (trade_date < DATE '{AS_OF}' AND k <= 24), 0) AS avg_norm FROM u GROUP BY symbol),
 out AS (SELECT *, CASE WHEN avg_norm > 0 THEN (wtd_recent / avg_norm - 1) * 100 END AS deliv_vs_norm FROM g)""")
 def delivery_momentum(spark, sf):
-    return dl.delivery_momentum(B.eod(spark, sf), AS_OF, Delivery(recent_days=95, norm_rows=24), 2000)
+    return dl.delivery_momentum(_dated(spark, sf, 2000), AS_OF, Delivery(recent_days=95, norm_rows=24), 2000)
 
 
 def trend_sql(bucket: str) -> str:
@@ -340,9 +348,9 @@ TREND_COLS = "symbol w1:f w2:f w3:f w4:f w5:f norm:f recent:f partial:b cur_days
 
 @register("delivery_trend_week", "E8 A15 A17 A18 SC41", TREND_COLS, trend_sql("week"))
 def delivery_trend_week(spark, sf):
-    return dl.delivery_trend(B.eod(spark, sf), AS_OF, Delivery(), "week", 1500)
+    return dl.delivery_trend(_dated(spark, sf, 1500), AS_OF, Delivery(), "week", 1500)
 
 
 @register("delivery_trend_day", "E8 A16 A17 A18 SC41", TREND_COLS, trend_sql("day"))
 def delivery_trend_day(spark, sf):
-    return dl.delivery_trend(B.eod(spark, sf), AS_OF, Delivery(), "day", 1500)
+    return dl.delivery_trend(_dated(spark, sf, 1500), AS_OF, Delivery(), "day", 1500)

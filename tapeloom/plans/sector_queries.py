@@ -131,8 +131,8 @@ TILT_COLS = ("trade_date:d sector score:f rank:f rank_pos:i n_sectors:i tilt rs_
              "reg_divergence reg_med_trend reg_trend_strength reg_er20:f dispersion:f4")
 
 
-def _inputs(spark, sf):
-    return B.panel(spark, sf), td.sector_dim(spark, sf), B.nifty(spark, sf)
+def _inputs(spark, sf, end=None):
+    return B.panel(spark, sf, None, end), td.sector_dim(spark, sf), B.nifty(spark, sf, end)
 
 
 @register("sector_day_aggregate", "A1 SC25 J7", "trade_date:d sector daily_dv_cr:f wtd_ret_pct:f", SECTOR + ", out AS (SELECT * FROM spanel)")
@@ -198,7 +198,7 @@ def _tilt(spark, sf):
 
 @register("sector_tilt_asof", "E5", TILT_COLS, TILT_SQL + ", out AS (SELECT * FROM tilt WHERE trade_date = DATE '2000-05-01')")
 def sector_tilt_asof(spark, sf):
-    d, m, n = _inputs(spark, sf)
+    d, m, n = _inputs(spark, sf, "2000-05-01")
     return se.sector_tilt_asof(d, m, n, "2000-05-01", TILT, REGIME)
 
 

@@ -29,11 +29,11 @@ def bars_store(spark, sf):
     return store.read_bars(spark, path, "1h", "2024-01-10", "2024-01-20")
 
 
-@register("tilt_history", "SRC14 SRC15 U2", "trade_date:d sector tilt rank:f n_liq:i", TILT_SQL + ", out AS (SELECT * FROM tilt WHERE year(trade_date) >= 1999)")
+@register("tilt_history", "SRC14 SRC15 U2", "trade_date:d sector tilt rank:f n_liq:i", TILT_SQL + ", out AS (SELECT * FROM tilt)")
 def tilt_history(spark, sf):
     path = _new_path(spark, "tilt")
     store.write_tilt_history(_tilt(spark, sf), path)
-    return store.read_tilt_history(spark, path, 1999)
+    return store.read_tilt_history(spark, path)
 
 
 @register("ledger_store", "SRC13", LEDGER_COLS, BOOKED + ", out AS (SELECT * FROM picks)")

@@ -20,9 +20,18 @@ def trade_order() -> Column:
             + F.col("l_orderkey") * 16 + F.col("l_linenumber"))
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def in_sessions(li: DataFrame, start=None, end=None) -> DataFrame:
+    """Prints of the sessions from `start` to `end`, by a range of the stored date, which the reader can
+    use to skip row groups and files."""
+    at = lambda d, n: F.add_months(F.trunc(F.lit(d).cast("date"), "month"), n).cast("timestamp_ntz")
+    if start is not None:
+        li = li.where(F.col("l_shipdate") >= at(start, 0))
+    return li if end is None else li.where(F.col("l_shipdate") < at(end, 1))
+
+
+def trades(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """One row per print: symbol, session (month), price, quantity."""
-    li = table(spark, sf_dir, "lineitem")
+    li = in_sessions(table(spark, sf_dir, "lineitem"), start, end)
     return li.select(
         "l_suppkey",
         F.trunc("l_shipdate", "month").alias("trade_date"),
@@ -34,9 +43,10 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         trade_order().alias("pos"))
 
 
-def eod_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End-of-session panel: one row per (symbol, session)."""
-    g = (trades(spark, sf_dir).groupBy("l_suppkey", "trade_date").agg(
+def eod_panel(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """End-of-session panel: one row per (symbol, session). With `start`, the first row of a symbol
+    has no previous close."""
+    g = (trades(spark, sf_dir, start, end).groupBy("l_suppkey", "trade_date").agg(
         F.min_by("px", "pos").alias("open_price"),
         F.max("px").alias("high_price"),
         F.min("px").alias("low_price"),

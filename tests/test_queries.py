@@ -49,3 +49,10 @@ def test_every_survey_operator_is_registered():
     from tapeloom.plans import QUERIES
     covered = {c for q in QUERIES.values() for c in q.covers.split()}
     assert ids - covered == set()
+
+
+def test_dated_panel_reads_its_range_only(spark):
+    from tapeloom.sources import testdata as td
+    plan = td.eod_panel(spark, SF, "2000-01-01", "2000-05-01")._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line][0]
+    assert "GreaterThanOrEqual(l_shipdate,2000-01-01" in pushed and "LessThan(l_shipdate,2000" in pushed
