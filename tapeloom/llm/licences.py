@@ -4,7 +4,9 @@ A text's canonical form is lower-cased, has no lines that state a copyright, the
 words that licences spell in several ways, and words of letters and digits only with one space
 between them. Whole texts, blocks between empty lines and lines are each reduced to the digest of
 their canonical form and hash-joined to the digests of known licence texts and notices. Nothing is
-searched inside a unit: a unit is a known text as a whole or it is none.
+searched inside a unit: a unit is a known text as a whole or it is none. Before the canonical form of a
+unit is made, its letters that no spelling rule touches are compared with those of the known texts;
+units that differ there cannot have an equal digest.
 
 `known` is a table (name, text); known() gives a built-in one. It is as long as the list of licences.
 Null or empty texts, and units without letters or digits, match nothing. Each row of documents gives
@@ -12,9 +14,12 @@ one row; rows with equal texts get equal results; an empty table gives an empty
 """
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import known_size
 from .common import pick
 
 #: Lines that state a copyright or reserve rights, and a url's scheme.
@@ -141,6 +146,19 @@ def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(known_texts(), "name string, text string")
 
 
+def _stable() -> str:
+    """Letters that every rule keeps, in number and order."""
+    kept = [c for c in ascii_lowercase if all(a.count(c) == b.count(c) for a, b in EQUAL.items())]
+    only = lambda t: [c for c in t if c in kept]
+    assert all(only(a) == only(b) for a, b in EQUAL.items())
+    return "".join(kept)
+
+
+def skeleton(text: Column) -> Column:
+    bare = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT), F.lit(" "))
+    return F.regexp_replace(bare, f"[^{_stable()}]+", "")
+
+
 def canonical(text: Column) -> Column:
     t = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT), F.lit(" "))
     for a, b in EQUAL.items():
@@ -155,9 +173,9 @@ def digest(text: Column) -> Column:
 
 
 def digests(known: DataFrame) -> DataFrame:
-    """(digest, name): one name for each digest, the first."""
-    return (known.select(digest(F.col("text")).alias("digest"), "name").where("digest is not null")
-            .groupBy("digest").agg(F.min("name").alias("name")))
+    """(digest, name, skeleton): one name for each digest, the first."""
+    return (known.select(digest(F.col("text")).alias("digest"), skeleton(F.col("text")).alias("skeleton"), "name").where("digest is not null")
+            .groupBy("digest").agg(F.min("name").alias("name"), F.first("skeleton").alias("skeleton")))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -165,9 +183,11 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     units are, for every row of docs (doc_id, text)."""
     docs = pick(docs, "doc_id", "text").withColumns({"at": F.xxhash64("text"), "size": F.length("text")})
     units = F.array_distinct(F.concat(F.array("text"), F.split("text", BLOCKS, -1), F.split("text", LINES, -1)))
+    listed = known_size(digests(known))
     found = (docs.where("text is not null").select("at", "size", F.posexplode(units).alias("unit", "part"))
+             .join(known_size(listed.select("skeleton").distinct()), skeleton(F.col("part")) == F.col("skeleton"), "left_semi")
              .select("at", "size", "unit", digest(F.col("part")).alias("digest"))
-             .join(digests(known), "digest")
+             .join(listed.drop("skeleton"), "digest")
              .groupBy("at", "size").agg(F.min(F.when(F.col("unit") == 0, F.col("name"))).alias("whole"),
                                         F.array_sort(F.collect_set("name")).alias("licenses")))
     none = F.array().cast("array<string>")
