@@ -10,6 +10,12 @@ A fingerprint samples bits of that output at times that all texts share: SAMPLES
 SAMPLES steps and of each octave after them, which keeps it short for very long texts and comparable
 between texts of any length. It is a hex string of one block for each octave the walk reaches.
 
+near_groups() finds texts of near fingerprints among all: each fingerprint is dealt by TABLES samples of
+BITS bits of its last two octaves (texts whose lengths lie on two sides of an octave share one), those
+that share a sample are compared on all their bits, and components of pairs of enough likeness are
+groups. A sample that more than CROWD fingerprints share is not paired out: each is compared with the
+sample's first, and they are dealt anew by that sample together with the two after it.
+
 Null text counts as empty text; its fingerprint is the empty string. Equal texts have equal
 fingerprints. Two empty fingerprints have likeness 1; one has likeness 0 to any other. Repeated rows
 and tied ids give a row each; among equal ids, and last among all for null ids, rows are ordered by
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import known_size, stage
 from .common import arrow_map, components, pick, strings
 
 #: Sampled steps of an octave; classes of characters with a walk of their own; period of the walks.
@@ -32,6 +38,8 @@ SAMPLES, CLASSES, PERIOD = 256, 1024, 4096
 SEED = 20_417
 OCTAVES = 40
 
+TABLES, BITS, CROWD, LEAST = 32, 24, 64, 0.8
+
 _random = np.random.default_rng(SEED)
 _MOVES = _random.integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
 _MOVES[:, -1] = 1  # each walk leaves a character at the latest here
@@ -67,6 +75,7 @@ def _times() -> list[np.ndarray]:
 
 
 _TIMES = _times()
+_SAMPLE = np.stack([_random.choice(SAMPLES, BITS, replace=False) for _ in range(TABLES)])
 
 
 def _classes(text: str) -> np.ndarray:
@@ -142,6 +151,66 @@ def likeness(a: str, b: str) -> float:
     return float(np.clip((weight * agree).sum() / weight.sum(), 0, 1))
 
 
+# --- near texts -----------------------------------------------------------------------------------
+
+def samples(fingerprint: str) -> list[int]:
+    """TABLES samples for each of the last two blocks, with the block and table in front of the bits."""
+    bits = np.unpackbits(np.frombuffer(bytes.fromhex(fingerprint), np.uint8)).reshape(-1, SAMPLES)
+    out = []
+    for b in range(max(0, len(bits) - 2), len(bits)):
+        drawn = bits[b][_SAMPLE].astype(np.int64) @ (1 << np.arange(BITS))
+        out += ((b * TABLES + np.arange(TABLES)) << BITS | drawn).tolist()
+    return out
+
+
+def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, fingerprint, group_id) of every row of docs (doc_id, text): group_id is the smallest
+    doc_id that links of likeness `least` or more reach. Equal texts are one class."""
+    docs = pick(docs, "doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints([t or "" for t in strings(b, "text")]), pa.string())],
+                                             names=["doc_id", "fingerprint"])
+
+    made = stage(arrow_map(docs, prints, f"doc_id {kind}, fingerprint string"))
+    classes = stage(made.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+
+    def deal(batches):
+        for b in batches:
+            fps = strings(b, "fingerprint")
+            drawn = [samples(f) for f in fps]
+            at = pa.array(np.repeat(np.arange(len(fps)), [len(d) for d in drawn]), pa.int32())
+            key = [k for d in drawn for k in d]
+            more = [f"{d[i]} {d[(i + 1) % len(d)]} {d[(i + 2) % len(d)]}" for d in drawn for i in range(len(d))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(key, pa.int64()), pa.array(more, pa.string())], names=["fp", "key", "more"])
+
+    rows = (arrow_map(classes.select("fingerprint").where("fingerprint <> ''"), deal, "fp string, key bigint, more string")
+            .select("fp", "key", F.xxhash64("more").alias("more")))
+    pairs = None
+    for level in range(2):
+        shared = known_size(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("head")).where("n > 1"))
+        rows = stage(rows.join(shared, "key"))
+        calm, crowd = rows.where(F.col("n") <= CROWD), rows.where(F.col("n") > CROWD)
+        found = (calm.select("key", F.col("fp").alias("a")).join(calm.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
+                 .unionByName(crowd.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        rows = crowd.select("fp", F.col("more").alias("key"), "more")
+
+    def verify(batches):
+        for b in batches:
+            keep = [likeness(x, y) >= least for x, y in zip(strings(b, "a"), strings(b, "b"))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    comps = components(arrow_map(pairs.distinct(), verify, "a string, b string"))
+    joined = (classes.join(comps.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+              .withColumn("component", F.coalesce("component", "fingerprint")))
+    lowest = joined.groupBy("component").agg(F.min("first").alias("group_id"))
+    ids = known_size(joined.join(lowest, "component").select("fingerprint", "group_id"))
+    return made.join(ids, "fingerprint").select("doc_id", "fingerprint", "group_id")
+
+
 # --- every document beside the next one ---------------------------------------------------------
 
 def with_next(docs: DataFrame, fn, schema: str, parts: int | None = None) -> DataFrame:

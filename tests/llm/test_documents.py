@@ -166,6 +166,30 @@ def test_no_edited_fingerprints(spark):
     assert edit_embedding.edited_fingerprints(brute.no_docs(spark)).count() == 0
 
 
+def test_near_texts_are_grouped(spark, monkeypatch):
+    import random
+    rnd = random.Random(9)
+    text = lambda: "".join(rnd.choice("abcdefghij klmno pqrst") for _ in range(3000))
+    rows, want = [], {}
+    for g in range(12):
+        base = text()
+        for k in range(5):
+            t = list(base)
+            for _ in range(4 * min(k, 1)):
+                t[rnd.randrange(len(t))] = rnd.choice(["", "zz", "y"])
+            rows.append((10 * g + k, "".join(t)))
+            want[10 * g + k] = 10 * g
+    rows += [(500, None), (501, ""), (None, text())]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, key int")
+    for crowd in (64, 2):
+        monkeypatch.setattr(edit_embedding, "CROWD", crowd)
+        got = {r["doc_id"]: r["group_id"] for r in edit_embedding.near_groups(df).collect()}
+        assert {d: got[d] for d in (500, 501, None)} == {500: 500, 501: 500, None: None}
+        assert all(got[d] // 10 == d // 10 for d in want)
+        assert sum(got[d] == g for d, g in want.items()) >= 0.9 * len(want)
+    assert edit_embedding.near_groups(brute.no_docs(spark)).count() == 0
+
+
 # --- paragraphs ---------------------------------------------------------------------------------
 
 def test_paragraph_clusters_are_brute_force(docs, rows):
