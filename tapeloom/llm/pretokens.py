@@ -52,12 +52,18 @@ def spec(path: str) -> dict:
     return s
 
 
+@lru_cache(maxsize=4)
+def specials(path: str) -> list[str]:
+    """The added tokens, longest first; the file itself is not kept."""
+    return sorted((a["content"] for a in spec.__wrapped__(path)["added_tokens"]), key=len, reverse=True)
+
+
 class Cutter:
     """Pre-tokens of one piece of text; a special token inside is a pre-token of its own."""
 
     def __init__(self, path: str):
         self.pre = tokenizer(path).pre_tokenizer
-        special = sorted((a["content"] for a in spec(path)["added_tokens"]), key=len, reverse=True)
+        special = specials(path)
         self.special = set(special)
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
