@@ -19,7 +19,7 @@ from string import ascii_lowercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import known_size
+from ..session import known_size, stage
 from .common import pick
 
 #: Lines that state a copyright or reserve rights, and a url's scheme.
@@ -184,9 +184,11 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     docs = pick(docs, "doc_id", "text").withColumns({"at": F.xxhash64("text"), "size": F.length("text")})
     units = F.array_distinct(F.concat(F.array("text"), F.split("text", BLOCKS, -1), F.split("text", LINES, -1)))
     listed = known_size(digests(known))
-    found = (docs.where("text is not null").select("at", "size", F.posexplode(units).alias("unit", "part"))
-             .join(known_size(listed.select("skeleton").distinct()), skeleton(F.col("part")) == F.col("skeleton"), "left_semi")
-             .select("at", "size", "unit", digest(F.col("part")).alias("digest"))
+    # written down, or the planner would test the digest of every unit before this join
+    alike = stage(docs.where("text is not null").select("at", "size", F.posexplode(units).alias("unit", "part"))
+                  .join(known_size(listed.select("skeleton").distinct()), skeleton(F.col("part")) == F.col("skeleton"), "left_semi")
+                  .distinct())
+    found = (alike.select("at", "size", "unit", digest(F.col("part")).alias("digest"))
              .join(listed.drop("skeleton"), "digest")
              .groupBy("at", "size").agg(F.min(F.when(F.col("unit") == 0, F.col("name"))).alias("whole"),
                                         F.array_sort(F.collect_set("name")).alias("licenses")))
