@@ -83,9 +83,9 @@ def paragraphs(text: str, words: Words):
                 yield i, " ".join(w), len(w)
 
 
-def band_keys(texts: list[str], numbers: Numbers) -> np.ndarray:
-    """(text, band) keys of paragraphs given as plain words."""
-    out = np.empty((len(texts), BANDS), np.int64)
+def band_keys(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(text, band) keys of paragraphs given as plain words, and the number of distinct shingles of each."""
+    out, distinct = np.empty((len(texts), BANDS), np.int64), np.empty(len(texts), np.int32)
     hashed = [np.fromiter(map(numbers.__getitem__, t.split(" ")), np.uint64) for t in texts]
     at = 0
     while at < len(hashed):
@@ -106,6 +106,7 @@ def band_keys(texts: list[str], numbers: Numbers) -> np.ndarray:
             keep[ends[:-1] - k] = False
         x = x[keep]
         first = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)[:-1]])
+        distinct[at:end] = [len(np.unique(part)) for part in np.split(x, first[1:])]
         key = np.zeros((end - at, BANDS), np.uint64)
         for j in range(BANDS * ROWS):
             y = x * _MUL[j] + _ADD[j]
@@ -115,7 +116,7 @@ def band_keys(texts: list[str], numbers: Numbers) -> np.ndarray:
             key[:, j // ROWS] = (key[:, j // ROWS] ^ least) * np.uint64(0xC2B2AE3D27D4EB4F)
         out[at:end] = (key ^ key >> np.uint64(31)).view(np.int64)
         at = end
-    return out
+    return out, distinct
 
 
 def shingles(words: str) -> set[tuple]:
@@ -181,8 +182,9 @@ def _once(docs: DataFrame, needed: bytes | None, column: str, kind: str, make) -
 
 
 def _keys(texts: list[str], numbers: Numbers) -> pa.Array:
-    flat = pa.array(band_keys(texts, numbers).ravel())
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), flat)
+    keys, distinct = band_keys(texts, numbers)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+    return pa.StructArray.from_arrays([lists, pa.array(distinct)], names=["keys", "distinct"])
 
 
 def _filter(classes: DataFrame) -> bytes:
@@ -209,25 +211,25 @@ def _longer(level: int) -> Column:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pairs of classes (class, n, n_words, keys) that share a key and whose lengths
+    """(a, b) with a < b: pairs of classes (class, n, distinct, keys) that share a key and whose lengths
     allow the similarity."""
     spark, found = classes.sparkSession, []
-    rows = (classes.select("class", "n", "n_words", F.posexplode("keys").alias("t", "key"))
+    rows = (classes.select("class", "n", "distinct", F.posexplode("keys").alias("t", "key"))
             .withColumn("key", F.xxhash64("t", "key")))
     for level in range(3):
         shared = known_size(rows.groupBy("key").count().where("count > 1"))
         rows = stage(rows.join(shared, "key"))
         calm, crowd = rows.where(F.col("count") <= CROWD), rows.where(F.col("count") > CROWD)
         found.append(_sized(calm.alias("x").join(calm.alias("y"), "key").where("x.class < y.class")))
-        pivot = known_size(crowd.groupBy("key").agg(F.max_by(F.struct("class", "n_words"), F.struct("n", "class")).alias("p"))
-                           .select("key", F.col("p.class").alias("class"), F.col("p.n_words").alias("n_words")))
+        pivot = known_size(crowd.groupBy("key").agg(F.max_by(F.struct("class", "distinct"), F.struct("n", "class")).alias("p"))
+                           .select("key", F.col("p.class").alias("class"), F.col("p.distinct").alias("distinct")))
         found.append(_sized(crowd.alias("x").join(pivot.alias("y"), "key").where("x.class <> y.class")))
         if level == 2 or crowd.isEmpty():
             break
         # a class has a fixed number of keys, so the list of its crowded ones is short
         tables = crowd.groupBy("class").agg(F.collect_set("t").alias("tables"))
-        rows = (classes.join(known_size(tables), "class").select("class", "n", "n_words", "keys", F.explode("tables").alias("t"))
-                .select("class", "n", "n_words", _longer(level + 1).alias("k")).select("class", "n", "n_words", "k.*"))
+        rows = (classes.join(known_size(tables), "class").select("class", "n", "distinct", "keys", F.explode("tables").alias("t"))
+                .select("class", "n", "distinct", _longer(level + 1).alias("k")).select("class", "n", "distinct", "k.*"))
     out = spark.createDataFrame([], "a bigint, b bigint")
     for f in found:
         out = out.unionByName(f)
@@ -235,8 +237,8 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
-    low, high = (f(F.col("x.n_words"), F.col("y.n_words")) - (SHINGLE - 1) for f in (F.least, F.greatest))
-    return pairs.where(low * 2 >= THRESHOLD * high).select(
+    low, high = (f(F.col("x.distinct"), F.col("y.distinct")) for f in (F.least, F.greatest))
+    return pairs.where(low / high >= THRESHOLD).select(
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
 
 
@@ -265,8 +267,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, at, place, n_words, cluster, kept, keeper): each paragraph of docs (doc_id, text) that
     has a near copy, its line number, its cluster, whether it stays, and the document whose stays."""
     listed = stage(_listed(docs))
-    counted = listed.groupBy("class").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
-    classes = stage(_once(docs, None, "keys", "array<bigint>", _keys).join(counted, "class"))
+    counted = listed.groupBy("class").agg(F.count("*").alias("n"))
+    classes = stage(_once(docs, None, "made", "struct<keys:array<bigint>,distinct:int>", _keys).select("class", "made.*").join(counted, "class"))
     pairs = stage(candidates(classes))
     comps = components(links(docs, pairs)).select(F.col("node").alias("class"), "component")
     clustered = listed.join(comps, "class", "left").withColumn("cluster", F.coalesce("component", "class"))

@@ -232,6 +232,15 @@ def test_crowded_band_keys(spark, monkeypatch):
     assert [r["doc_id"] for r in got if r["kept"]] == [0]
 
 
+def test_lines_that_repeat_themselves(spark):
+    """Similarity is of sets of shingles, however often a line says them."""
+    once = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(once * 4)), (2, " ".join(once)), (3, " ".join(f"v{i}" for i in range(50)))]
+    got = paragraph_bands.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [sorted((r["doc_id"], r["place"]) for r in got)] == brute.paragraph_clusters(rows)
+    assert sorted(r["doc_id"] for r in got) == [1, 2]
+
+
 # --- benchmark leaks ----------------------------------------------------------------------------
 
 def test_leaks_find_planted_items(spark, docs, rows):
