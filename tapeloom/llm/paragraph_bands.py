@@ -7,8 +7,9 @@ Jaccard similarity of 0.8 two classes share a key with probability 1 - (1 - 0.8^
 Classes with a common key are joined and their similarity is computed exactly from their words.
 
 A key that more than CROWD classes share is not paired out. Each of its classes is compared with the
-key's pivot, the class with the most paragraphs, and the key is split by longer keys, made of its band
-and one more and then of four, where the same rule holds. Links are pairs of classes of
+key's pivot, the class with the most distinct shingles. Those not linked to it are compared with one
+another and with all linked ones that the triangle inequality leaves, in blocks, of which each gives
+only the links that join components; so a crowded key loses no link. Links are pairs of classes of
 similarity THRESHOLD or more; components of links are the clusters. The first paragraph of a cluster,
 by doc_id (nulls last), text hash and place, stays and all others go.
 
@@ -22,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -31,6 +32,8 @@ from .common import arrow_map, components, strings
 
 MIN_WORDS, SHINGLE, THRESHOLD = 20, 5, 0.8
 BANDS, ROWS, CROWD = 16, 4, 64
+#: Classes of a crowded key in a block; two blocks are compared in a task.
+BLOCK = 512
 #: Bits of the filter that tells tasks which classes are needed; a fixed size, whatever the input.
 FILTER = 1 << 23
 #: Shingles hashed at once; entries of a worker's memo of words; digests a task remembers.
@@ -197,43 +200,16 @@ def _filter(classes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _longer(level: int) -> Column:
-    """The keys that a crowded key (table t, of the first band i and what is in t besides) is split by:
-    two for each, of two bands at the second level and of four at the third."""
-    i = F.expr(f"t div {1 << max(0, level - 1)}")
-    band = lambda by: F.get("keys", ((i + by) % BANDS).cast("int"))
-    made = []
-    for u in range(2):
-        more = [band(F.lit(1 + u))] if level == 1 else [band(1 + F.col("t") % 2), band(F.lit(3 + u)), band(F.lit(6 + 2 * u))]
-        t = F.col("t") * 2 + u
-        made.append(F.struct(t.cast("int").alias("t"), F.xxhash64(t, band(F.lit(0)), *more).alias("key")))
-    return F.explode(F.array(*made))
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pairs of classes (class, n, distinct, keys) that share a key and whose lengths
-    allow the similarity."""
-    spark, found = classes.sparkSession, []
-    rows = (classes.select("class", "n", "distinct", F.posexplode("keys").alias("t", "key"))
-            .withColumn("key", F.xxhash64("t", "key")))
-    for level in range(3):
-        shared = known_size(rows.groupBy("key").count().where("count > 1"))
-        rows = stage(rows.join(shared, "key"))
-        calm, crowd = rows.where(F.col("count") <= CROWD), rows.where(F.col("count") > CROWD)
-        found.append(_sized(calm.alias("x").join(calm.alias("y"), "key").where("x.class < y.class")))
-        pivot = known_size(crowd.groupBy("key").agg(F.max_by(F.struct("class", "distinct"), F.struct("n", "class")).alias("p"))
-                           .select("key", F.col("p.class").alias("class"), F.col("p.distinct").alias("distinct")))
-        found.append(_sized(crowd.alias("x").join(pivot.alias("y"), "key").where("x.class <> y.class")))
-        if level == 2 or crowd.isEmpty():
-            break
-        # a class has a fixed number of keys, so the list of its crowded ones is short
-        tables = crowd.groupBy("class").agg(F.collect_set("t").alias("tables"))
-        rows = (classes.join(known_size(tables), "class").select("class", "n", "distinct", "keys", F.explode("tables").alias("t"))
-                .select("class", "n", "distinct", _longer(level + 1).alias("k")).select("class", "n", "distinct", "k.*"))
-    out = spark.createDataFrame([], "a bigint, b bigint")
-    for f in found:
-        out = out.unionByName(f)
-    return out.distinct()
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b, pairs of classes (class, keys, distinct) that share a key and whose numbers of
+    distinct shingles allow the similarity; and (key, class, distinct) of the crowded keys."""
+    rows = (classes.select("class", "distinct", F.posexplode("keys").alias("t", "key"))
+            .select("class", "distinct", F.xxhash64("t", "key").alias("key")))
+    shared = known_size(rows.groupBy("key").count().where("count > 1"))
+    rows = stage(rows.join(shared, "key"))
+    calm = rows.where(F.col("count") <= CROWD)
+    pairs = _sized(calm.alias("x").join(calm.alias("y"), "key").where("x.class < y.class"))
+    return pairs.distinct(), rows.where(F.col("count") > CROWD).select("key", "class", "distinct")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -242,35 +218,101 @@ def _sized(pairs: DataFrame) -> DataFrame:
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
 
 
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose words have a Jaccard similarity of THRESHOLD or more."""
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def links(docs: DataFrame, pairs: DataFrame, crowd: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose words have a Jaccard similarity of THRESHOLD or more, and pairs of that
+    similarity that join what such pairs join among the classes of each crowded key."""
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowd.select("class")).distinct()
     words = stage(_once(docs, _filter(needed), "words", "string", lambda texts, _: pa.array(texts))
                   .join(needed, "class", "left_semi"))
     both = (pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b"))
 
     def run(batches):
         for b in batches:
-            sets: dict[str, set] = {}
-            keep = []
-            for x, y in zip(strings(b, "x"), strings(b, "y")):
-                for t in (x, y):
-                    if t not in sets:
-                        sets[t] = shingles(t)
-                keep.append(jaccard(sets[x], sets[y]) >= THRESHOLD)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return arrow_map(both.select("a", "b", "x", "y"), run, "a bigint, b bigint")
+            yield b.select(["a", "b"]).filter(pa.array([v >= THRESHOLD for v in _likeness(b)], pa.bool_()))
+
+    made = arrow_map(both.select("a", "b", "x", "y"), run, "a bigint, b bigint")
+    return made if crowd.isEmpty() else made.unionByName(_crowd_links(crowd, words))
+
+
+def _likeness(b: pa.RecordBatch) -> list[float]:
+    sets: dict[str, set] = {}
+    out = []
+    for x, y in zip(strings(b, "x"), strings(b, "y")):
+        for t in (x, y):
+            if t not in sets:
+                sets[t] = shingles(t)
+        out.append(jaccard(sets[x], sets[y]))
+    return out
+
+
+def forest(texts: list[str], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of THRESHOLD or more that join what all such pairs join; with `side`, of pairs of two sides only."""
+    number: dict[tuple, int] = {}
+    sets = [np.array([number.setdefault(g, len(number)) for g in shingles(t)]) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    owner, flat = np.repeat(np.arange(len(texts)), sizes), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    holders = np.split(owner[order], np.cumsum(np.bincount(flat))[:-1])
+    label, out = np.arange(len(texts)), []
+    for i, own in enumerate(sets):
+        both = np.bincount(np.concatenate([holders[g] for g in own.tolist()]), minlength=len(texts))
+        near = (both / (sizes + sizes[i] - both) >= THRESHOLD) & (label != label[i])
+        if side is not None:
+            near &= side != side[i]
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _crowd_links(crowd: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b): links that join what the links among the classes of a crowded key join. All classes are
+    compared with the key's pivot; those linked to it are joined by that. The others are compared with
+    one another and with them, in tasks of two blocks of classes. One minus the Jaccard similarity is a metric, so a
+    class linked to the pivot is left out if none of the others is near enough to the pivot for a link."""
+    pivot = crowd.groupBy("key").agg(F.max_by("class", F.struct("distinct", "class")).alias("b"))
+    rows = (crowd.join(known_size(pivot), "key").select("key", F.col("class").alias("a"), "b")
+            .join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b").select("key", "a", "b", "x", "y"))
+
+    def measure(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(_likeness(b), pa.float64())], names=["key", "a", "b", "x", "near"])
+
+    rows = stage(arrow_map(rows, measure, "key bigint, a bigint, b bigint, x string, near double"))
+    tied = rows.where(F.col("near") >= THRESHOLD)
+    others = (rows.where(F.col("near") < THRESHOLD).groupBy("key")
+              .agg(F.count("*").alias("others"), F.max("near").alias("nearest")))
+    # a tied class t meets another o only if 1 - near(t) >= (1 - near(o)) - (1 - THRESHOLD)
+    tied_left = tied.join(known_size(others), "key").where(F.col("near") <= F.col("nearest") + 1 - THRESHOLD + 1e-9)
+    size = known_size(others.join(tied_left.groupBy("key").agg(F.count("*").alias("tied")), "key", "left")
+                      .select("key", F.ceil(F.col("others") / BLOCK).cast("int").alias("p"),
+                              F.ceil(F.coalesce("tied", F.lit(0)) / BLOCK).cast("int").alias("q"), "nearest"))
+    # blocks 0 to p-1 are of the others, p to p+q-1 of those tied to the pivot, which only meet others
+    placed = (rows.join(size, "key").where(F.col("near") <= F.col("nearest") + 1 - THRESHOLD + 1e-9)
+              .withColumn("block", F.when(F.col("near") < THRESHOLD, F.pmod(F.xxhash64("a"), "p"))
+                          .otherwise(F.col("p") + F.pmod(F.xxhash64("a"), F.greatest("q", F.lit(1)))).cast("int"))
+              .withColumn("other", F.explode(F.when(F.col("block") < F.col("p"), F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
+                                             .otherwise(F.sequence(F.lit(0), F.col("p") - 1))))
+              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "x"))
+
+    def join(table: pa.Table) -> pa.Table:
+        names, side = table.column("a").to_pylist(), table.column("block").to_numpy()
+        two = side if table.column("i")[0] != table.column("j")[0] else None
+        made = forest(table.column("x").to_pylist(), two)
+        return pa.table({"a": pa.array([names[i] for i, _ in made], pa.int64()), "b": pa.array([names[j] for _, j in made], pa.int64())})
+
+    return (tied.where("a <> b").select("a", "b")
+            .unionByName(placed.groupBy("key", "i", "j").applyInArrow(join, "a bigint, b bigint")))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, at, place, n_words, cluster, kept, keeper): each paragraph of docs (doc_id, text) that
     has a near copy, its line number, its cluster, whether it stays, and the document whose stays."""
     listed = stage(_listed(docs))
-    counted = listed.groupBy("class").agg(F.count("*").alias("n"))
-    classes = stage(_once(docs, None, "made", "struct<keys:array<bigint>,distinct:int>", _keys).select("class", "made.*").join(counted, "class"))
-    pairs = stage(candidates(classes))
-    comps = components(links(docs, pairs)).select(F.col("node").alias("class"), "component")
+    classes = stage(_once(docs, None, "made", "struct<keys:array<bigint>,distinct:int>", _keys).select("class", "made.*"))
+    pairs, crowd = map(stage, candidates(classes))
+    comps = components(links(docs, pairs, crowd)).select(F.col("node").alias("class"), "component")
     clustered = listed.join(comps, "class", "left").withColumn("cluster", F.coalesce("component", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "place")).alias("first")
     groups = stage(clustered.groupBy("cluster").agg(F.count("*").alias("size"), first).where("size > 1"))

@@ -1,6 +1,7 @@
 """Operators on documents: against plain versions on a small table, and on awkward rows."""
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,34 @@ def test_lines_that_repeat_themselves(spark):
     assert sorted(r["doc_id"] for r in got) == [1, 2]
 
 
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """All classes share a key; links form chains that do not pass through the pivot."""
+    import random
+    rnd = random.Random(8)
+    rows = []
+    head = [f"same{i}" for i in range(30)]
+    for chain in range(6):
+        w = [f"c{chain}_{i}" for i in range(60)]
+        for k in range(12):
+            rows.append((len(rows), " ".join(head + w)))
+            for _ in range(2):
+                w[rnd.randrange(60)] = f"x{chain}_{k}_{rnd.random()}"
+    rows.append((len(rows), " ".join(head + [f"p{i}" for i in range(90)])))
+
+    def one_key(texts, numbers):
+        keys, distinct = paragraph_bands.band_keys(texts, numbers)
+        lists = pa.array((keys * 0).tolist(), pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([lists, pa.array(distinct)], names=["keys", "distinct"])
+
+    monkeypatch.setattr(paragraph_bands, "_keys", one_key)
+    monkeypatch.setattr(paragraph_bands, "CROWD", 8)
+    monkeypatch.setattr(paragraph_bands, "BLOCK", 10)
+    got = {}
+    for r in paragraph_bands.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r["cluster"], []).append((r["doc_id"], r["place"]))
+    assert len(got) >= 6 and sorted(map(sorted, got.values())) == brute.paragraph_clusters(rows)
+
+
 # --- benchmark leaks ----------------------------------------------------------------------------
 
 def test_leaks_find_planted_items(spark, docs, rows):
