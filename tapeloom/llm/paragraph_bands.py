@@ -13,6 +13,8 @@ only the links that join components; so a crowded key loses no link. Links are p
 similarity THRESHOLD or more; components of links are the clusters. The first paragraph of a cluster,
 by doc_id (nulls last), text hash and place, stays and all others go.
 
+Passages inside longer lines or across line breaks are found by passages.py; with_passages() gives both.
+
 A document is named by doc_id and a hash of its text: rows that repeat both are one document, and
 every such row gets the same paragraphs removed. Null or empty texts have no paragraphs and stay as
 they are. Empty tables give empty results. Other columns are carried along by place, whatever their names.
@@ -321,6 +323,25 @@ def repeats(docs: DataFrame) -> DataFrame:
                                                     F.col("first.doc_id").alias("keeper"))
 
 
+def with_passages(docs: DataFrame) -> DataFrame:
+    """The rows of repeats() and, with their first and last character (begin, end), the passages that stand
+    elsewhere in lines or across them; passages are looked for in what the repeats leave."""
+    found = stage(repeats(docs))
+    return found.withColumns({"begin": F.lit(None).cast("bigint"), "end": F.lit(None).cast("bigint")}).unionByName(_passages(docs, _gone(found)))
+
+
+def _gone(found: DataFrame) -> DataFrame:
+    return known_size(found.where("not kept").groupBy(F.col("doc_id").alias("id"), F.col("at").alias("_at"))
+                      .agg(F.collect_list("place").alias("gone")))
+
+
+def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    from .passages import passages
+
+    joined = named(docs).join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("_at") == F.col("at")), "left")
+    return passages(stage(joined.select("doc_id", "at", "text", "gone")))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the paragraphs removed that repeat one kept elsewhere; a column n_chars follows the text."""
     gone = (repeats(docs).where("not kept").groupBy(F.col("doc_id").alias("id"), "at")

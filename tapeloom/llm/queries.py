@@ -49,7 +49,7 @@ def op7_token_counts(spark, sf):
 
 
 def op8_paragraphs(spark, sf):
-    return paragraph_bands.repeats(documents(spark, sf)).drop("at")
+    return paragraph_bands.with_passages(documents(spark, sf)).drop("at")
 
 
 def op9_edit_fingerprints(spark, sf):

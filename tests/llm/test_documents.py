@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import edit_embedding, language, latent_leaks, licences, paragraph_bands, queries, simhash, token_counts, transducer
+from tapeloom.llm import edit_embedding, language, latent_leaks, licences, paragraph_bands, passages, queries, simhash, token_counts, transducer
 from . import brute
 
 
@@ -242,6 +242,36 @@ def test_lines_that_repeat_themselves(spark):
     assert sorted(r["doc_id"] for r in got) == [1, 2]
 
 
+def test_passages_inside_lines_and_across_wraps(spark):
+    import random
+    rnd = random.Random(4)
+    made = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    wrap = lambda w, k: "\n".join(" ".join(w[i:i + k]) for i in range(0, len(w), k))
+    run, other, third = made(60), made(55), made(49)
+    han = "".join(chr(0x4e00 + rnd.randrange(5000)) for _ in range(80))
+    spaceless = "".join(rnd.choice("abcdefghijklmno") for _ in range(900))
+    own = [made(40) for _ in range(8)]
+    line = lambda k, w: " ".join(own[k] + w + own[k + 1])
+    texts = {1: line(0, run), 2: line(2, [w.upper() + "," for w in run]), 3: wrap(own[4] + run, 9),
+             4: "top\n" + wrap(other, 7), 5: "other head\n" + wrap(other, 11) + "\ntail", 6: line(5, third), 7: " ".join(own[7] + third),
+             8: han[:5] + "甲" + han, 9: "乙丙" + han + "丁", 10: "start " + spaceless, 11: "begin " + spaceless}
+    docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    found = [r for r in paragraph_bands.with_passages(docs).collect() if r["begin"] is not None]
+    assert {(r["doc_id"], r["kept"], r["keeper"], r["n_words"]) for r in found if r["doc_id"] < 8} == {
+        (1, True, 1, 60), (2, False, 1, 60), (3, False, 1, 60), (4, True, 4, 55), (5, False, 4, 55)}
+    cut = {r["doc_id"]: texts[r["doc_id"]][r["begin"]:r["end"]] for r in found}
+    assert cut.keys() == {1, 2, 3, 4, 5, 8, 9, 10, 11} and cut[1].split() == run and cut[3].split() == run and cut[5].split() == other
+    assert cut[2].lower().replace(",", "").split() == run and cut[9] == han and len(cut[11]) > 850
+    assert len({r["cluster"] for r in found}) == 4
+
+
+def test_words_have_places():
+    hashes = passages.Hashes()
+    for text in (brute.LONG, "a, b -- c\u00a0d\x1ce 日本語 テキスト! " + "xyaz" * 40, "", " | ", "\ud800 x", "wörd\u2028two"):
+        places = hashes.places(text)
+        assert [h for b, e in places.tolist() for h in hashes.of(text[b:e]).tolist()] == hashes.of(text).tolist()
+
+
 def test_crowded_keys_lose_no_link(spark, monkeypatch):
     """All classes share a key; links form chains that do not pass through the pivot."""
     import random
