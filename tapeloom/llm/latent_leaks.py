@@ -301,16 +301,34 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     kinds = f"doc_id {doc_type}, item_id {item_type}, first_word bigint, cosine double, cover double, answer double"
     cut = stage(passages(items))
-    blocks = -(-cut.count() // BLOCK)
-    out = spark.createDataFrame([], kinds)
-    for k in range(blocks):
-        block = cut.where(F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(blocks)) == k).orderBy("item_id", "part", "words").collect()
-        if block:
-            out = out.unionByName(_search(docs, build(docs, block, [r["item_id"] for r in block]), kinds, to_arrow_type(items.schema["item_id"].dataType)))
-    # an item of several passages is named once for each document; the rows of one document meet in no other place
-    return out if cut.where("part > 0").isEmpty() and blocks < 2 else (
-        out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("first_word", "cosine", "cover", "answer"), F.struct("cover", "cosine")).alias("best"))
-        .select("doc_id", "item_id", "best.*"))
+    kind = to_arrow_type(items.schema["item_id"].dataType)
+    if cut.count() <= BLOCK:
+        block = cut.orderBy("item_id", "part", "words").collect()
+        return _search(docs, build(docs, block, [r["item_id"] for r in block]), kinds, kind) if block else spark.createDataFrame([], kinds)
+    # rows that repeat id and text find the same in each block, so their number is that of any block
+    named = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("at")).alias("doc_id"), "text")
+    of_named = kinds.replace(f"doc_id {doc_type}", f"doc_id struct<id:{doc_type},at:bigint>", 1)
+    found = None
+    for k, block in enumerate(_blocks(cut)):
+        more = _search(named, build(docs, block, [r["item_id"] for r in block]), of_named, kind).withColumn("block", F.lit(k))
+        found = more if found is None else found.unionByName(more)
+    best = F.max_by(F.struct("first_word", "cosine", "cover", "answer"), F.struct("cover", "cosine")).alias("best")
+    return (found.groupBy("doc_id", "item_id", "block").agg(F.count("*").alias("rows"), best)
+            .select("doc_id", "item_id", "rows", "best.*").groupBy("doc_id", "item_id").agg(F.max("rows").alias("rows"), best)
+            .select("doc_id.id", "item_id", "best", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+            .select(F.col("id").alias("doc_id"), "item_id", "best.*"))
+
+
+def _blocks(cut: DataFrame):
+    """Lists of BLOCK passages, the last of fewer; they are fetched by shares of about as many."""
+    shares, held = -(-cut.count() // BLOCK), []
+    for k in range(shares):
+        held += cut.where(F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(shares)) == k).orderBy("item_id", "part", "words").collect()
+        while len(held) >= BLOCK:
+            yield held[:BLOCK]
+            held = held[BLOCK:]
+    if held:
+        yield held
 
 
 def _search(docs: DataFrame, index: Index, kinds: str, item_type: pa.DataType) -> DataFrame:

@@ -349,6 +349,18 @@ def test_long_texts_and_items(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(1, 7)]
 
 
+def test_blocks_of_passages_are_exact(spark, monkeypatch):
+    """No block has more passages than the space has dimensions, and repeated rows stay at every size."""
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(9 if i % 2 else 60))) for i in range(7)]
+    rows = [(i, f"before it {t} after it") for i, t in items] + [(3, f"before it {items[3][1]} after it"), (50, "nothing of them")]
+    sizes, build = [], latent_leaks.build
+    monkeypatch.setattr(latent_leaks, "BLOCK", 4)
+    monkeypatch.setattr(latent_leaks, "build", lambda docs, block, ids: sizes.append(len(block)) or build(docs, block, ids))
+    got = latent_leaks.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == sorted((d, i) for d, t in rows for i, x in items if brute.holds(t, x))
+    assert sizes == [4, 3]
+
+
 # --- licences -----------------------------------------------------------------------------------
 
 def test_licences(spark):
