@@ -34,6 +34,8 @@ from .common import pick
 FANOUT = 2
 #: Rows whose crc32 of the id this number divides are tampered with in the query.
 TAMPER = 7
+#: Levels that one plan comes down before its paths are written.
+JOINED = 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -112,7 +114,7 @@ def paths(leaves: DataFrame, levels: list[DataFrame], fanout: int) -> DataFrame:
             made = (here.withColumn("_up", F.expr(f"idx div {fanout}")).join(up, ["tree", "_up"], "left")
                     .withColumn("path", F.when(F.col("_path").isNull(), step).otherwise(F.concat(step, "_path"))).drop("_up", "_path"))
         made = made.drop("left", "right")
-        above = stage(made.select("tree", "idx", "path")) if depth else made
+        above = made if depth % JOINED else stage(made) if depth else made
     alone = leaves.where("n = 1").drop("idx").withColumn("path", F.array().cast("array<struct<left:binary,right:binary>>"))
     return alone if above is None else alone.unionByName(above.drop("idx"))
 
