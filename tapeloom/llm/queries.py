@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import conversation_repair, edit_embedding, language, latent_leaks, licences, merkle, paragraph_bands, preferences, simhash, style_tree, token_counts, transducer
+from . import conversation_repair, edit_embedding, language, latent_leaks, licences, merkle, paragraph_bands, preferences, quality, simhash, style_tree, token_counts, transducer
 from .common import documents, pick
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,8 +71,13 @@ def op12_conversation_repair(spark, sf):
     return conversation_repair.report(conversation_repair.damage(spark.read.parquet(f"{sf}/conversations.parquet")))
 
 
+def op13_quality(spark, sf):
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    return quality.quality(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), part)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_preferences, op2_language_id, op3_main_text, op4_decontamination, op5_simhash, op6_licenses, op7_token_counts, op8_paragraphs,
-    op9_edit_fingerprints, op10_bpe_round_trip, op11_merkle_manifest, op12_conversation_repair)}
+    op9_edit_fingerprints, op10_bpe_round_trip, op11_merkle_manifest, op12_conversation_repair, op13_quality)}
 SQL: dict[str, str] = {"op1_preferences": preferences.SQL, "op6_licenses": licences.SQL, "op11_merkle_manifest": merkle.SQL,
        "op12_conversation_repair": conversation_repair.SQL}
