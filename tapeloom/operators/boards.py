@@ -339,3 +339,18 @@ def reprice_scan(board: DataFrame, quotes: DataFrame) -> DataFrame:
     live = F.col("lp").isNotNull() & (F.col("lp") != 0)
     return d.withColumns({"day_pct": F.when(live, F.bround(100 * (F.col("lp") / nz(F.col("prev_close")) - 1), 2)).otherwise(F.col("day_pct")),
                           "ltp": F.when(live, F.bround("lp", 2)).otherwise(F.col("ltp"))}).drop("lp")
+
+
+def universe_board(scan: DataFrame, names: DataFrame, momentum: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Scan of all names of the universe (symbol, sector) that have a usable quote (symbol, lp,
+    prev_close, high, low, volume): price, day move and turnover from the quote, delivery momentum, and
+    the wide frames of `scan`. A name without structure keeps its row."""
+    q = quotes.where("lp IS NOT NULL AND prev_close IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND high <> low")
+    hi, lo = sc.reconcile_range(F.col("high"), F.col("low"), F.col("lp"))
+    q = q.withColumn("turnover", F.bround(sc.turnover_proxy(F.col("volume"), hi, lo, F.col("lp")), 1))
+    board = (names.select("symbol", "sector").join(q.select("symbol", "prev_close", "turnover"), "symbol")
+             .join(momentum.select("symbol", F.bround("wtd_recent", 1).alias("wtd_recent"), F.bround("deliv_vs_norm", 1).alias("deliv_vs_norm")),
+                   "symbol", "left")
+             .join(scan, "symbol", "left")
+             .withColumns({"ltp": F.lit(None).cast("double"), "day_pct": F.lit(None).cast("double")}))
+    return reprice_scan(board, q)

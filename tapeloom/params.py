@@ -55,6 +55,8 @@ class Levels:
     min_bars: int = 12
     pivot_wing: int = 2
     gap: float = 0.25            # overnight move that counts as a corporate action
+    daily_days: int = 430        # calendar days of daily history
+    monthly_days: int = 2400     # and of the months' history
 
 
 @dataclass(frozen=True)

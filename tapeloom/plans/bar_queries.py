@@ -35,12 +35,12 @@ def slot_sql(m: int) -> str:
     return f"date_trunc('day', ts) + to_minutes({slot} * {m}) AS bts, CAST(ts AS DATE) AS d, {folded} AS slot"
 
 
-def frames_sql() -> str:
+def frames_sql(bars: str = BARS, daily: str = "fine") -> str:
     parts = [f"SELECT *, '{k}' AS frame, {slot_sql(m)} FROM fine" for k, m in FRAMES.items()]
-    parts.append("SELECT *, '1D' AS frame, date_trunc('day', ts) AS bts, CAST(ts AS DATE) AS d, 0 AS slot FROM fine")
+    parts.append(f"SELECT *, '1D' AS frame, date_trunc('day', ts) AS bts, CAST(ts AS DATE) AS d, 0 AS slot FROM {daily}")
     wk = "CAST(ts AS DATE) + CAST((4 - (isodow(ts) - 1) + 7) % 7 AS INT)"
-    parts.append(f"SELECT *, '1W' AS frame, CAST({wk} AS TIMESTAMP) AS bts, {wk} AS d, 0 AS slot FROM fine")
-    return BARS + ",\nkeyed AS (" + "\nUNION ALL ".join(parts) + f""")
+    parts.append(f"SELECT *, '1W' AS frame, CAST({wk} AS TIMESTAMP) AS bts, {wk} AS d, 0 AS slot FROM {daily}")
+    return bars + ",\nkeyed AS (" + "\nUNION ALL ".join(parts) + f""")
 , multi AS ({agg_sql('symbol, frame')} FROM keyed GROUP BY symbol, frame, d, slot
   HAVING NOT (frame = '1W' AND CAST(max(keyed.ts) AS DATE) < d AND DATE '{NOW}' <= d))"""
 
@@ -342,14 +342,19 @@ def bearish_age(spark, sf):
 KEYS = ["symbol", "frame"]
 LB_SQL = "CASE WHEN frame = '1D' THEN 180 ELSE 60 END"
 SUMM = frames_sql() + struct_sql("multi", "symbol, frame") + summary_sql("symbol, frame", LB_SQL)
+SUMM_COLS = "symbol frame struct n:i last:r box_hi:r box_lo:r band_pct:f blind_hi:r blind_lo:r n_walls:i"
 
 
-def summary(spark, sf):
+def summarize(frames):
     lb = F.when(F.col("frame") == "1D", Levels().daily_lookback).otherwise(Levels().lookback)
-    return lv.frame_summary(_multi(spark, sf), KEYS, Structure(), Levels(), lb)
+    return lv.frame_summary(frames, KEYS, Structure(), Levels(), lb)
+
+
+def summary(spark, sf):
+    return summarize(_multi(spark, sf))
 
 
-@register("frame_summary", "MT1 LV7", "symbol frame struct n:i last:r box_hi:r box_lo:r band_pct:f blind_hi:r blind_lo:r n_walls:i", SUMM + """,
+@register("frame_summary", "MT1 LV7", SUMM_COLS, SUMM + """,
 out AS (SELECT *, len(walls) AS n_walls FROM summ)""")
 def frame_summary(spark, sf):
     return summary(spark, sf).withColumn("n_walls", F.size("walls"))
@@ -362,7 +367,7 @@ def walls(spark, sf):
     return summary(spark, sf).select("symbol", "frame", F.explode("walls").alias("w")).select("symbol", "frame", "w.*")
 
 
-SR = SUMM + """,
+LEVELS_SQL = """,
 sr0 AS (SELECT *, list_filter(walls, lambda c: c.level > last + 0.25 * atr) AS up, list_filter(walls, lambda c: c.level < last - 0.25 * atr) AS dn,
   list_filter(walls, lambda c: c.touches >= 2 AND c.level > last) AS up2, list_filter(walls, lambda c: c.touches >= 2 AND c.level < last) AS dn2 FROM summ),
 sr1 AS (SELECT *, list_min(list_transform(up, lambda c: c.level)) AS resistance, list_max(list_transform(dn, lambda c: c.level)) AS support FROM sr0),
@@ -374,19 +379,23 @@ zs AS """ + zone_sql("symbol, frame", "sr2", "support") + ",\nzr AS " + zone_sql
 sr AS (SELECT sr2.*, coalesce(zs.visits, 0) AS sup_visits, coalesce(zs.bars, 0) AS sup_bars, coalesce(zs.time_pct, 0) AS sup_time_pct,
   coalesce(zr.visits, 0) AS res_visits, coalesce(zr.bars, 0) AS res_bars, coalesce(zr.time_pct, 0) AS res_time_pct
   FROM sr2 LEFT JOIN zs USING (symbol, frame) LEFT JOIN zr USING (symbol, frame))"""
+SR = SUMM + LEVELS_SQL
+SR_COLS = ("symbol frame support:f sup_touches:i resistance:f res_touches:i head_up:f head_dn:f sup_visits:i sup_bars:i sup_time_pct:f "
+           "res_visits:i res_bars:i res_time_pct:f")
+REPORT_SQL = """,
+lx AS (SELECT symbol, frame, last, atr, unnest(walls) AS wl FROM summ),
+ly AS (SELECT symbol, frame, last, atr, wl.level AS level, wl.touches AS touches FROM lx),
+zz AS """ + zone_sql("symbol, frame", "ly", "level") + """,
+out AS (SELECT ly.symbol, ly.frame, ly.level, 100 * (ly.level - last) / last AS dist_pct, touches, visits, bars, closes, time_pct,
+  CASE WHEN ly.level > last THEN 'RES' ELSE 'SUP' END AS side FROM ly JOIN zz USING (symbol, frame, level))"""
+REPORT_COLS = "symbol frame level:f dist_pct:f touches:i visits:i bars:i closes:i time_pct:f side"
 
 
-@register("sr_levels", "LV3 LV4", "symbol frame support:f sup_touches:i resistance:f res_touches:i head_up:f head_dn:f sup_visits:i sup_bars:i sup_time_pct:f "
-          "res_visits:i res_bars:i res_time_pct:f", SR + ", out AS (SELECT * FROM sr)")
+@register("sr_levels", "LV3 LV4", SR_COLS, SR + ", out AS (SELECT * FROM sr)")
 def sr_levels(spark, sf):
     return lv.sr_levels(summary(spark, sf))
 
 
-@register("levels_report", "E9 LV3", "symbol frame level:f dist_pct:f touches:i visits:i bars:i closes:i time_pct:f side", SUMM + """,
-lx AS (SELECT symbol, frame, last, atr, unnest(walls) AS wl FROM summ),
-ly AS (SELECT symbol, frame, last, atr, wl.level AS level, wl.touches AS touches FROM lx),
-zz AS """ + zone_sql("symbol, frame", "ly", "level") + """,
-out AS (SELECT ly.symbol, ly.frame, ly.level, 100 * (ly.level - last) / last AS dist_pct, touches, visits, bars, closes, time_pct,
-  CASE WHEN ly.level > last THEN 'RES' ELSE 'SUP' END AS side FROM ly JOIN zz USING (symbol, frame, level))""")
+@register("levels_report", "E9 LV3", REPORT_COLS, SUMM + REPORT_SQL)
 def levels_report(spark, sf):
     return lv.levels_report(summary(spark, sf), KEYS)

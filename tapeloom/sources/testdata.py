@@ -166,9 +166,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"))
 
 
-def bars(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
-    """Event prints as fine bars of `minutes` (a divisor of the day); volume counts prints."""
-    t = ticks(spark, sf_dir)
+def fold_ticks(t: DataFrame, minutes: int) -> DataFrame:
+    """Prints as fine bars of `minutes` (a divisor of the day); volume counts prints."""
     micros = (F.hour("ts") * 3600 + F.minute("ts") * 60).cast("int")
     start = (F.to_date("ts").cast("timestamp_ntz")
              + F.make_dt_interval(mins=(F.floor(micros / (60 * minutes)) * minutes).cast("int")))
@@ -178,3 +177,48 @@ def bars(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
         F.min("price").alias("low"), F.max_by("price", "event_id").alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"))
     return g
+
+
+def bars(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
+    """Event prints as fine bars."""
+    return fold_ticks(ticks(spark, sf_dir), minutes)
+
+
+#: Prices in front of these days are that many times what they are after them.
+LISTED_EVENTS = {"click": [("2024-01-12", 5.0)], "view": [("2024-01-09", 2.0), ("2024-01-23", 10.0)], "purchase": [("2024-01-17", 1.6)]}
+#: The same for suppliers by the last digit of their key.
+LISTED_SUPPLIERS = {3: [("1999-06-15", 5.0)], 7: [("1998-03-01", 2.0), ("2001-05-10", 10.0)], 5: [("2001-08-20", 1.6)]}
+
+
+def _scale(key: Column, day: Column, actions: dict) -> Column:
+    out = F.lit(1.0)
+    for name, steps in actions.items():
+        for at, times in steps:
+            out = out * F.when((key == name) & (day < F.lit(at).cast("date")), times).otherwise(1.0)
+    return out
+
+
+def listed_bars(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
+    """Fine bars of prices that move by less than a fifth, but for the corporate actions of some symbols."""
+    t = ticks(spark, sf_dir)
+    price = (1000.0 + F.least("price", F.lit(400.0)) / 3) * _scale(F.col("symbol"), F.to_date("ts"), LISTED_EVENTS)
+    return fold_ticks(t.withColumn("price", price), minutes)
+
+
+def listed_daily(fine: DataFrame) -> DataFrame:
+    """The days of fine bars as a panel, as printed."""
+    return fine.groupBy("symbol", F.to_date("ts").alias("trade_date")).agg(
+        F.min_by("open", "ts").alias("open_price"), F.max("high").alias("high_price"), F.min("low").alias("low_price"),
+        F.max_by("close", "ts").alias("close_price"), F.sum("volume").alias("ttl_trd_qnty"))
+
+
+def listed_panel(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """Daily panel of the suppliers with corporate actions, as printed."""
+    k, day = F.col("l_suppkey"), F.to_date("l_shipdate")
+    li = in_sessions(table(spark, sf_dir, "lineitem"), start, end)
+    px = (1000.0 + (F.col("l_extendedprice") % 1000) / 10) * _scale(k % 10, day, LISTED_SUPPLIERS)
+    pos = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    t = li.select(F.concat(F.lit("S"), k).alias("symbol"), day.alias("trade_date"), px.alias("px"), F.col("l_quantity").alias("qty"), pos.alias("pos"))
+    return t.groupBy("symbol", "trade_date").agg(
+        F.min_by("px", "pos").alias("open_price"), F.max("px").alias("high_price"), F.min("px").alias("low_price"),
+        F.max_by("px", "pos").alias("close_price"), F.sum("qty").alias("ttl_trd_qnty"))
