@@ -5,15 +5,19 @@ thresholds; the operators' defaults are the locked ones.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import screen as scr
 from ..operators.calendar import parse_calendar
 from ..params import Signal
-from ..session import stage
+from ..session import shared_dir, stage
 from ..sources import panel as src
+from ..sources import states as src_states
 from ..sources import testdata as td
+from ..sources.states import SessionStore
 
 LOOSE = Signal(clr=0.45, deliv_trail=25.0, vol_ratio=0.8, ret=0.0, close_vs_vwap=-0.1, rs_min=-5.0,
                liq_lacs=4.0, regime_ma=10, max_stale_days=40, min_year_rows=10, cost_bps=22.0)
@@ -131,9 +135,30 @@ def once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     return _staged[key]
 
 
+_stores: dict = {}
+
+
+def _version(spark: SparkSession, path: str) -> tuple:
+    """Files of a table with their sizes and times; a table that changes gets a new store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def store(spark: SparkSession, sf: str) -> SessionStore:
+    """The session states of the prints. The first query of an application that needs them folds all
+    prints once, as the first update of a new store; later ones read the sessions they want."""
+    key = (spark.sparkContext.applicationId, sf, _version(spark, f"{sf}/lineitem.parquet"))
+    if key not in _stores:
+        made = SessionStore(spark, f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}")
+        made.update(td.prints(spark, sf), "all")
+        _stores[key] = made
+    return _stores[key]
+
+
 def panel(spark: SparkSession, sf: str, start=None, end=None) -> DataFrame:
-    """The session panel, aggregated from the prints once per query; a dated query reads its range only."""
-    return once(spark, sf, f"panel {start} {end}", lambda: td.eod_panel(spark, sf, start, end))
+    """The session panel out of the state store; a dated query opens the folders of its range only."""
+    return src_states.panel(store(spark, sf).read(start, end), td.series_of())
 
 
 def session_bars(spark: SparkSession, sf: str) -> DataFrame:

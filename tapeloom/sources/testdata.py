@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import states
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,33 +45,20 @@ def trades(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
         trade_order().alias("pos"))
 
 
+def prints(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """Prints keyed by symbol and session, as the state store takes them."""
+    return trades(spark, sf_dir, start, end).select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), "trade_date", "pos", "px",
+                                                    "qty", "value", "delivered")
+
+
+def series_of(symbol: str = "symbol") -> Column:
+    return F.when(F.substring(symbol, 2, 20).cast("bigint") % 10 == 9, "SM").otherwise("EQ")
+
+
 def eod_panel(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
-    """End-of-session panel: one row per (symbol, session). With `start`, the first row of a symbol
-    has no previous close."""
-    g = (trades(spark, sf_dir, start, end).groupBy("l_suppkey", "trade_date").agg(
-        F.min_by("px", "pos").alias("open_price"),
-        F.max("px").alias("high_price"),
-        F.min("px").alias("low_price"),
-        F.max_by("px", "pos").alias("close_price"),
-        F.sum("qty").alias("qty"),
-        F.round(F.sum("value"), 2).alias("value"),      # money is in cents; keeps the sum exact
-        F.sum(F.when(F.col("delivered"), F.col("qty")).otherwise(0.0)).alias("dq"),
-        F.count(F.lit(1)).alias("no_of_trades")))
-    # windows on the symbol itself: later per-symbol windows find the rows already in place
-    g = g.withColumn("symbol", F.concat(F.lit("S"), F.col("l_suppkey")))
-    w = Window.partitionBy("symbol").orderBy("trade_date")
-    return g.select(
-        "trade_date",
-        "symbol",
-        F.when(F.col("l_suppkey") % 10 == 9, "SM").otherwise("EQ").alias("series"),
-        F.lag("close_price").over(w).alias("prev_close"),
-        "open_price", "high_price", "low_price", "close_price",
-        (F.col("value") / F.col("qty")).alias("avg_price"),
-        F.col("qty").cast("bigint").alias("ttl_trd_qnty"),
-        F.col("dq").cast("bigint").alias("deliv_qty"),
-        (100.0 * F.col("dq") / F.col("qty")).alias("deliv_per"),
-        (F.col("value") / 1e5).alias("turnover_lacs"),
-        "no_of_trades")
+    """End-of-session panel straight from the prints: one row per (symbol, session). With `start`, the
+    first row of a symbol has no previous close."""
+    return states.panel(states.fold(prints(spark, sf_dir, start, end)), series_of())
 
 
 def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
