@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.asof import asof
 from ..functions.rolling import nz, roll_mean, roll_median, roll_sum, series, true_range, yes
 from ..params import Levels, Session, Signal
 from ..session import known_size, stage
@@ -14,7 +15,7 @@ from . import synthesis as sy
 from .calendar import blocked_days
 from .features import conviction_score, index_day_returns
 from .levels import WALL, big_wall, live_levels
-from .selection import capped_book, top_per_session
+from .selection import capped_book, top_per_session, two_sided_shortlist
 from .structure import last_bar, structure_table
 
 
@@ -354,3 +355,67 @@ def universe_board(scan: DataFrame, names: DataFrame, momentum: DataFrame, quote
              .join(scan, "symbol", "left")
              .withColumns({"ltp": F.lit(None).cast("double"), "day_pct": F.lit(None).cast("double")}))
     return reprice_scan(board, q)
+
+
+def asof_board(bars: DataFrame, cuts: DataFrame, ref: DataFrame, index: DataFrame, gate: DataFrame, events: DataFrame,
+               p: Signal = Signal(), s: Session = Session(), bar_minutes: int = 5, pace: bool = True) -> DataFrame:
+    """The board as it stood at each of the cuts (trade_date, cut, minute): one row for each cut and name
+    with a bar up to it. All cuts are answered by one plan.
+
+    Every bar (symbol, trade_date, ts, prices, volume) carries the state of its session up to it, and a cut
+    takes the state of the newest bar at or before it, so nothing after a cut is read. Baselines are those of
+    the row in front of the session (`ref`, keyed by the session they are for). `index` holds bars of the
+    index (trade_date, ts, open, close); its move runs from the session's first open."""
+    first = Window.partitionBy("trade_date").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    moves = known_size(index.select("trade_date", "ts", (F.col("close") / nz(F.first("open").over(first)) - 1).alias("idx_ret")))
+    base = ref.select(*BOARD_KEYS, "sector", F.col("ref_close").alias("prev_close"), F.col("vol_med20").alias("ref_volume"),
+                      F.coalesce("atr14", F.lit(0.0)).alias("atr"), F.coalesce("deliv_trail", F.lit(0.0)).alias("deliv_trail"),
+                      F.col("rs_cum9").alias("rs_base"))
+    opened = Window.partitionBy("symbol", "trade_date").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    run = (bo.running_session(bars.join(base, BOARD_KEYS), ["symbol", "trade_date"]).withColumn("run_open", F.first("open").over(opened))
+           .join(moves, ["trade_date", "ts"], "left"))
+    trig = bo.first_trigger(run, BOARD_KEYS, p, bar_minutes, pace)
+    state = ["sector", "prev_close", "ref_volume", "atr", "deliv_trail", "rs_base", "run_open", "run_high", "run_low", "close", "cum_volume", "run_vwap"]
+    wanted = run.select(*BOARD_KEYS).distinct().join(known_size(cuts.select("trade_date", "cut", "minute")), "trade_date")
+    d = asof(wanted, run.select(*BOARD_KEYS, F.col("ts").alias("cut"), *state), "cut", state, by=["trade_date", "symbol"]).where("matched_cut IS NOT NULL")
+    at = asof(cuts.select("trade_date", "cut").distinct(), moves.select("trade_date", F.col("ts").alias("cut"), "idx_ret"), "cut", ["idx_ret"],
+              by=["trade_date"])
+    d = d.join(known_size(at.select("trade_date", "cut", (100 * F.col("idx_ret")).alias("idx_pct"))), ["trade_date", "cut"], "left")
+    d = gate_rows(d, gate).join(blocked_days(events, p.event_horizon_days).withColumn("_event", F.lit(True)), BOARD_KEYS, "left").join(trig, BOARD_KEYS, "left")
+    ltp, minute = F.col("close"), F.col("minute")
+    d = d.where("prev_close <> 0").withColumns(sc.price_action(F.col("run_open"), F.col("run_high"), F.col("run_low"), ltp))
+    fired = F.col("entered") <= F.col("cut")
+    d = d.withColumns({
+        "day_raw": 100 * (ltp / F.col("prev_close") - 1), "cvwap": (ltp - F.col("run_vwap")) / nz(F.col("run_vwap")),
+        "pace": F.when(F.col("cum_volume") > 0, sc.volume_pace(F.col("cum_volume"), F.col("ref_volume"), minute)),
+        "at": F.when(fired, F.col("at")), "entered": F.when(fired, F.col("entered"))})
+    d = d.withColumn("rs_raw", F.col("day_raw") - F.col("idx_pct")).withColumn("rs_cum", F.col("rs_base") + F.col("rs_raw") / 100)
+    ready = sc.long_readiness(F.col("clr"), F.col("day_raw"), F.col("rs_cum"), F.col("pace"), F.col("cvwap"), p)
+    act = sc.live_action(ready, F.col("clr"), F.col("day_raw"), F.col("risk_on"), F.col("deliv_trail"), minute, F.lit(True), p, s)
+    weak = sc.short_readiness(F.col("clr"), F.col("day_raw"), F.col("rs_raw"), F.col("pace"), p)
+    return d.withColumns({
+        "ltp": ltp, "btst": ready, "action": F.when(F.col("_event"), "EARNINGS").otherwise(act), "sell": sc.sell_action(weak, F.col("character")),
+        "day_pct": F.bround("day_raw", 2), "rs_pct": F.bround("rs_raw", 2), "rs_cum_pct": F.bround(100 * F.col("rs_cum"), 2),
+        "vol_x": F.bround("pace", 2), "cvwap_pct": F.bround(100 * F.col("cvwap"), 2), "deliv_tr": F.bround("deliv_trail", 1),
+        "since_pct": sc.since_pct(ltp, F.col("at")), "trigger_px": F.col("at"), "at": F.bround("at", 2),
+        **sc.levels(ltp, F.col("atr"), F.col("run_low")), **sc.short_levels(ltp, F.col("atr"))}).drop("_event").orderBy("cut", "action", F.desc("btst"), "symbol")
+
+
+def timeframe_board(bars: DataFrame, frame: DataFrame, index_pct: DataFrame, gate: DataFrame, minutes: int, now, n: int = 25,
+                    p: Signal = Signal(), s: Session = Session()) -> DataFrame:
+    """Shortlist board on one frame: fine bars (symbol, ts, ...) give today's quote of each name, the
+    two-sided screen keeps the strongest and weakest, and only their frame bars are read. `index_pct`
+    (trade_date, idx_pct) and `gate` (trade_date, up) are the index's."""
+    day = F.to_date("ts")
+    dated = bars.withColumn("trade_date", day)
+    today = dated.agg(F.max("trade_date")).scalar()
+    q = bo.session_state(dated.where(F.col("trade_date") == today), ["symbol", "trade_date"])
+    prev = dated.where(F.col("trade_date") < today).groupBy("symbol").agg(F.max_by("close", "ts").alias("prev_close"))
+    q = q.join(prev, "symbol").where("high <> low").withColumns({
+        "turnover_lacs": sc.turnover_proxy(F.col("volume"), F.col("high"), F.col("low"), F.col("ltp")),
+        "day_pct": 100 * (F.col("ltp") / nz(F.col("prev_close")) - 1), "clr": (F.col("ltp") - F.col("low")) / (F.col("high") - F.col("low"))})
+    short = known_size(gate_rows(two_sided_shortlist(q, n, p).join(index_pct, "trade_date", "left"), gate)
+                       .select("symbol", "list", "prev_close", "idx_pct", "risk_on"))
+    feat = frame_features(frame.join(short.select("symbol"), "symbol", "left_semi"), minutes, now, s).join(
+        short.select("symbol", "list", "idx_pct", "risk_on"), "symbol")
+    return frame_board(feat, short, F.col("idx_pct"), F.col("risk_on"), p).orderBy("action", F.desc("bar_clr"), "symbol")

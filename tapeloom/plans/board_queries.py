@@ -502,7 +502,9 @@ def scan_quality(spark, sf):
 # --- frame board over event bars -----------------------------------------------------------------
 H4 = BARS + f""",
 k4 AS (SELECT *, {slot_sql(240)} FROM fine), h4 AS ({agg_sql('symbol')} FROM k4 GROUP BY symbol, d, slot)"""
-FB = H4 + bq.RSI.replace("FROM fine", "FROM h4") + struct_sql("h4", "symbol") + f""",
+def frame_sql(index_pct: str = "1.5") -> str:
+    """CTEs from 4-hour bars `h4` to the board rows `fb`."""
+    return (bq.RSI.replace("FROM fine", "FROM h4") + struct_sql("h4", "symbol") + f""",
 nd AS (SELECT symbol, max(CAST(ts AS DATE)) AS ld FROM h4 GROUP BY 1),
 ss AS (SELECT symbol, arg_min(open, ts) AS o, max(high) AS dh, min(low) AS day_low, arg_max(close, ts) AS ltp, sum((high + low + close) / 3 * volume) / sum(volume) AS vwap
   FROM h4 JOIN nd USING (symbol) WHERE CAST(ts AS DATE) = ld GROUP BY 1),
@@ -510,7 +512,10 @@ pv AS (SELECT symbol, arg_max(close, ts) AS prev_close FROM h4 JOIN nd USING (sy
 lb AS (SELECT symbol, ts, struct, atr, high AS bar_h, low AS bar_l, CASE WHEN high > low THEN round_even((close - low) / (high - low), 3) ELSE 0.5 END AS bar_clr
   FROM stru QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
 fb0 AS (SELECT *, round_even(100 * (ltp / prev_close - 1), 2) AS day_pct, ltp >= vwap AS above_vwap, 100 * (ltp / vwap - 1) AS vs_vwap FROM ss JOIN pv USING (symbol) JOIN lb USING (symbol) JOIN rsi USING (symbol)),
-fb AS (SELECT *, round_even(day_pct - 1.5, 2) AS rs_pct FROM fb0)"""
+fb AS (SELECT *, round_even(day_pct - {index_pct}, 2) AS rs_pct FROM fb0)""")
+
+
+FB = H4 + frame_sql()
 
 
 def _label_sql(clr: str, vw: str, rs: str) -> tuple[str, str]:

@@ -155,6 +155,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"))
 
 
+def named_ticks(spark: SparkSession, sf_dir: str, names: int = 6) -> DataFrame:
+    """Prints of the event stream under more names: type and user group."""
+    t = table(spark, sf_dir, "events")
+    return t.select(F.concat_ws("-", "event_type", (F.col("user_id") % names).cast("string")).alias("symbol"), "ts", "event_id", F.col("value").alias("price"))
+
+
 def fold_ticks(t: DataFrame, minutes: int) -> DataFrame:
     """Prints as fine bars of `minutes` (a divisor of the day); volume counts prints."""
     micros = (F.hour("ts") * 3600 + F.minute("ts") * 60).cast("int")

@@ -1,6 +1,8 @@
 """Drive a streaming query over files to completion."""
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +30,51 @@ def run_batches(stream: DataFrame, writer, mode: str = "update") -> None:
     q = (stream.writeStream.outputMode(mode).foreachBatch(writer)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+class Replayed:
+    """A replay of `total` rows that is run in batches to its end, or stopped on the way and started again
+    from its checkpoint. `make(progress)` gives the stream; the sink is a table, or a foreachBatch writer.
+
+    The end is told by the offset of the last finished batch, not by idleness: a query with processing-time
+    state has a batch at every trigger."""
+
+    def __init__(self, spark: SparkSession, make, total: int, mode: str = "append", writer=None, limit_seconds: float = 600):
+        self.spark, self.make, self.total, self.mode, self.writer, self.limit = spark, make, total, mode, writer, limit_seconds
+        self.base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+        self.batches: set[int] = set()
+
+    def run(self, stop_after: int | None = None) -> "Replayed":
+        """Go on to the end of what is stored, or until so many more batches with rows are done."""
+        stream = self.make(f"{self.base}/progress")
+        self.schema = stream.schema
+        w = stream.writeStream.outputMode(self.mode).option("checkpointLocation", f"{self.base}/checkpoint").trigger(processingTime="0 seconds")
+        w = w.foreachBatch(self.writer) if self.writer else w.format("parquet").option("path", f"{self.base}/out")
+        q = w.start()
+        done, began, at = set(), time.monotonic(), 0
+        try:
+            while at < self.total and (stop_after is None or len(done) < stop_after):
+                if q.awaitTermination(0.1):
+                    break
+                for p in q.recentProgress:
+                    at = max([at, *(_row(s["endOffset"]) for s in p["sources"])])
+                    if p["numInputRows"]:
+                        done.add(p["batchId"])
+                if time.monotonic() - began > self.limit:
+                    raise TimeoutError(f"at row {at} of {self.total} after {self.limit} seconds")
+        finally:
+            q.stop()
+        if q.exception():
+            raise q.exception()
+        self.batches |= done
+        return self
+
+    def table(self) -> DataFrame:
+        if not self.batches:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/out")
+
+
+def _row(offset) -> int:
+    offset = json.loads(offset) if isinstance(offset, str) else offset
+    return (offset or {}).get("row", 0)
