@@ -1,7 +1,7 @@
 """Drive a streaming query over files to completion."""
 from __future__ import annotations
 
-import json
+import re
 import time
 import uuid
 
@@ -76,5 +76,6 @@ class Replayed:
 
 
 def _row(offset) -> int:
-    offset = json.loads(offset) if isinstance(offset, str) else offset
-    return (offset or {}).get("row", 0)
+    """The row number of an offset, however the progress report spells it."""
+    found = re.search(r"row\W+(\d+)", str(offset))
+    return int(found[1]) if found else 0
