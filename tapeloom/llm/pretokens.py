@@ -88,16 +88,16 @@ class Cutter:
 class Memo(dict):
     """piece -> value(piece with the space before it), with a bounded number of entries."""
 
-    def __init__(self, value):
+    def __init__(self, value, limit: int = MEMO):
         super().__init__()
-        self.value, self.checked = value, True
+        self.value, self.limit, self.checked = value, limit, True
 
     def __missing__(self, p: str):
         if self.checked and (not p or p[0].isspace() or p[-1].isspace()):
             raise Uneven
         v = self.value(" " + p)
         if len(p) <= KEPT_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.limit:
                 self.clear()
             self[p] = v
         return v
