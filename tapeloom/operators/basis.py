@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.asof import asof
 from ..functions.ranking import prefix_counts, spread_median
-from ..functions.rolling import axis, nz, yes
+from ..functions.rolling import nz, yes
 from ..functions.scalars import carry_tag
+from ..functions.scans import with_rank_so_far
 from ..params import Basis
 from ..session import known_size, stage
-from .regime import expanding_pct
 
 DAY = "trade_date"
 
@@ -86,7 +86,7 @@ def carry_market(board: DataFrame, futures: DataFrame, index: DataFrame, dates:
     """Market read for every as-of date: newest index basis with its percentile in the history so
     far and its staleness, and the medians of that session's board."""
     ix = index_carry(futures, index, p)
-    ix = ix.withColumn("pctile", 100 * expanding_pct("carry_ann", axis()))
+    ix = with_rank_so_far(ix, "carry_ann", "pctile").withColumn("pctile", 100 * F.col("pctile"))
     asked = asof(dates.select(DAY), ix, DAY, ["carry_ann", "pctile"])
     board = stage(board)
     med = spread_median(board, [DAY], "basis_pct", ["symbol"], "carry_med")

@@ -5,12 +5,11 @@ the calendar and never grows with the panel.
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import axis, compound, nz, roll_mean, roll_std, yes
+from ..functions.scans import with_ema, with_rank_so_far
 from ..params import Regime, Signal
 from ..session import known_size
 
@@ -56,23 +55,6 @@ def live_gate(index: DataFrame, live: DataFrame, p: Signal = Signal()) -> DataFr
                             & (F.col("live_close") > ma)).alias("up"))
 
 
-def ema(value: str, span: int, w) -> Column:
-    """Recursive exponential mean (no bias correction), folded over the rows that count: what lies
-    further back weighs less than one unit in the last place of a double, whatever the span."""
-    a = 2.0 / (span + 1)
-    horizon = 1 if a >= 1 else math.ceil(54 * math.log(2) / -math.log1p(-a)) + 1
-    xs = F.collect_list(value).over(w.rowsBetween(-(horizon - 1), 0))
-    return F.aggregate(xs, F.lit(None).cast("double"),
-                       lambda acc, x: F.when(acc.isNull(), x).otherwise(a * x + (1 - a) * acc))
-
-
-def expanding_pct(value: str, w) -> Column:
-    """Share of all rows so far (warm-up rows included) whose value is at most this one."""
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    below = F.size(F.filter(F.collect_list(value).over(upto), lambda v: v <= F.col(value)))
-    return F.when(F.col(value).isNotNull(), below / F.row_number().over(w))
-
-
 def debounce(df: DataFrame, label: str, out: str, confirm: int, w) -> DataFrame:
     """Accept a label change only after it has held `confirm` rows; the first label is accepted
     at once."""
@@ -91,10 +73,9 @@ def regime_history(nifty: DataFrame, p: Regime = Regime()) -> DataFrame:
     confidence multiplier, divergence, medium trend, trend strength and efficiency ratio."""
     w = axis()
     px, nret = F.col("close_val"), F.col("nret")
-    d = nifty.withColumns({
+    d = with_ema(with_ema(nifty, "close_val", "e20", p.ema_fast), "close_val", "e50", p.ema_slow).withColumns({
         "_rn": F.row_number().over(w),
         "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))),
-        "e20": ema("close_val", p.ema_fast, w), "e50": ema("close_val", p.ema_slow, w),
         "vol20": roll_std(nret / 100.0, w, p.vol_win),
         "ret_s": compound(nret, w, p.ret_short), "ret_m": compound(nret, w, p.ret_mid),
         "ret_t": compound(nret, w, p.trend_win),
@@ -102,8 +83,7 @@ def regime_history(nifty: DataFrame, p: Regime = Regime()) -> DataFrame:
     })
     path = F.when(F.count("_diff").over(w.rowsBetween(-(p.er_win - 1), 0)) >= p.er_win,
                   F.sum("_diff").over(w.rowsBetween(-(p.er_win - 1), 0)))
-    d = d.withColumns({
-        "volpct": expanding_pct("vol20", w),
+    d = with_rank_so_far(d, "vol20", "volpct").withColumns({
         "slope": F.col("e20") - F.lag("e20", p.slope_win).over(w),
         "reg_er20": F.abs(px - F.lag(px, p.er_win).over(w)) / nz(path),
     })

@@ -182,8 +182,8 @@ def regime_history(spark, sf):
 
 @register("index_ema", "W23 P8", "trade_date:d e20:f e50:f", PANEL + REG + ", out AS (SELECT trade_date, e20, e50 FROM rg0)")
 def index_ema(spark, sf):
-    from ..functions.rolling import axis
-    return B.nifty(spark, sf).select("trade_date", rg.ema("close_val", 20, axis()).alias("e20"), rg.ema("close_val", 50, axis()).alias("e50"))
+    from ..functions.scans import with_ema
+    return with_ema(with_ema(B.nifty(spark, sf), "close_val", "e20", 20), "close_val", "e50", 50)
 
 
 @register("sector_tilt", "E5 W27 A35 SC45 SC46 J8 J9", TILT_COLS, TILT_SQL + ", out AS (SELECT * FROM tilt)")

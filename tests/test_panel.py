@@ -102,8 +102,8 @@ def test_debounce_against_loop(spark):
 def test_ema_matches_pandas(spark):
     x = np.random.default_rng(3).normal(100, 5, 200)
     df = spark.createDataFrame([(D0 + dt.timedelta(days=i), float(v)) for i, v in enumerate(x)], "trade_date date, v double")
-    from tapeloom.functions.rolling import axis
-    got = [r.e for r in df.select("trade_date", rg.ema("v", 20, axis()).alias("e")).orderBy("trade_date").collect()]
+    from tapeloom.functions.scans import with_ema
+    got = [r.e for r in df.select("trade_date", "v").transform(lambda d: with_ema(d, "v", "e", 20)).orderBy("trade_date").collect()]
     assert np.allclose(got, pd.Series(x).ewm(span=20, adjust=False).mean())
 
 
