@@ -30,17 +30,17 @@ def with_ema(d: DataFrame, value: str, out: str, span: int, order: str = "trade_
     q = 1 - a
     size = max(1, math.ceil(GROWTH / -math.log(q)))
     back = math.ceil(DIGITS / (size * -math.log(q))) + 1
-    d = d.withColumn("_i", F.count(x).over(w) - 1)                       # place among the values; a missing one has the last place
-    d = d.withColumns({"_block": F.floor(F.greatest("_i", F.lit(0)) / size).cast("int"), "_at": F.pmod(F.greatest("_i", F.lit(0)), F.lit(size))})
-    term = F.when(x.isNotNull(), F.when(F.col("_i") == 0, x).otherwise(a * x) * F.pow(F.lit(q), -F.col("_at")))
-    inside = Window.partitionBy(F.lit(0), "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_own", F.sum(term).over(inside) * F.pow(F.lit(q), F.col("_at")))
-    ends = F.when((F.col("_at") == size - 1) & x.isNotNull(), F.col("_own"))
-    blocks = Window.partitionBy(F.lit(0)).orderBy("_block")
-    d = d.withColumns({f"_b{j}": F.max(ends).over(blocks.rangeBetween(-j, -j)) for j in range(1, back + 1)})
-    start = sum((F.coalesce(F.col(f"_b{j}"), F.lit(0.0)) * q ** (size * (j - 1)) for j in range(1, back + 1)), F.lit(0.0))
-    made = F.when(F.col("_i") >= 0, F.coalesce(F.col("_own"), F.lit(0.0)) + start * F.pow(F.lit(q), F.col("_at") + 1))
-    return d.withColumn(out, made).drop("_i", "_block", "_at", "_own", *[f"_b{j}" for j in range(1, back + 1)])
+    d = d.withColumn("_ema_i", F.count(x).over(w) - 1)                       # place among the values; a missing one has the last place
+    d = d.withColumns({"_ema_block": F.floor(F.greatest("_ema_i", F.lit(0)) / size).cast("int"), "_ema_at": F.pmod(F.greatest("_ema_i", F.lit(0)), F.lit(size))})
+    term = F.when(x.isNotNull(), F.when(F.col("_ema_i") == 0, x).otherwise(a * x) * F.pow(F.lit(q), -F.col("_ema_at")))
+    inside = Window.partitionBy(F.lit(0), "_ema_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_ema_own", F.sum(term).over(inside) * F.pow(F.lit(q), F.col("_ema_at")))
+    ends = F.when((F.col("_ema_at") == size - 1) & x.isNotNull(), F.col("_ema_own"))
+    blocks = Window.partitionBy(F.lit(0)).orderBy("_ema_block")
+    d = d.withColumns({f"_ema_b{j}": F.max(ends).over(blocks.rangeBetween(-j, -j)) for j in range(1, back + 1)})
+    start = sum((F.coalesce(F.col(f"_ema_b{j}"), F.lit(0.0)) * q ** (size * (j - 1)) for j in range(1, back + 1)), F.lit(0.0))
+    made = F.when(F.col("_ema_i") >= 0, F.coalesce(F.col("_ema_own"), F.lit(0.0)) + start * F.pow(F.lit(q), F.col("_ema_at") + 1))
+    return d.withColumn(out, made).drop("_ema_i", "_ema_block", "_ema_at", "_ema_own", *[f"_ema_b{j}" for j in range(1, back + 1)])
 
 
 def with_rank_so_far(d: DataFrame, value: str, out: str, order: str = "trade_date") -> DataFrame:
@@ -50,11 +50,11 @@ def with_rank_so_far(d: DataFrame, value: str, out: str, order: str = "trade_dat
     rows of the left half that are not above it, which is a running count in the order of values; the
     halves of all levels make up everything in front of the row. Every row stands on log2(n) levels."""
     w, whole = axis(order), Window.partitionBy(F.lit(0))
-    d = d.withColumns({"_p": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole)})
-    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2("_n")).cast("int") - 1, F.lit(0)))
-    e = d.where(F.col(value).isNotNull()).select("_p", F.col(value).alias("_v"), F.explode(levels).alias("_level"))
-    e = e.select("_p", "_v", "_level", F.expr("_p >> (_level + 1)").alias("_block"), F.expr("(_p >> _level) & 1").alias("_right"))
+    d = d.withColumns({"_rank_p": F.row_number().over(w) - 1, "_rank_n": F.count(F.lit(1)).over(whole)})
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2("_rank_n")).cast("int") - 1, F.lit(0)))
+    e = d.where(F.col(value).isNotNull()).select("_rank_p", F.col(value).alias("_v"), F.explode(levels).alias("_level"))
+    e = e.select("_rank_p", "_v", "_level", F.expr("_rank_p >> (_level + 1)").alias("_block"), F.expr("(_rank_p >> _level) & 1").alias("_right"))
     below = Window.partitionBy("_level", "_block").orderBy("_v", "_right").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("_left", F.sum(1 - F.col("_right")).over(below))
-    counts = e.groupBy("_p").agg((F.sum(F.col("_left") * F.col("_right")) + 1).alias("_below"))
-    return d.join(counts, "_p", "left").withColumn(out, F.col("_below") / (F.col("_p") + 1)).drop("_p", "_n", "_below")
+    counts = e.groupBy("_rank_p").agg((F.sum(F.col("_left") * F.col("_right")) + 1).alias("_rank_below"))
+    return d.join(counts, "_rank_p", "left").withColumn(out, F.col("_rank_below") / (F.col("_rank_p") + 1)).drop("_rank_p", "_rank_n", "_rank_below")
