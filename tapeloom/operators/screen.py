@@ -1,7 +1,7 @@
 """Ranked nightly screen and decision board, for one session or for all of them in one job."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Signal
@@ -25,13 +25,23 @@ def _day(feat: DataFrame, date) -> DataFrame:
     return feat if date is None else feat.where(F.col("trade_date") == F.lit(date))
 
 
+def gross_size(calibrations: DataFrame | None, explicit: float | None = None) -> Column:
+    """Gross size of a book: the explicit one, else that of the newest calibration (calibrated, when it
+    was made; size_multiplier), else 1. A scalar subquery, so nothing is read while the plan is made."""
+    if explicit is not None or calibrations is None:
+        return F.lit(1.0 if explicit is None else float(explicit))
+    newest = calibrations.where("size_multiplier IS NOT NULL").agg(F.max_by("size_multiplier", "calibrated")).scalar()
+    return F.coalesce(newest, F.lit(1.0))
+
+
 def screen(feat: DataFrame, index: DataFrame, events: DataFrame, sectors: DataFrame, date=None,
-           p: Signal = Signal(), size_mult: float = 1.0) -> DataFrame:
+           p: Signal = Signal(), size_mult: float | None = None, calibrations: DataFrame | None = None) -> DataFrame:
     """Signal rows without an event in the hold window, scored within their session, capped by
-    sector and count. `size_mult` is the calibrated gross size; 0 gives an empty book."""
+    sector and count. The gross size is `size_mult`, else the last calibration's, else 1; 0 gives an
+    empty book."""
     cand = without_events(signals(_day(feat, date), p), events, p.event_horizon_days)
-    book = capped_book(with_sector(conviction_score(cand, ["trade_date"], KEYS, p), sectors), p,
-                       size_mult=size_mult)
+    scored = with_sector(conviction_score(cand, ["trade_date"], KEYS, p), sectors)
+    book = capped_book(scored.withColumn("_gross", gross_size(calibrations, size_mult)), p, size_mult="_gross").drop("_gross")
     return gate_on(book, index, p).withColumnRenamed("up", "risk_on").select(*COLUMNS, "position")
 
 

@@ -138,19 +138,27 @@ class Calibration:
     decay_min: int = 25
 
 
+@dataclass(frozen=True)
+class Charge:
+    """One charge of a round trip: basis points of a leg's value, on how many of its two legs, whether
+    service tax falls on it, and the most it may be for a leg, in money."""
+    name: str
+    bps: float
+    legs: int
+    taxed: bool
+    most: float | None = None
+
+
 @dataclass(frozen=True)
 class Cost:
     position: float = 200_000.0
     price: float = 1000.0
     spread_ticks: float = 2.0
     tick: float = 0.05
-    stt_sell: float = 0.00025
-    exchange: float = 0.0000297
-    sebi: float = 0.000001
-    stamp_buy: float = 0.00003
-    gst: float = 0.18
-    brok_flat: float = 20.0
-    brok_pct: float = 0.0003
+    service_tax: float = 0.18
+    # fixed values
+    charges: tuple = (Charge("brokerage", 3.0, 2, True, 20.0), Charge("exchange", 0.297, 2, True), Charge("sebi", 0.01, 2, True),
+                      Charge("stt", 2.5, 1, False), Charge("stamp", 0.3, 1, False))
 
 
 @dataclass(frozen=True)

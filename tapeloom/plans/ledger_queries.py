@@ -154,8 +154,7 @@ def calibration_prior(spark, sf):
 FWD_PART = PREP[PREP.index("\n, fwd AS"):]
 
 
-@register("calibrate", "E10 A23 A25 SRC16", "mu0:f4 tau:f4 n_closed:i m:f4 s:f4 win:f posterior_net:f4 posterior_sd:f4 effective_cost_bps:f "
-          "decayed:b size_multiplier:f trust", REFS + FWD_PART + ", " + PRIOR + """,
+CALIBRATE_SQL = REFS + FWD_PART + ", " + PRIOR + """,
 c AS (SELECT *, row_number() OVER (ORDER BY date DESC, symbol DESC) <= 20 AS rec FROM refd WHERE status = 'CLOSED' AND net_bps IS NOT NULL),
 st AS (SELECT count(*) AS n_closed, avg(net_bps) AS m, stddev_samp(net_bps) AS s, avg(CASE WHEN net_bps > 0 THEN 1 ELSE 0 END) AS win,
   avg(net_bps) FILTER (rec) AS rec_m, coalesce(stddev_samp(net_bps) FILTER (rec) / sqrt(count(*) FILTER (rec)), 0) AS rec_se FROM c),
@@ -167,7 +166,11 @@ l AS (SELECT *, greatest(0.3, least(1, CASE WHEN mu0 > 0 THEN posterior_net / mu
 out AS (SELECT *, round_even(CASE WHEN dead OR decayed THEN 0 WHEN n_closed < 10 THEN 0.3 WHEN n_closed < 40 THEN least(sized, 0.75)
     ELSE sized END, 2) AS size_multiplier,
   CASE WHEN dead THEN 'posterior negative' WHEN decayed THEN 'recent decay' WHEN n_closed < 10 THEN 'prior only'
-    WHEN n_closed < 40 THEN 'forming' ELSE 'trusted' END AS trust FROM l)""")
+    WHEN n_closed < 40 THEN 'forming' ELSE 'trusted' END AS trust FROM l)"""
+
+
+@register("calibrate", "E10 A23 A25 SRC16", "mu0:f4 tau:f4 n_closed:i m:f4 s:f4 win:f posterior_net:f4 posterior_sd:f4 effective_cost_bps:f "
+          "decayed:b size_multiplier:f trust", CALIBRATE_SQL)
 def calibrate(spark, sf):
     led = stage(_with_refs(_closed(spark, sf)))
     prior = ev.prior(ev.evaluate_signal(B.eod(spark, sf), B.index(spark, sf), LOOSE))

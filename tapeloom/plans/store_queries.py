@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import boards as bd
 from ..operators import evaluation as ev
 from ..operators import positioning as ps
+from ..operators import screen as scr
 from ..session import shared_dir
 from ..sources import states, store
 from ..sources import panel as src
@@ -15,9 +16,9 @@ from ..sources import testdata as td
 from . import base as B
 from .bar_queries import BARS, OHLC
 from .base import LOOSE, PANEL
-from .ledger_queries import BOOKED, LEDGER_COLS, PRIOR, _picks
+from .ledger_queries import BOOKED, CALIBRATE_SQL, LEDGER_COLS, PRIOR, _picks, calibrate
 from .ledger_queries import POS
-from .panel_queries import PREP, REF
+from .panel_queries import BOOK, PREP, REF, SCREEN_COLS
 from .sector_queries import TILT_SQL, _tilt
 from .spec import register
 
@@ -56,6 +57,24 @@ def result_document(spark, sf):
     return store.read_document(spark, path, prior.schema)
 
 
+CALIBRATED = CALIBRATE_SQL.replace("\nout AS (", "\nnewest AS (") + """,
+calib AS (SELECT size_multiplier / 2 + 0.4::DOUBLE AS size_multiplier FROM newest),
+""" + BOOK.format(src="scored", dst="sized", mult="(SELECT size_multiplier FROM calib)") + """,
+out AS (SELECT b.*, coalesce(up, FALSE) AS risk_on FROM sized b LEFT JOIN gate USING (trade_date) WHERE (SELECT size_multiplier FROM calib) > 0)"""
+
+
+@register("screen_calibrated", "T3 E3 SRC16 A25", SCREEN_COLS, CALIBRATED)
+def screen_calibrated(spark, sf):
+    """The screen sized by the newest of two stored calibrations: the measured one, which may stand aside,
+    and a later one in which half of that and four tenths are allowed."""
+    path = _new_path(spark, "calibration")
+    measured = calibrate(spark, sf).select(F.lit("2001-05-31").cast("date").alias("calibrated"), "size_multiplier")
+    later = measured.select(F.lit("2001-11-30").cast("date").alias("calibrated"), (F.col("size_multiplier") / 2 + 0.4).alias("size_multiplier"))
+    store.write_document(measured.unionByName(later), path)
+    states_read = store.read_document(spark, path, measured.schema)
+    return scr.screen(B.features(spark, sf), B.index(spark, sf), B.calendar(spark, sf), B.sectors(spark, sf), None, LOOSE, calibrations=states_read)
+
+
 @register("common_sessions", "U5 U3", "trade_date:d", """
 out AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date FROM lineitem WHERE CAST(date_trunc('month', l_shipdate) AS DATE) IN
   (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) FROM orders))""")
