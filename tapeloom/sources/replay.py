@@ -5,8 +5,10 @@ start. Each micro-batch admits at most `rows` more, so a replay goes through the
 A batch is read by tasks of up to `slice` rows straight from the files; the driver sees row counts only.
 
 Offsets handed out are noted under `progress` (a folder that outlives the driver) before Spark gets them,
-so a restarted query goes on from its checkpoint and is never offered an older offset. Rows between the
-checkpoint's offset and the noted one make one larger batch after a restart.
+so a restarted query goes on from its checkpoint and is never offered an older offset. A query that stops
+between the two leaves a note that is ahead of its checkpoint; `resume` sets the note back to the newest
+offset in the checkpoint's log, so the batches of a restarted replay are cut where they would have been
+without the stop. Without it the rows between the two make one larger batch.
 
 Options: path, rows, slice, progress. The schema is the stream's. An empty folder never has a batch.
 """
@@ -115,6 +117,23 @@ class ReplaySource(DataSource):
         return ReplayReader(schema, self.options)
 
 
+def resume(spark: SparkSession, checkpoint: str, progress: str) -> None:
+    """Set the note of a stopped query to the newest offset that its checkpoint has logged, if there is one."""
+    hadoop = spark._jvm.org.apache.hadoop
+    log, note = hadoop.fs.Path(f"{checkpoint}/offsets"), hadoop.fs.Path(f"{progress}/{NOTE}")
+    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    logged = [int(f.getPath().getName()) for f in fs.listStatus(log) if f.getPath().getName().isdigit()] if fs.exists(log) else []
+    if logged:
+        # version, metadata, then one offset for each source
+        lines = spark.read.text(f"{checkpoint}/offsets/{max(logged)}", wholetext=True).first()[0].splitlines()
+        row = json.loads(lines[2])["row"]
+    else:
+        row = 0
+    out = note.getFileSystem(spark._jsc.hadoopConfiguration()).create(note, True)
+    out.write(bytearray(json.dumps({"row": row}).encode()))
+    out.close()
+
+
 def replay(spark: SparkSession, path: str, schema, rows: int, progress: str | None = None) -> DataFrame:
     """The rows of a Parquet folder as a stream of batches of at most so many rows."""
     spark.dataSource.register(ReplaySource)

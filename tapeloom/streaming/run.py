@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
+from ..sources.replay import resume
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -46,6 +47,7 @@ class Replayed:
 
     def run(self, stop_after: int | None = None) -> "Replayed":
         """Go on to the end of what is stored, or until so many more batches with rows are done."""
+        resume(self.spark, f"{self.base}/checkpoint", f"{self.base}/progress")
         stream = self.make(f"{self.base}/progress")
         self.schema = stream.schema
         w = stream.writeStream.outputMode(self.mode).option("checkpointLocation", f"{self.base}/checkpoint").trigger(processingTime="0 seconds")

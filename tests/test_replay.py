@@ -52,6 +52,18 @@ def test_session_totals_survive_a_restart(spark):
     assert sorted(map(str, r.table().select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
 
 
+def test_batches_are_cut_alike_after_a_stop(spark):
+    """A stop that comes after an offset was handed out and before Spark logged it."""
+    path, kind = stored(spark, [bar(i, 100 + i) for i in range(50)], SCHEMA)
+    seen = {}
+    r = run.Replayed(spark, lambda progress: replay(spark, path, kind, 10, progress), 50, writer=lambda b, i: seen.update({i: b.count()}))
+    r.run(stop_after=1)
+    for _ in range(2):
+        ReplayReader(kind, {"path": path, "rows": "10", "progress": f"{r.base}/progress"}).latestOffset()
+    r.run()
+    assert seen == {i: 10 for i in range(5)}
+
+
 def test_trigger_reads_baselines_and_fires_once(spark):
     up = [bar(i, 100 + i) for i in range(6)] + [bar(i, 100 + i, "B") for i in range(6)] + [bar(i, 100 + i, "C") for i in range(6)]
     schema = SCHEMA + ", idx_ret double"
