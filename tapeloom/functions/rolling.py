@@ -65,3 +65,10 @@ def nz(value: Column) -> Column:
 def yes(cond: Column) -> Column:
     """A comparison with a missing value counts as not met."""
     return F.coalesce(cond, F.lit(False))
+
+
+def even(value: Column, n: int) -> Column:
+    """Rounded half-even to n decimals as arrays round: scaled in floating point, rounded, scaled back. SQL's
+    round_even of a double does the same; bround rounds the decimal text and differs next to a tie."""
+    scale = float(10 ** n)
+    return F.rint((F.col(value) if isinstance(value, str) else value) * scale) / scale

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.asof import asof
-from ..functions.rolling import nz, roll_mean, roll_median, roll_sum, series, true_range, yes
+from ..functions.rolling import even, nz, roll_mean, roll_median, roll_sum, series, true_range, yes
 from ..params import Levels, Session, Signal
 from ..session import known_size, stage
 from ..sources.panel import with_sector
@@ -109,19 +109,19 @@ def footprint_board(legs: DataFrame, extras: DataFrame, gate: DataFrame, events:
     h2, l2 = F.greatest("h", "close30"), F.least("l", "close30")
     d = d.withColumns({
         "turnover": F.when(has_vw & (F.col("volume") > 0), F.col("volume") * F.col("vwap") / 1e5).otherwise(F.col("turnover")),
-        "clr": F.when(has_30 & (h2 > l2), F.bround((F.col("close30") - l2) / (h2 - l2), 3)).otherwise(F.col("clr")),
+        "clr": F.when(has_30 & (h2 > l2), even((F.col("close30") - l2) / (h2 - l2), 3)).otherwise(F.col("clr")),
         "day_raw": F.when(has_30, 100 * (F.col("close30") / F.col("pc") - 1)).otherwise(F.col("day_raw")),
         "cvwap": F.when(has_vw, (F.when(has_30, F.col("close30")).otherwise(F.col("ltp")) - F.col("vwap")) / F.col("vwap")),
-        "est_close": F.when(has_30, F.bround("close30", 2)),
-        "entered": F.when(short, F.col("entered")), "at": F.when(short, F.bround("at", 2)),
+        "est_close": F.when(has_30, even("close30", 2)),
+        "entered": F.when(short, F.col("entered")), "at": F.when(short, even("at", 2)),
         "since_pct": F.when(short, sc.since_pct(F.col("ltp"), F.col("at")))})
     r1, a1 = action(F.col("clr"), F.col("day_raw"), F.col("cvwap"), F.col("turnover") >= p.liq_lacs)
     d = d.withColumns({
         "btst": F.when(short, r1).otherwise(F.col("_r0")), "action": F.when(short, a1).otherwise(F.col("_a0")),
         "short_ready": F.col("_sready"), "sell": sc.sell_action(F.col("_sready"), F.col("character")),
-        "day_pct": F.bround("day_raw", 2), "vol_x": F.bround("pace", 2), "rs_pct": F.bround("rs_raw", 2),
-        "rs_cum_pct": F.bround(100 * F.col("rs_cum"), 2), "cvwap_pct": F.bround(100 * F.col("cvwap"), 2),
-        "deliv_tr": F.bround("deliv_trail", 1), "turnover": F.bround("turnover", 0)})
+        "day_pct": even("day_raw", 2), "vol_x": even("pace", 2), "rs_pct": even("rs_raw", 2),
+        "rs_cum_pct": even(100 * F.col("rs_cum"), 2), "cvwap_pct": even(100 * F.col("cvwap"), 2),
+        "deliv_tr": even("deliv_trail", 1), "turnover": even("turnover", 0)})
     return overnight_book(d.drop("_r0", "_a0", "_sready", "_event"), p, size_mult)
 
 
@@ -139,7 +139,7 @@ def overnight_book(board: DataFrame, p: Signal = Signal(), size_mult: float = 1.
     aside = "✗ STAND ASIDE (calib)" if size_mult <= 0 else "✗ capped"
     return d.withColumns({
         "book": F.when(is_carry, F.when(taken, "✓ TAKE").otherwise(aside)),
-        "wt_pct": F.when(is_carry, F.when(taken, F.bround(100 * F.col("weight"), 1)).otherwise(0.0))}).drop("weight")
+        "wt_pct": F.when(is_carry, F.when(taken, even(100 * F.col("weight"), 1)).otherwise(0.0))}).drop("weight")
 
 
 def gate_rows(d: DataFrame, gate: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def baseline_health(quotes: DataFrame, ref: DataFrame, tol: float = 0.005, need:
     ok = near("ref_close") | (yes(F.col("prev_close") > 0) & near("prev_close"))
     g = d.groupBy("trade_date").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~ok).alias("mismatch"))
     share = F.col("mismatch") / F.col("checked")
-    return g.withColumns({"pct": F.bround(100 * share, 1), "stale": (F.col("checked") >= need) & (share > limit)})
+    return g.withColumns({"pct": even(100 * share, 1), "stale": (F.col("checked") >= need) & (share > limit)})
 
 
 def missing_sessions(calendar: DataFrame, panel: DataFrame, before) -> DataFrame:
@@ -194,7 +194,7 @@ def add_setup(board: DataFrame, ltf: str, htf: str, p: Levels = Levels(), above:
     both frames, and the wall one frame up. Pure column work on the wide board."""
     syn = sy.synthesize(F.col(f"struct_{htf}"), F.col(f"box_hi_{htf}"), F.col(f"box_lo_{htf}"), F.col(f"n_{htf}"),
                         F.col(f"struct_{ltf}"), F.col("ltp"))
-    d = board.withColumns({"setup": syn["setup"], "dir": syn["dir"], "loc": F.bround(syn["loc"], 2)})
+    d = board.withColumns({"setup": syn["setup"], "dir": syn["dir"], "loc": even(syn["loc"], 2)})
     d = d.withColumns({"side": sy.side_of(F.col("setup"), F.col("dir")), "setup_rank": sy.setup_rank(F.col("setup")),
                        "sr_atr": F.col(f"atr_{ltf}"), "wall_pair": merge_walls(F.col(f"walls_{htf}"), F.col(f"walls_{ltf}"))})
     d = live_levels(d, p)
@@ -294,7 +294,7 @@ def frame_features(bars: DataFrame, minutes: int, now, s: Session = Session()) -
     last = last_bar(structure_table(bars, keys), keys).select(
         "symbol", "ts", "struct", "atr", F.col("high").alias("bar_h"), F.col("low").alias("bar_l"), F.col("close").alias("_c"))
     rng = F.col("bar_h") - F.col("bar_l")
-    last = last.withColumns({"bar_clr": F.when(rng > 0, F.bround((F.col("_c") - F.col("bar_l")) / rng, 3)).otherwise(0.5),
+    last = last.withColumns({"bar_clr": F.when(rng > 0, even((F.col("_c") - F.col("bar_l")) / rng, 3)).otherwise(0.5),
                              "span": sc.span_label(F.col("ts"), minutes, s),
                              "forming": F.lit(now).cast("timestamp_ntz") < sc.bar_close(F.col("ts"), minutes, s)}).drop("_c")
     return sess.withColumnRenamed("low", "day_low").join(last, "symbol").join(bo.rsi_state(bars, keys), "symbol")
@@ -304,8 +304,8 @@ def frame_board(feat: DataFrame, quotes: DataFrame, idx_pct: Column, risk_on: Co
     """Timeframe shortlist row: last-bar strength, VWAP side, tone, relative strength, levels and
     both labels. `quotes` is (symbol, prev_close)."""
     d = feat.join(quotes.select("symbol", "prev_close"), "symbol")
-    d = d.withColumns({"day_pct": F.bround(100 * (F.col("ltp") / nz(F.col("prev_close")) - 1), 2)})
-    d = d.withColumns({"rs_pct": F.bround(F.col("day_pct") - idx_pct, 2),
+    d = d.withColumns({"day_pct": even(100 * (F.col("ltp") / nz(F.col("prev_close")) - 1), 2)})
+    d = d.withColumns({"rs_pct": even(F.col("day_pct") - idx_pct, 2),
                        **sc.levels(F.col("ltp"), F.col("atr"), F.col("day_low")), **sc.short_levels(F.col("ltp"), F.col("atr"))})
     args = [F.col("bar_clr"), F.col("above_vwap"), F.col("tone"), F.col("rs_pct")]
     return d.withColumns({"action": sc.frame_action(*args, risk_on, p), "sell": sc.frame_sell_action(*args, p)})
@@ -316,14 +316,14 @@ def reprice(board: DataFrame, quotes: DataFrame, idx_pct: Column, risk_on: Colum
     stay pinned. A row without a quote keeps its values."""
     d = board.join(quotes.select("symbol", F.col("lp").alias("_lp")), "symbol", "left")
     live = F.col("_lp").isNotNull() & (F.col("_lp") != 0)
-    ltp = F.when(live, F.bround("_lp", 2)).otherwise(F.col("ltp"))
+    ltp = F.when(live, even("_lp", 2)).otherwise(F.col("ltp"))
     keep = lambda name, value: F.when(live, value).otherwise(F.col(name))
     px = F.col("_lp")
     day = 100 * (px / nz(F.col("prev_close")) - 1)
     bh, bl = F.greatest("bar_h", px), F.least("bar_l", px)
-    new = {"ltp": ltp, "day_pct": keep("day_pct", F.bround(day, 2)), "rs_pct": keep("rs_pct", F.bround(day - idx_pct, 2)),
-           "bar_clr": keep("bar_clr", F.when(bh > bl, F.bround((px - bl) / (bh - bl), 3)).otherwise(0.5)),
-           "vs_vwap": keep("vs_vwap", F.bround(100 * (px / nz(F.col("vwap")) - 1), 2)),
+    new = {"ltp": ltp, "day_pct": keep("day_pct", even(day, 2)), "rs_pct": keep("rs_pct", even(day - idx_pct, 2)),
+           "bar_clr": keep("bar_clr", F.when(bh > bl, even((px - bl) / (bh - bl), 3)).otherwise(0.5)),
+           "vs_vwap": keep("vs_vwap", even(100 * (px / nz(F.col("vwap")) - 1), 2)),
            "above_vwap": keep("above_vwap", px >= F.col("vwap"))}
     for k, v in {**sc.levels(px, F.col("atr"), F.col("day_low")), **sc.short_levels(px, F.col("atr"))}.items():
         if k in board.columns:
@@ -338,8 +338,8 @@ def reprice_scan(board: DataFrame, quotes: DataFrame) -> DataFrame:
     """Price and day move of a scan board from the newest quotes; setups are attached again on top."""
     d = board.drop("lp").join(quotes.select("symbol", "lp"), "symbol", "left")
     live = F.col("lp").isNotNull() & (F.col("lp") != 0)
-    return d.withColumns({"day_pct": F.when(live, F.bround(100 * (F.col("lp") / nz(F.col("prev_close")) - 1), 2)).otherwise(F.col("day_pct")),
-                          "ltp": F.when(live, F.bround("lp", 2)).otherwise(F.col("ltp"))}).drop("lp")
+    return d.withColumns({"day_pct": F.when(live, even(100 * (F.col("lp") / nz(F.col("prev_close")) - 1), 2)).otherwise(F.col("day_pct")),
+                          "ltp": F.when(live, even("lp", 2)).otherwise(F.col("ltp"))}).drop("lp")
 
 
 def universe_board(scan: DataFrame, names: DataFrame, momentum: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -348,9 +348,9 @@ def universe_board(scan: DataFrame, names: DataFrame, momentum: DataFrame, quote
     the wide frames of `scan`. A name without structure keeps its row."""
     q = quotes.where("lp IS NOT NULL AND prev_close IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND high <> low")
     hi, lo = sc.reconcile_range(F.col("high"), F.col("low"), F.col("lp"))
-    q = q.withColumn("turnover", F.bround(sc.turnover_proxy(F.col("volume"), hi, lo, F.col("lp")), 1))
+    q = q.withColumn("turnover", even(sc.turnover_proxy(F.col("volume"), hi, lo, F.col("lp")), 1))
     board = (names.select("symbol", "sector").join(q.select("symbol", "prev_close", "turnover"), "symbol")
-             .join(momentum.select("symbol", F.bround("wtd_recent", 1).alias("wtd_recent"), F.bround("deliv_vs_norm", 1).alias("deliv_vs_norm")),
+             .join(momentum.select("symbol", even("wtd_recent", 1).alias("wtd_recent"), even("deliv_vs_norm", 1).alias("deliv_vs_norm")),
                    "symbol", "left")
              .join(scan, "symbol", "left")
              .withColumns({"ltp": F.lit(None).cast("double"), "day_pct": F.lit(None).cast("double")}))
@@ -395,9 +395,9 @@ def asof_board(bars: DataFrame, cuts: DataFrame, ref: DataFrame, index: DataFram
     weak = sc.short_readiness(F.col("clr"), F.col("day_raw"), F.col("rs_raw"), F.col("pace"), p)
     return d.withColumns({
         "ltp": ltp, "btst": ready, "action": F.when(F.col("_event"), "EARNINGS").otherwise(act), "sell": sc.sell_action(weak, F.col("character")),
-        "day_pct": F.bround("day_raw", 2), "rs_pct": F.bround("rs_raw", 2), "rs_cum_pct": F.bround(100 * F.col("rs_cum"), 2),
-        "vol_x": F.bround("pace", 2), "cvwap_pct": F.bround(100 * F.col("cvwap"), 2), "deliv_tr": F.bround("deliv_trail", 1),
-        "since_pct": sc.since_pct(ltp, F.col("at")), "trigger_px": F.col("at"), "at": F.bround("at", 2),
+        "day_pct": even("day_raw", 2), "rs_pct": even("rs_raw", 2), "rs_cum_pct": even(100 * F.col("rs_cum"), 2),
+        "vol_x": even("pace", 2), "cvwap_pct": even(100 * F.col("cvwap"), 2), "deliv_tr": even("deliv_trail", 1),
+        "since_pct": sc.since_pct(ltp, F.col("at")), "trigger_px": F.col("at"), "at": even("at", 2),
         **sc.levels(ltp, F.col("atr"), F.col("run_low")), **sc.short_levels(ltp, F.col("atr"))}).drop("_event").orderBy("cut", "action", F.desc("btst"), "symbol")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import nz
+from ..functions.rolling import even, nz
 from ..params import Levels, Structure
 from .structure import structure_table
 
@@ -29,8 +29,8 @@ def cluster_walls(values: Column, tol: Column) -> Column:
         return F.when(at > 0, F.transform(acc, grow)).otherwise(F.concat(acc, new))
     acc = F.aggregate(F.array_sort(values), F.array().cast(WALL), step)
     return F.transform(acc, lambda c: F.struct(
-        F.bround(c["level"], 2).alias("level"), c["touches"].alias("touches"),
-        F.bround(c["lo"], 2).alias("lo"), F.bround(c["hi"], 2).alias("hi")))
+        even(c["level"], 2).alias("level"), c["touches"].alias("touches"),
+        even(c["lo"], 2).alias("lo"), even(c["hi"], 2).alias("hi")))
 
 
 def zone_activity(bars: Column, level: Column, atr: Column, p: Levels = Levels()) -> Column:
@@ -46,7 +46,7 @@ def zone_activity(bars: Column, level: Column, atr: Column, p: Levels = Levels()
                         (a["closes"] + one((b["close"] >= lo) & (b["close"] <= hi))).alias("closes"))
     def done(a):
         return F.struct(a["visits"].alias("visits"), a["bars"].alias("bars"), a["closes"].alias("closes"),
-                        F.bround(100.0 * a["bars"] / F.size(bars), 1).alias("time_pct"))
+                        even(100.0 * a["bars"] / F.size(bars), 1).alias("time_pct"))
     return F.aggregate(bars, zero, step, done)
 
 
@@ -90,7 +90,7 @@ def frame_summary(bars: DataFrame, keys: list[str], s: Structure = Structure(),
              .when(F.col("n") >= 8, F.col("_p95") - F.col("_p05")).otherwise(F.col("box_hi") - F.col("box_lo")))
     enough = (F.col("n") >= p.min_bars) & (F.col("atr") > 0)
     return g.withColumns({
-        "band_pct": F.when((F.col("struct") != "n/a") & (F.col("last") > 0), F.bround(span / 2 / F.col("last") * 100, 2)),
+        "band_pct": F.when((F.col("struct") != "n/a") & (F.col("last") > 0), even(span / 2 / F.col("last") * 100, 2)),
         "walls": F.when(enough, cluster_walls(F.concat("_hp", "_lp"), p.tol_atr * F.col("atr"))).otherwise(F.array().cast(WALL)),
     }).drop("_hp", "_lp", "_tight", "_p95", "_p05")
 
@@ -111,7 +111,7 @@ def sr_levels(summary: DataFrame, spot: Column | None = None, p: Levels = Levels
     d = d.withColumns({
         "support": F.col("_sup.level"), "sup_touches": F.coalesce("_sup.touches", F.lit(0)),
         "resistance": F.col("_res.level"), "res_touches": F.coalesce("_res.touches", F.lit(0)),
-        "head_up": F.bround((F.col("_up2") - x) / nz(a), 2), "head_dn": F.bround((x - F.col("_dn2")) / nz(a), 2)})
+        "head_up": even((F.col("_up2") - x) / nz(a), 2), "head_dn": even((x - F.col("_dn2")) / nz(a), 2)})
     for side, col in (("sup", "support"), ("res", "resistance")):
         z = zone_activity(F.col("window_bars"), F.col(col), a, p)
         d = d.withColumn("_z", F.when(F.col(col).isNotNull(), z))
@@ -168,11 +168,11 @@ def live_levels(board: DataFrame, p: Levels = Levels(), px: str = "ltp", atr: st
             F.filter(F.concat("_below", "_above"), lambda c: (c["touches"] >= 2) & (F.abs(c["level"] - x) <= p.at_wall_atr * a)),
             lambda c: F.struct(F.abs(c["level"] - x).alias("d"), c["level"].alias("level"), c["touches"].alias("touches")))))})
     inf = F.lit(float("inf"))
-    up = F.when((a > 0) & F.col("_r").isNotNull(), F.bround((F.col("_r.level") - x) / a, 2)).otherwise(inf)
-    dn = F.when((a > 0) & F.col("_s").isNotNull(), F.bround((x - F.col("_s.level")) / a, 2)).otherwise(inf)
+    up = F.when((a > 0) & F.col("_r").isNotNull(), even((F.col("_r.level") - x) / a, 2)).otherwise(inf)
+    dn = F.when((a > 0) & F.col("_s").isNotNull(), even((x - F.col("_s.level")) / a, 2)).otherwise(inf)
     return d.withColumns({
-        "sup": F.bround("_s.level", 2), "sup_t": F.coalesce("_s.touches", F.lit(0)),
-        "res": F.bround("_r.level", 2), "res_t": F.coalesce("_r.touches", F.lit(0)),
+        "sup": even("_s.level", 2), "sup_t": F.coalesce("_s.touches", F.lit(0)),
+        "res": even("_r.level", 2), "res_t": F.coalesce("_r.touches", F.lit(0)),
         "headroom": F.when(F.coalesce(F.col(side) == "SHORT", F.lit(False)), dn).otherwise(up),
         "at_wall": F.when(F.col("_at").isNull(), "").otherwise(F.format_string(
             "%s %.2f x%d", F.when(F.col("_at.level") >= x, "RES").otherwise("SUP"), F.col("_at.level"), F.col("_at.touches"))),
@@ -208,5 +208,5 @@ def big_wall(board: DataFrame, frame: str, p: Levels = Levels(), px: str = "ltp"
     return d.withColumns({
         "big_wall": F.when(F.col("_w").isNull(), "").otherwise(
             F.format_string(f"{frame} %.2f ×%d%s", "_w.level", "_w.touches", "_w.mark")),
-        "big_gap": F.when(F.col("_w").isNull(), F.lit(float("inf"))).otherwise(F.bround(F.abs(F.col("_w.level") - x) / a, 2)),
+        "big_gap": F.when(F.col("_w").isNull(), F.lit(float("inf"))).otherwise(even(F.abs(F.col("_w.level") - x) / a, 2)),
         "big_wall_px": F.col("_w.level")}).drop("_w")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.asof import asof
-from ..functions.rolling import nz, yes
+from ..functions.rolling import even, nz, yes
 from ..params import Cost, Levels, Session, Structure
 from ..session import stage
 from . import bars as bo
@@ -57,7 +57,7 @@ def run_start(sides: DataFrame, current: DataFrame, max_walk: int = 240, min_ind
     d = d.join(b.select("symbol", "_start", "_bounded"), "symbol").where((F.col("_i") == F.col("_start")) & (F.col("_last") >= 5))
     d = d.where(F.col("side").isin("LONG", "SHORT"))
     return d.select("symbol", F.concat(F.when(F.col("_bounded"), "≥").otherwise(""), F.date_format("ts", "HH:mm")).alias("entered"),
-                    F.bround("close", 2).alias("at"), sc.since_pct(F.col("ltp"), F.col("close"), F.col("side")).alias("since_pct"))
+                    even("close", 2).alias("at"), sc.since_pct(F.col("ltp"), F.col("close"), F.col("side")).alias("since_pct"))
 
 
 def short_entry(sides: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def short_entry(sides: DataFrame, current: DataFrame | None = None) -> DataFrame
     g = d.groupBy("symbol").agg(F.max_by("side", prior).alias("_before"), F.min(short_today).alias("_ts"),
                                 F.min_by("close", short_today).alias("_px"))
     g = g.where(F.col("_ts").isNotNull() & ~yes(F.col("_before") == "SHORT"))
-    return g.select("symbol", F.date_format("_ts", "HH:mm").alias("entered"), F.bround("_px", 2).alias("at"))
+    return g.select("symbol", F.date_format("_ts", "HH:mm").alias("entered"), even("_px", 2).alias("at"))
 
 
 def energy(bars: DataFrame, now, minutes: int, rows: int = 10) -> DataFrame:
@@ -130,15 +130,15 @@ def short_horizon_board(fine: DataFrame, fine_min: int, confirm_min: int, up_min
     pc = F.coalesce("_pc", "open")
     atr = F.when(F.col("atr_c") > 0, F.col("atr_c"))
     return d.select(
-        "symbol", "setup", "dir", "side", "setup_rank", "loc", F.bround("ltp", 2).alias("ltp"),
-        F.bround(100 * (F.col("ltp") / nz(pc) - 1), 2).alias("day_pct"), F.coalesce("entered", F.lit("—")).alias("entered"),
-        "at", "since_pct", F.bround("_exp", 1).alias("exp_move"), F.bround("_cost", 1).alias("cost"),
-        F.bround("_pays", 0).alias("p_pays"), sc.pays_tag(F.col("_pays")).alias("pays"), F.bround("rvol", 2).alias("rvol"),
-        F.bround(1e4 * cost.tick / nz(F.col("ltp")), 2).alias("spread"), "ltf_struct", F.col("struct").alias("htf_struct"),
-        F.bround(100 * (F.col("ltp") / nz(F.col("vwap")) - 1), 2).alias("vs_vwap"), F.col("support").alias("sup"), F.col("resistance").alias("res"),
-        F.coalesce(F.bround(room, 2), F.lit(float("inf"))).alias("room"),
-        F.bround(F.col("ltp") - atr, 2).alias("stop"), F.bround(F.col("ltp") + atr, 2).alias("t1"), F.bround(atr, 2).alias("atr"),
-        F.bround("turnover", 1).alias("turnover"), F.col("n_bars").alias("bars"))
+        "symbol", "setup", "dir", "side", "setup_rank", "loc", even("ltp", 2).alias("ltp"),
+        even(100 * (F.col("ltp") / nz(pc) - 1), 2).alias("day_pct"), F.coalesce("entered", F.lit("—")).alias("entered"),
+        "at", "since_pct", even("_exp", 1).alias("exp_move"), even("_cost", 1).alias("cost"),
+        even("_pays", 0).alias("p_pays"), sc.pays_tag(F.col("_pays")).alias("pays"), even("rvol", 2).alias("rvol"),
+        even(1e4 * cost.tick / nz(F.col("ltp")), 2).alias("spread"), "ltf_struct", F.col("struct").alias("htf_struct"),
+        even(100 * (F.col("ltp") / nz(F.col("vwap")) - 1), 2).alias("vs_vwap"), F.col("support").alias("sup"), F.col("resistance").alias("res"),
+        F.coalesce(even(room, 2), F.lit(float("inf"))).alias("room"),
+        even(F.col("ltp") - atr, 2).alias("stop"), even(F.col("ltp") + atr, 2).alias("t1"), even(atr, 2).alias("atr"),
+        even("turnover", 1).alias("turnover"), F.col("n_bars").alias("bars"))
 
 
 def short_entries(sides: DataFrame) -> DataFrame:
@@ -150,4 +150,4 @@ def short_entries(sides: DataFrame) -> DataFrame:
     past = Window.partitionBy("symbol").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_before", F.last("_side", ignorenulls=True).over(past))
     new = F.col("hit").isNotNull() & F.coalesce(F.col("_before") != "SHORT", F.lit(True))
-    return days.where(new).select("symbol", "d", F.date_format("hit.ts", "HH:mm").alias("entered"), F.bround("hit.close", 2).alias("at"))
+    return days.where(new).select("symbol", "d", F.date_format("hit.ts", "HH:mm").alias("entered"), even("hit.close", 2).alias("at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import nz, yes
+from ..functions.rolling import even, nz, yes
 from ..params import Structure
 from .bars import with_atr
 
@@ -44,7 +44,7 @@ def structure_table(bars: DataFrame, keys: list[str], p: Structure = Structure()
         coil = F.when(F.least("n", F.lit(lb)) > 8, before).otherwise(coil)
     # a frame without range falls back to its box, for the label only
     unit = F.when(F.col("atr") > 0, F.col("atr")).otherwise((F.col("box_hi") - F.col("box_lo")) / lb)
-    d = d.withColumns({"coil": F.bround(coil, 2), "_unit": unit, "net": F.col("close") - F.col("_c0")})
+    d = d.withColumns({"coil": even(coil, 2), "_unit": unit, "net": F.col("close") - F.col("_c0")})
     d = d.withColumns({
         "er": F.when(F.col("_path") > 0, F.abs("net") / F.col("_path")).otherwise(0.0),
         "prior_hi": _bound(F.col("_ph"), F.col("_unit"), True, p.spike_atr),
