@@ -72,3 +72,9 @@ def even(value: Column, n: int) -> Column:
     round_even of a double does the same; bround rounds the decimal text and differs next to a tie."""
     scale = float(10 ** n)
     return F.rint((F.col(value) if isinstance(value, str) else value) * scale) / scale
+
+
+def fixed2(value: Column) -> Column:
+    """Text with two decimals of the exact binary value, as printf writes it. A %.2f of Java's rounds the
+    shortest decimal text instead: 25703.035 lies below its tie and is 25703.03."""
+    return F.call_function("format_number", value, F.lit("0.00"))

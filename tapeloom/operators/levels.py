@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import even, nz
+from ..functions.rolling import even, fixed2, nz
 from ..params import Levels, Structure
 from .structure import structure_table
 
@@ -175,7 +175,7 @@ def live_levels(board: DataFrame, p: Levels = Levels(), px: str = "ltp", atr: st
         "res": even("_r.level", 2), "res_t": F.coalesce("_r.touches", F.lit(0)),
         "headroom": F.when(F.coalesce(F.col(side) == "SHORT", F.lit(False)), dn).otherwise(up),
         "at_wall": F.when(F.col("_at").isNull(), "").otherwise(F.format_string(
-            "%s %.2f x%d", F.when(F.col("_at.level") >= x, "RES").otherwise("SUP"), F.col("_at.level"), F.col("_at.touches"))),
+            "%s %s x%d", F.when(F.col("_at.level") >= x, "RES").otherwise("SUP"), fixed2(F.col("_at.level")), F.col("_at.touches"))),
     }).drop("_below", "_above", "_s", "_r", "_at")
 
 
@@ -207,6 +207,6 @@ def big_wall(board: DataFrame, frame: str, p: Levels = Levels(), px: str = "ltp"
     d = board.withColumn("_w", F.when(usable, pick))
     return d.withColumns({
         "big_wall": F.when(F.col("_w").isNull(), "").otherwise(
-            F.format_string(f"{frame} %.2f ×%d%s", "_w.level", "_w.touches", "_w.mark")),
+            F.format_string(f"{frame} %s ×%d%s", fixed2(F.col("_w.level")), "_w.touches", "_w.mark")),
         "big_gap": F.when(F.col("_w").isNull(), F.lit(float("inf"))).otherwise(even(F.abs(F.col("_w.level") - x) / a, 2)),
         "big_wall_px": F.col("_w.level")}).drop("_w")
