@@ -70,8 +70,9 @@ def calendar_frame(bars: DataFrame, unit: str, now=None, keys: list[str] = ("sym
 
 def multi_frame(bars: DataFrame, intraday: dict[str, int], calendar: tuple = ("1D", "1W"), now=None,
                 s: Session = Session()) -> DataFrame:
-    """All frames of all symbols in one shuffle: each fine bar is exploded to its bar key in every
-    frame, then folded once by (symbol, frame, bar)."""
+    """All frames of all symbols in one shuffle: the fine bars are shuffled by symbol, then each is exploded
+    to its bar key in every frame and folded by (symbol, frame, bar) where it is. Windows over a frame and
+    aggregates by symbol find the bars in place, too."""
     day, ts = F.to_date("ts"), F.col("ts")
     fr = []
     for name, m in intraday.items():
@@ -83,7 +84,8 @@ def multi_frame(bars: DataFrame, intraday: dict[str, int], calendar: tuple = ("1
         e = ends[name]
         fr.append(F.struct(F.lit(name).alias("frame"), e.cast("timestamp_ntz").alias("key"),
                            e.cast("timestamp_ntz").alias("start"), e.alias("end")))
-    g = (bars.select("symbol", "ts", *OHLCV, day.alias("_day"), F.explode(F.array(*fr)).alias("f"))
+    g = (bars.select("symbol", "ts", *OHLCV).repartition("symbol")
+             .select("symbol", "ts", *OHLCV, day.alias("_day"), F.explode(F.array(*fr)).alias("f"))
              .groupBy("symbol", "f.frame", F.col("f.key").alias("_key"))
              .agg(F.min("f.start").alias("_start"), F.max("_day").alias("_last"), F.max("f.end").alias("_end"), *_ohlcv()))
     if now is not None:
