@@ -24,13 +24,16 @@ MANIFEST = f"{SESSION} date, held int, batch string"
 
 
 def fold(prints: DataFrame) -> DataFrame:
-    """States of prints (symbol, trade_date, pos, px, qty, value, delivered); positions are unique in a session."""
-    at = F.struct("pos", "px")
+    """States of prints (symbol, trade_date, pos, px, qty, value, delivered); positions are unique in a session.
+    Structs are made after the fold: with one in its buffer Spark would sort all prints instead of hashing them."""
     units = F.col("qty").cast("bigint")
     return prints.groupBy(*KEYS).agg(
-        F.min(at).alias("first"), F.max(at).alias("last"), F.max("px").alias("high"), F.min("px").alias("low"),
+        F.min("pos").alias("_p0"), F.min_by("px", "pos").alias("_x0"), F.max("pos").alias("_p1"), F.max_by("px", "pos").alias("_x1"),
+        F.max("px").alias("high"), F.min("px").alias("low"),
         F.sum(units).alias("qty"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
-        F.sum(F.when(F.col("delivered"), units).otherwise(F.lit(0).cast("bigint"))).alias("delivered"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.when(F.col("delivered"), units).otherwise(F.lit(0).cast("bigint"))).alias("delivered"), F.count(F.lit(1)).alias("n")).select(
+        *KEYS, F.struct(F.col("_p0").alias("pos"), F.col("_x0").alias("px")).alias("first"),
+        F.struct(F.col("_p1").alias("pos"), F.col("_x1").alias("px")).alias("last"), "high", "low", "qty", "cents", "delivered", "n")
 
 
 def merge(states: DataFrame) -> DataFrame:
