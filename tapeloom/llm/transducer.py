@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a transducer lexicon.
 
-The most frequent pre-tokens of a bounded sample (parameters bound both) are compiled into a
-minimal acyclic automaton: states that have the same future are one state. Each edge holds the
+The words of the tokenizer's vocabulary, which are the most frequent ones of the texts it was trained
+on, are compiled into a minimal acyclic automaton, the same for all tables (no text is counted): states that have the same future are one state. Each edge holds the
 number of words that sort before those behind it, so the sum along a word's path is the word's
 rank, and the rank is the place of its ids. The automaton is a flat file that Spark gives to every
 executor and that its workers map into memory, so they share its pages. Words it does not hold are
@@ -24,14 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from .common import arrow_map, batch_of, list_array, pick, strings
-from .pretokens import KEPT_CHARS, Cutter, Memo, pretoken_counts, spec, tokenizer
+from .pretokens import KEPT_CHARS, Cutter, Memo, spec, tokenizer
 
-#: Words of the lexicon, and rows of the sample they are counted on.
-LEXICON, SAMPLE = 1 << 17, 1 << 15
+#: Words of the lexicon at most.
+LEXICON = 1 << 17
 #: Pieces that a task keeps, and characters of texts that are encoded together.
 HELD, SLICE = 1 << 19, 1 << 22
 
@@ -239,17 +238,24 @@ def share(spark: SparkSession, block: bytes) -> str:
     return name
 
 
-def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON) -> str:
-    """Compile frequent pre-tokens of docs (text) and return the name of the shared file. They are counted
-    over the whole texts of about SAMPLE rows, every k-th of each partition: which words the automaton holds
-    changes how fast others are merged, never their ids. At most `words` words of at most 64 characters come
-    to the driver."""
-    every = max(1, -(-docs.count() // SAMPLE))
-    some = docs.where(F.monotonically_increasing_id() % every == 0)
-    top = (pretoken_counts(some, path).where(F.length("pretoken") <= KEPT_CHARS)
-           .orderBy(F.desc("n"), "pretoken").limit(words).select("pretoken").collect())
+def vocabulary_words(path: str) -> list[str]:
+    """The tokens that are texts by themselves, in the order of their merges. Tokens that hold a part of a
+    character only are left out: no pre-token is one."""
+    byte = {c: b for b, c in enumerate(byte_letters())}
+    out = []
+    for token, _ in sorted(spec(path)["model"]["vocab"].items(), key=lambda item: item[1]):
+        try:
+            out.append(bytes(byte[c] for c in token).decode())
+        except (KeyError, UnicodeDecodeError):
+            pass
+    return out
+
+
+def build_lexicon(spark: SparkSession, path: str, words: int = LEXICON) -> str:
+    """Compile the vocabulary's first `words` words with the ids that the merges give them, and return the name
+    of the shared file. Which words it holds changes how fast others are merged, never their ids."""
     merge = merger(path)
-    return share(docs.sparkSession, compile_lexicon({r[0].encode(): merge(r[0]) for r in top}))
+    return share(spark, compile_lexicon({w.encode(): merge(w) for w in vocabulary_words(path)[:words]}))
 
 
 class Encoder:
@@ -368,5 +374,5 @@ def decode(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, words: int = LEXICON) -> DataFrame:
     """(doc_id, ids, text) with the decoded text, for every row of docs (doc_id, text)."""
-    name = build_lexicon(docs, path, words)
+    name = build_lexicon(docs.sparkSession, path, words)
     return decode(encode(docs, path, name, "doc_id"), path, "doc_id", "ids")

@@ -373,3 +373,14 @@ def test_licences(spark):
     assert got == [(1, "MIT", ("MIT",), 1), (2, None, (), 0), (3, None, ("Apache-2.0",), 1), (4, None, (), 0), (5, None, (), 0), (6, None, (), 0),
                    (6, None, (), 0), (7, None, (), 0), (8, None, ("CC-BY-NC-4.0", "MIT"), 2)]
     assert licences.scan(brute.no_docs(spark), licences.known(spark)).count() == 0
+
+
+def test_lexicon_is_the_whole_vocabulary():
+    """Its words depend on the tokenizer only, not on a part of the texts, and have the library's ids."""
+    from tapeloom.llm.pretokens import Cutter, tokenizer
+    words, cut = transducer.vocabulary_words(brute.TOKENIZER), Cutter(brute.TOKENIZER)
+    tok, merge = tokenizer(brute.TOKENIZER), transducer.merger(brute.TOKENIZER)
+    assert len(words) == len(set(words)) and {" the", "."} < set(words)
+    whole = [w for w in words if cut(w) == [w]]
+    assert len(whole) > 40_000
+    assert [merge(w) for w in whole] == [e.ids for e in tok.encode_batch_fast(whole, add_special_tokens=False)]
