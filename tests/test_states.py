@@ -88,3 +88,12 @@ def test_panel_of_states(spark):
     a, b = states.panel(states.fold(spark.createDataFrame(p, SCHEMA)), F.lit("EQ")).orderBy("trade_date").collect()
     assert (a.open_price, a.close_price, a.high_price, a.low_price, a.avg_price, a.deliv_per, a.prev_close) == (10, 11, 11, 10, 10.4, 40, None)
     assert b.prev_close == 11 and b.deliv_qty == 1 and b.no_of_trades == 1
+
+
+def test_prints_are_folded_without_a_sort(spark):
+    d = spark.createDataFrame([("A", dt.date(2024, 1, 1), 2, 5.0, 1.0, 5.0, True), ("A", dt.date(2024, 1, 1), 1, 7.0, 2.0, 14.0, False)],
+                              "symbol string, trade_date date, pos bigint, px double, qty double, value double, delivered boolean")
+    f = states.fold(d)
+    assert "SortAggregate" not in f._jdf.queryExecution().executedPlan().toString()
+    r = f.first()
+    assert (r["first"]["px"], r["last"]["px"], r["high"], r["low"], r["qty"], r["cents"], r["delivered"], r["n"]) == (7.0, 5.0, 7.0, 5.0, 3, 1900, 1, 2)
