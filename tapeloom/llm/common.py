@@ -1,8 +1,11 @@
 """Helpers shared by the operators of this folder."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from ..session import stage
 #: Rows and bytes of a batch handed to Python. Memory of a task stays bounded by the larger of the
 #: byte limit and one row.
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+#: Bits of a filter of hashes that tasks ask; a fixed size, whatever the input.
+FILTER = 1 << 23
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -30,10 +35,54 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers are reused: one that keeps what a task has freed
+    has it on top of the memory of all later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """`fn(batches) -> batches` over the partitions of df, in bounded batches."""
+    """`fn(batches) -> batches` over the partitions of df, in bounded batches. A task gives back its memory at its end."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def filter_of(hashes: DataFrame, column: str) -> bytes:
+    """The filter of the given hashes (a bigint column): FILTER bits, which Spark sums in words of 32."""
+    slot, bit = F.pmod(column, F.lit(FILTER)), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {FILTER}) % 32 as int))")
+    rows = (hashes.select((slot / 32).cast("int").alias("word"), bit.alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
+    out = np.zeros(FILTER // 32, np.uint32)
+    out[rows["word"]] = rows["bits"].astype(np.uint32)
+    return out.tobytes()
+
+
+def in_filter(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes the filter may hold: all that it was made of, and few others."""
+    slot = hashes % FILTER
+    return (np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def may_hold(spark: SparkSession, bits: bytes):
+    """The same for a column: a large table is cut down with it before it is shuffled for a join."""
+    sent = spark.sparkContext.broadcast(bits)
+    small_batches(spark)
+
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(sent.value, hashes.to_numpy()))
+
+    run.__annotations__ = {"hashes": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "boolean")
 
 
 def batch_of(schema: pa.Schema, *columns: Iterable) -> pa.RecordBatch:
@@ -46,8 +95,6 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
 
 
 def list_array(flat: pa.Array, lengths: Iterable[int]) -> pa.ListArray:
-    import numpy as np
-
     ends = np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch_of, pick, strings
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
-SLICE = 1 << 20
+#: Characters hashed at once; margins take a row of log odds for each n-gram of a slice.
+SLICE = 1 << 17
 MARGIN = 0.02
 LETTER = re.compile(r"[^\W\d_]")
 _ODD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)

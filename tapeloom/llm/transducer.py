@@ -319,8 +319,15 @@ def encoder(path: str, name: str) -> Encoder:
 def encode(docs: DataFrame, path: str, name: str, *keep: str) -> DataFrame:
     """`keep` columns of docs and `ids` array<int>, the tokens of its text."""
     docs = pick(docs, *keep, "text")
-    kept = docs.select(*keep)
+    return arrow_map(docs, _encoding(path, name, keep), f"{_kinds(docs.select(*keep))}, ids array<int>")
 
+
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _encoding(path: str, name: str, keep: tuple[str, ...]):
+    """Batches of (keep, text) to (keep, ids)."""
     def run(batches):
         enc = encoder(path, name)
         try:
@@ -331,21 +338,23 @@ def encode(docs: DataFrame, path: str, name: str, *keep: str) -> DataFrame:
         finally:
             enc.memo.clear()
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return arrow_map(docs, run, f"{columns}, ids array<int>")
+    return run
 
 
 def decode(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
     """`keep` columns and `text`, decoded from `ids`; bytes that are no UTF-8 become U+FFFD, null
     ids an empty text."""
-    kept = pick(encoded, *keep)
-    encoded = pick(encoded, *keep, "ids").toDF(*keep, "_ids")
+    run = _decoding(encoded.sparkSession, path, keep, len(keep))
+    return arrow_map(pick(encoded, *keep, "ids").toDF(*keep, "_ids"), run, f"{_kinds(pick(encoded, *keep))}, text string")
+
 
+def _decoding(spark: SparkSession, path: str, keep: tuple[str, ...], at: int):
+    """Batches that begin with `keep` and have the ids in column `at` to (keep, text)."""
     s = spec(path)
     byte = {c: b for b, c in enumerate(byte_letters())}
     table = {i: bytes(byte[c] for c in t) for t, i in s["model"]["vocab"].items()}
     table |= {a["id"]: a["content"].encode() for a in s["added_tokens"]}
-    sent = encoded.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])
+    sent = spark.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])
 
     def run(batches):
         table = sent.value
@@ -353,7 +362,7 @@ def decode(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
         length = np.array([len(t) for t in table])
         start = np.concatenate([[0], np.cumsum(length)[:-1]])
         for b in batches:
-            col = b.column(len(keep))
+            col = b.column(at)
             ids, data = col.flatten().to_numpy(), []
             for lo in range(0, len(ids), 1 << 16):
                 # the bytes of some tokens at once: each token's place in the table, and the places after it
@@ -368,11 +377,13 @@ def decode(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(text, pa.string())],
                                              names=[*keep, "text"])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return arrow_map(encoded, run, f"{columns}, text string")
+    return run
 
 
 def round_trip(docs: DataFrame, path: str, words: int = LEXICON) -> DataFrame:
-    """(doc_id, ids, text) with the decoded text, for every row of docs (doc_id, text)."""
+    """(doc_id, ids, text) with the decoded text, for every row of docs (doc_id, text). A batch is encoded
+    and decoded by one worker: two Python steps in a row take two workers for each task."""
+    docs = pick(docs, "doc_id", "text")
     name = build_lexicon(docs.sparkSession, path, words)
-    return decode(encode(docs, path, name, "doc_id"), path, "doc_id", "ids")
+    encoding, decoding = _encoding(path, name, ("doc_id",)), _decoding(docs.sparkSession, path, ("doc_id", "ids"), 1)
+    return arrow_map(docs, lambda batches: decoding(encoding(batches)), f"{_kinds(docs.select('doc_id'))}, ids array<int>, text string")

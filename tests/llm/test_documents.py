@@ -384,3 +384,24 @@ def test_lexicon_is_the_whole_vocabulary():
     whole = [w for w in words if cut(w) == [w]]
     assert len(whole) > 40_000
     assert [merge(w) for w in whole] == [e.ids for e in tok.encode_batch_fast(whole, add_special_tokens=False)]
+
+
+# --- memory and shuffles ------------------------------------------------------------------------
+
+def test_margins_of_a_long_text_are_small():
+    """A slice, not the text, decides how many rows of log odds are held at once."""
+    import tracemalloc
+
+    import numpy as np
+    codes = language.code_matrix(6)
+    model = language.Model(list("abcdef"), codes, np.zeros((language.BUCKETS + 1, codes.shape[1]), np.float32))
+    tracemalloc.start()
+    margins = model.margins(["some words of a text " * 60_000, "short"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert margins.shape == (2, codes.shape[1]) and peak < 64 << 20
+
+
+def test_round_trip_takes_one_worker_a_task(spark, docs):
+    made = transducer.round_trip(docs, brute.TOKENIZER, words=500)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
