@@ -22,36 +22,52 @@ they are. Empty tables give empty results. Other columns are carried along by pl
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from ..session import known_size, stage
-from .common import arrow_map, components, strings
+from .common import FILTER, arrow_map, components, filter_of, may_hold, strings
 
 MIN_WORDS, SHINGLE, THRESHOLD = 20, 5, 0.8
 BANDS, ROWS, CROWD = 16, 4, 64
 #: Classes of a crowded key in a block; two blocks are compared in a task.
 BLOCK = 512
-#: Bits of the filter that tells tasks which classes are needed; a fixed size, whatever the input.
-FILTER = 1 << 23
 #: Shingles hashed at once; entries of a worker's memo of words; digests a task remembers.
 CHUNK, MEMO, SEEN = 1 << 15, 1 << 18, 1 << 18
-_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+_ENDS, _SIGNS = re.compile(r"^[\W_]+|[\W_]+$"), string.punctuation
 _rng = np.random.default_rng(29)
 _MUL = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _WEIGH = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_SPOT = 0x9E3779B1
+
+
+def plain(token: str) -> str:
+    """The lower-cased token without the signs at its ends. The pattern runs where ASCII signs are not all of them."""
+    low = token.lower()
+    if low.isalnum():
+        return low
+    w = low.strip(_SIGNS)
+    return w if not w or w[0].isalnum() and w[-1].isalnum() else _ENDS.sub("", low)
+
+
+def word_hash(w: str) -> int:
+    try:
+        return xxh3_64_intdigest(w)
+    except UnicodeEncodeError:  # single surrogates
+        return xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
 
 
 class Words(dict):
     """token -> its plain word; emptied when full."""
 
     def __missing__(self, token: str) -> str:
-        w = _ENDS.sub("", token.lower())
+        w = plain(token)
         if len(self) >= MEMO:
             self.clear()
         if len(token) <= 64:
@@ -64,7 +80,7 @@ class Words(dict):
 
 def digest(words: str) -> int:
     """Signed 64-bit name of a class."""
-    h = xxh3_64_intdigest(words.encode("utf-8", "surrogatepass"))
+    h = word_hash(words)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -72,7 +88,7 @@ class Numbers(dict):
     """word -> 64-bit hash; emptied when full."""
 
     def __missing__(self, w: str) -> int:
-        h = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = word_hash(w)
         if len(self) >= MEMO:
             self.clear()
         self[w] = h
@@ -113,9 +129,11 @@ def band_keys(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarra
         first = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)[:-1]])
         distinct[at:end] = [len(np.unique(part)) for part in np.split(x, first[1:])]
         key = np.zeros((end - at, BANDS), np.uint64)
+        y, high = np.empty_like(x), np.empty_like(x)
         for j in range(BANDS * ROWS):
-            y = x * _MUL[j] + _ADD[j]
-            y ^= y >> np.uint64(32)
+            np.multiply(x, _MUL[j], out=y)
+            y += _ADD[j]
+            y ^= np.right_shift(y, np.uint64(32), out=high)
             y *= np.uint64(0x9E3779B97F4A7C15)
             least = np.minimum.reduceat(y, first)
             key[:, j // ROWS] = (key[:, j // ROWS] ^ least) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -142,48 +160,58 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def _listed(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, place, n_words, class): every paragraph with the digest of its words."""
+    """(doc_id, at, place, n_words, class, made): every paragraph with the digest of its words, and the
+    band keys of its class where a task meets the class first, else null; they depend on the words alone."""
     def run(batches):
-        words = Words()
+        words, numbers, seen = Words(), Numbers(), set()
         for b in batches:
-            out = ([], [], [], [])
+            out, texts = ([], [], [], [], []), []
             for i, text in enumerate(strings(b, "text")):
                 for p, w, n in paragraphs(text or "", words):
-                    for col, v in zip(out, (i, p, n, digest(w))):
+                    d, first = digest(w), None
+                    if d not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(d)
+                        first = len(texts)
+                        texts.append(w)
+                    for col, v in zip(out, (i, p, n, d, first)):
                         col.append(v)
             at = pa.array(out[0], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out[1], pa.int32()),
-                                              pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())],
-                                             names=["doc_id", "at", "place", "n_words", "class"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
+                                              pa.array(out[3], pa.int64()), _keys(texts, numbers).take(pa.array(out[4], pa.int32()))],
+                                             names=["doc_id", "at", "place", "n_words", "class", "made"])
 
-    return arrow_map(named(docs), run, "doc_id bigint, at bigint, place int, n_words int, class bigint").distinct()
+    return arrow_map(named(docs), run, "doc_id bigint, at bigint, place int, n_words int, class bigint, made struct<keys:array<bigint>,distinct:int>")
 
 
-def _once(docs: DataFrame, needed: bytes | None, column: str, kind: str, make) -> DataFrame:
-    """(class, column) once for each paragraph that passes the filter `needed`; what make(texts) gives
-    depends on the words alone. Repeats that a task meets are dropped before the shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(needed)
+def spot(who: Column, place: Column) -> Column:
+    """A hash of a line: its document's, changed by its place, as _words() has it too."""
+    return who.bitwiseXOR(place.cast("bigint") * F.lit(_SPOT))
+
+
+def _words(docs: DataFrame, paras: DataFrame, needed: DataFrame) -> DataFrame:
+    """(class, words) of the needed classes. One line of each is read again; a filter tells tasks which."""
+    line = (paras.where("made is not null").select("class", spot(F.xxhash64("doc_id", "at"), F.col("place")).alias("spot"))
+            .join(needed, "class", "left_semi").groupBy("class").agg(F.min("spot").alias("spot")))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(line, "spot"))
 
     def run(batches):
-        words, numbers, seen, bits = Words(), Numbers(), set(), sent.value
+        words, bits = Words(), sent.value
         for b in batches:
             classes, texts = [], []
-            for text in strings(b, "text"):
-                for _, w, _ in paragraphs(text or "", words):
-                    d = digest(w)
-                    at = d % FILTER
-                    if d in seen or bits is not None and not bits[at >> 3] >> (at & 7) & 1:
-                        continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(d)
-                    classes.append(d)
-                    texts.append(w)
+            for who, text in zip(b.column(0).to_pylist(), strings(b, "text")):
+                for i, line in enumerate((text or "").split("\n")):
+                    at = (who ^ i * _SPOT) % FILTER
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        for _, w, _ in paragraphs(line, words):
+                            classes.append(digest(w))
+                            texts.append(w)
             if classes:
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), make(texts, numbers)], names=["class", column])
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(texts)], names=["class", "words"])
 
-    rows = arrow_map(named(docs).select("text"), run, f"class bigint, {column} {kind}")
-    return rows.groupBy("class").agg(F.first(column).alias(column))
+    rows = arrow_map(named(docs).select(F.xxhash64("doc_id", "at").alias("who"), "text"), run, "class bigint, words string")
+    return rows.join(needed, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words"))
 
 
 def _keys(texts: list[str], numbers: Numbers) -> pa.Array:
@@ -192,26 +220,21 @@ def _keys(texts: list[str], numbers: Numbers) -> pa.Array:
     return pa.StructArray.from_arrays([lists, pa.array(distinct)], names=["keys", "distinct"])
 
 
-def _filter(classes: DataFrame) -> bytes:
-    """The filter of the given classes: FILTER bits, which Spark sums in words of 32."""
-    slot = F.pmod("class", F.lit(FILTER))
-    rows = (classes.select((slot / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(class, {FILTER}) % 32 as int))").alias("bit"))
-            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
-    out = np.zeros(FILTER // 32, np.uint32)
-    out[rows["word"]] = rows["bits"].astype(np.uint32)
-    return out.tobytes()
-
+def candidates(paras: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b, pairs of classes that share a key and whose numbers of distinct shingles allow the
+    similarity; and (key, class, distinct) of the crowded keys. A class may come several times with its keys.
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) with a < b, pairs of classes (class, keys, distinct) that share a key and whose numbers of
-    distinct shingles allow the similarity; and (key, class, distinct) of the crowded keys."""
-    rows = (classes.select("class", "distinct", F.posexplode("keys").alias("t", "key"))
+    The keys of all classes are shuffled once. Sorted by key and class, a row next to another class of its
+    key tells that both share it; no more of a key is looked at together."""
+    rows = (paras.select("class", "made.distinct", F.posexplode("made.keys").alias("t", "key"))
             .select("class", "distinct", F.xxhash64("t", "key").alias("key")))
-    shared = known_size(rows.groupBy("key").count().where("count > 1"))
-    rows = stage(rows.join(shared, "key"))
-    calm = rows.where(F.col("count") <= CROWD)
+    of_key = Window.partitionBy("key").orderBy("class")
+    beside = (F.lag("class").over(of_key) != F.col("class")) | (F.lead("class").over(of_key) != F.col("class"))
+    rows = stage(rows.withColumn("beside", beside).where("beside").select("key", "class", "distinct").distinct())
+    many = known_size(rows.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+    calm = rows.join(many, "key", "left_anti")
     pairs = _sized(calm.alias("x").join(calm.alias("y"), "key").where("x.class < y.class"))
-    return pairs.distinct(), rows.where(F.col("count") > CROWD).select("key", "class", "distinct")
+    return pairs.distinct(), rows.join(many, "key", "left_semi")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -220,12 +243,11 @@ def _sized(pairs: DataFrame) -> DataFrame:
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
 
 
-def links(docs: DataFrame, pairs: DataFrame, crowd: DataFrame) -> DataFrame:
+def links(docs: DataFrame, paras: DataFrame, pairs: DataFrame, crowd: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words have a Jaccard similarity of THRESHOLD or more, and pairs of that
     similarity that join what such pairs join among the classes of each crowded key."""
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowd.select("class")).distinct()
-    words = stage(_once(docs, _filter(needed), "words", "string", lambda texts, _: pa.array(texts))
-                  .join(needed, "class", "left_semi"))
+    words = stage(_words(docs, paras, stage(needed)))
     both = (pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b"))
 
     def run(batches):
@@ -311,11 +333,11 @@ def _crowd_links(crowd: DataFrame, words: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, at, place, n_words, cluster, kept, keeper): each paragraph of docs (doc_id, text) that
     has a near copy, its line number, its cluster, whether it stays, and the document whose stays."""
-    listed = stage(_listed(docs))
-    classes = stage(_once(docs, None, "made", "struct<keys:array<bigint>,distinct:int>", _keys).select("class", "made.*"))
-    pairs, crowd = map(stage, candidates(classes))
-    comps = components(links(docs, pairs, crowd)).select(F.col("node").alias("class"), "component")
-    clustered = listed.join(comps, "class", "left").withColumn("cluster", F.coalesce("component", "class"))
+    paras = stage(_listed(docs))
+    listed = paras.select("doc_id", "at", "place", "n_words", "class").distinct()
+    pairs, crowd = map(stage, candidates(paras))
+    comps = components(links(docs, paras, pairs, crowd)).select(F.col("node").alias("class"), "component")
+    clustered = stage(listed.join(comps, "class", "left").withColumn("cluster", F.coalesce("component", "class")).drop("component", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "place")).alias("first")
     groups = stage(clustered.groupBy("cluster").agg(F.count("*").alias("size"), first).where("size > 1"))
     kept = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "place").eqNullSafe(F.col("first"))
@@ -338,8 +360,12 @@ def _gone(found: DataFrame) -> DataFrame:
 def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     from .passages import passages
 
-    joined = named(docs).join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("_at") == F.col("at")), "left")
-    return passages(stage(joined.select("doc_id", "at", "text", "gone")))
+    docs = named(docs)
+    bits = filter_of(gone.select(F.xxhash64("id", "_at").alias("who")), "who")
+    # only the documents that may have lines to leave out are shuffled to them
+    some = docs.where(may_hold(docs.sparkSession, bits)(F.xxhash64("doc_id", "at")))
+    joined = some.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("_at") == F.col("at")), "left")
+    return passages(docs, stage(joined.select("doc_id", "at", "text", "gone")), bits)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -348,7 +374,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             .agg(F.collect_list("place").alias("gone")))
     d = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
     id_, text = (F.col(f"_{docs.columns.index(n)}") for n in ("doc_id", "text"))
-    joined = d.join(known_size(gone), F.col("id").eqNullSafe(id_.cast("bigint")) & (F.col("at") == F.xxhash64(text)), "left")
+    gone = known_size(gone)
+    # documents that keep all their lines are not shuffled, but for the few that the filter can't tell
+    some = may_hold(docs.sparkSession, filter_of(gone.select(F.xxhash64("id", "at").alias("who")), "who"))
+    d = d.withColumn("some", some(F.xxhash64(id_.cast("bigint"), F.xxhash64(text))))
+    joined = (d.where("some").join(gone, F.col("id").eqNullSafe(id_.cast("bigint")) & (F.col("at") == F.xxhash64(text)), "left")
+              .unionByName(d.where("not some"), allowMissingColumns=True))
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("gone", i)), "\n")
     new = F.when(F.col("gone").isNotNull(), left).otherwise(text)
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

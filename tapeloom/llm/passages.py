@@ -17,13 +17,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from ..session import known_size, stage
-from .common import arrow_map, strings
-from .paragraph_bands import _ENDS, FILTER, MEMO, _filter
+from .common import arrow_map, filter_of, in_filter, may_hold, strings
+from .paragraph_bands import MEMO, plain, word_hash
 
 PASSAGE, ANCHOR, LONG = 50, 20, 64
 #: Words hashed at once, but for longer texts.
@@ -31,6 +31,7 @@ CHUNK = 1 << 17
 #: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han.
 _OPEN = "฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _UNSPACED, _TOKEN = re.compile(f"[{_OPEN}]"), re.compile(rf"[{_OPEN}]|[^\s{_OPEN}]+")
+_SPACED = re.compile(r"\S+")
 _PIECE = re.compile(r"[^aeiouAEIOU02468]*[aeiouAEIOU02468]|[^aeiouAEIOU02468]+")
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -45,8 +46,8 @@ class Hashes(dict):
         if len(token) > LONG:
             self.long = True
             return 0
-        w = _ENDS.sub("", token.lower())
-        h = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) or 1 if w else 0
+        w = plain(token)
+        h = word_hash(w) or 1 if w else 0
         if len(self) >= MEMO:
             self.clear()
         self[token] = h
@@ -65,6 +66,12 @@ class Hashes(dict):
 
     def places(self, text: str) -> np.ndarray:
         """(word, 2): where the same words begin and end."""
+        if text.isascii() or not _UNSPACED.search(text):
+            tokens, self.long = text.split(), False
+            kept = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens)) > 0
+            if not self.long:
+                begin = np.fromiter((m.start() for m in _SPACED.finditer(text)), np.int64, len(tokens))
+                return np.stack([begin, begin + np.fromiter(map(len, tokens), np.int64, len(tokens))], 1)[kept]
         out = []
         for m in _TOKEN.finditer(text):
             for p in _PIECE.finditer(m[0]) if len(m[0]) > LONG else (None,):
@@ -101,9 +108,11 @@ def windows(hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return owner[whole], whole - start[owner[whole]], _runs(flat, PASSAGE)[whole], least[whole]
 
 
-def _chunks(batches, hashes: Hashes):
-    """(batch, rows, windows of these rows): at most CHUNK words at once, or one text."""
+def _chunks(batches, hashes: Hashes, cut: bytes):
+    """(batch, rows, windows of these rows): at most CHUNK words at once, or one text. Rows that are not `ready`
+    and that the filter `cut` may hold come again with the lines they lost."""
     for b in batches:
+        b = b.filter(pc.or_(b["ready"], pa.array(~in_filter(cut, b["who"].to_numpy()))))
         rows, held, size = [], [], 0
         for i, (text, gone) in enumerate(zip(strings(b, "text"), strings(b, "gone"))):
             h = hashes.of(_left(text, gone))
@@ -125,34 +134,37 @@ def _left(text: str | None, gone: list[int] | None) -> str:
     return "\n".join(" " * len(line) if i in out else line for i, line in enumerate(text.split("\n")))
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, cut: DataFrame, bits: bytes) -> DataFrame:
     """(doc_id, at, place, n_words, cluster, kept, keeper, begin, end): every passage of docs (doc_id, at,
-    text, gone) that another document has: its line, its words, a hash of its first PASSAGE words,
-    whether it stays, the document whose stays, and its first and last character. Lines in `gone`, an array
-    of places or null, are not read."""
-    docs = docs.withColumn("who", F.xxhash64("doc_id", "at"))
+    text) that another document has: its line, its words, a hash of its first PASSAGE words,
+    whether it stays, the document whose stays, and its first and last character. `cut` has those documents
+    again whose hash may be in the filter `bits`, with a column `gone`: lines in it, an array of places or null,
+    are not read."""
+    docs = (cut.withColumn("ready", F.lit(True))
+            .unionByName(docs.withColumns({"gone": F.lit(None).cast("array<int>"), "ready": F.lit(False)}))
+            .withColumn("who", F.xxhash64("doc_id", "at")))
+    lost = docs.sparkSession.sparkContext.broadcast(bits)
 
     def anchors(batches):
         hashes = Hashes()
-        for b, rows, (text, _, _, anchor) in _chunks(batches, hashes):
+        for b, rows, (text, _, _, anchor) in _chunks(batches, hashes, lost.value):
             new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])[:len(anchor)])
             at = pa.array(rows[text[new]], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), b.column(2).take(at)], names=["class", "who"])
 
-    shared = (arrow_map(docs.select("text", "gone", "who"), anchors, "class bigint, who bigint").groupBy("class")
+    shared = (arrow_map(docs.select("text", "gone", "who", "ready"), anchors, "class bigint, who bigint").groupBy("class")
               .agg(F.min("who").alias("low"), F.max("who").alias("high")).where("low <> high").select("class"))
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(shared, "class"))
 
     def held(batches):
-        hashes, bits = Hashes(), np.frombuffer(sent.value, np.uint8)
-        for b, rows, (text, word, window, anchor) in _chunks(batches, hashes):
-            slot = (anchor % np.uint64(FILTER)).astype(np.int64)
-            here = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+        hashes = Hashes()
+        for b, rows, (text, word, window, anchor) in _chunks(batches, hashes, lost.value):
+            here = np.flatnonzero(in_filter(sent.value, anchor.view(np.int64)))
             at = pa.array(rows[text[here]], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(3).take(at), pa.array(word[here].astype(np.int32)),
                                               pa.array(window[here].view(np.int64))], names=["doc_id", "at", "word", "window"])
 
-    listed = stage(arrow_map(docs.select("text", "gone", "doc_id", "at"), held, "doc_id bigint, at bigint, word int, window bigint"))
+    listed = stage(arrow_map(docs.select("text", "gone", "doc_id", "at", "who", "ready"), held, "doc_id bigint, at bigint, word int, window bigint"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     twice = known_size(listed.groupBy("window").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last")
                        .select("window", "first"))
@@ -160,25 +172,35 @@ def passages(docs: DataFrame) -> DataFrame:
             .groupBy("doc_id", "at").agg(F.sort_array(F.collect_set(F.struct(
                 "word", "window", who.eqNullSafe(F.col("first")).alias("kept"), F.col("first.doc_id").alias("keeper")))).alias("held")))
     each = known_size(each.select(F.col("doc_id").alias("id"), F.col("at").alias("_at"), "held"))
-    met = docs.join(each, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("_at") == F.col("at"))).select("doc_id", "at", "text", "gone", "held")
+    # as before, only the documents that may be in `each` are shuffled
+    spark, who = docs.sparkSession, F.col("who")
+    found = may_hold(spark, filter_of(each.select(F.xxhash64("id", "_at").alias("who")), "who"))
+    some = docs.where(found(who)).where(F.col("ready") | ~may_hold(spark, bits)(who))
+    met = some.join(each, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("_at") == F.col("at"))).select("doc_id", "at", "text", "gone", "held")
 
     def spans(batches):
         hashes = Hashes()
         for b in batches:
             out = []
-            for i, (text, gone, held) in enumerate(zip(*(strings(b, n) for n in ("text", "gone", "held")))):
+            lists = b["held"]
+            flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+            words, keeps = flat.field("word").to_numpy(), flat.field("kept").to_numpy(zero_copy_only=False)
+            for i, (text, gone, end) in enumerate(zip(strings(b, "text"), strings(b, "gone"), ends.tolist())):
                 places = hashes.places(_left(text, gone))
                 state, by = np.zeros(len(places), np.int8), np.full(len(places), -1)
+                here = np.arange(ends[i - 1] if i else 0, end)
                 for kept in (True, False):  # a word of both is repeated
-                    for k, x in enumerate(held):
-                        if x["kept"] == kept:
-                            part = slice(x["word"], x["word"] + PASSAGE)
-                            by[part] = np.where(state[part] == 2 - kept, by[part], k)
-                            state[part] = 2 - kept
+                    of = here[keeps[here] == kept]
+                    if len(of):
+                        # the first window over each word; windows ascend by their first word
+                        at = np.arange(len(places))
+                        k = of[np.minimum(np.searchsorted(words[of], at - PASSAGE + 1), len(of) - 1)]
+                        over = (words[k] <= at) & (words[k] > at - PASSAGE)
+                        by[over], state[over] = k[over], 2 - kept
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], state, [0]]).astype(int)))
                 for first, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
                     if state[first]:
-                        begin, stop, x = int(places[first, 0]), int(places[end - 1, 1]), held[by[first]]
+                        begin, stop, x = int(places[first, 0]), int(places[end - 1, 1]), flat[int(by[first])].as_py()
                         out.append((i, text.count("\n", 0, begin), end - first, x["window"], bool(state[first] == 1), x["keeper"], begin, stop))
             cols = list(zip(*out)) or [()] * 8
             at = pa.array(cols[0], pa.int32())

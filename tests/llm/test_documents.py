@@ -405,3 +405,45 @@ def test_margins_of_a_long_text_are_small():
 def test_round_trip_takes_one_worker_a_task(spark, docs):
     made = transducer.round_trip(docs, brute.TOKENIZER, words=500)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_only_documents_with_lost_lines_are_joined(spark, monkeypatch):
+    rows = [(d, "\n".join(" ".join(f"w{d}_{i}_{k}" for k in range(25)) for i in range(3))) for d in range(60)]
+    rows[7] = (7, rows[7][1] + "\n" + rows[3][1].split("\n")[1])
+    joined, stage = [], paragraph_bands.stage
+
+    def count(df):
+        out = stage(df)
+        if {"text", "gone"} <= {*df.columns}:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(paragraph_bands, "stage", count)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = paragraph_bands.with_passages(table).collect()
+    assert sorted((r["doc_id"], r["place"], r["kept"]) for r in found) == [(3, 1, True), (7, 3, False)] and joined == [1]
+    left = {r["doc_id"]: r["text"] for r in paragraph_bands.remove_repeats(table).collect()}
+    assert left == {**dict(rows), 7: rows[7][1].rsplit("\n", 1)[0]}
+
+
+def test_copies_in_many_tasks_are_one_class(spark):
+    line = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(d, line) for d in range(40)], "doc_id bigint, text string").repartition(5)
+    pairs, crowd = paragraph_bands.candidates(paragraph_bands._listed(docs))
+    assert pairs.count() == crowd.count() == 0
+    assert [(r["doc_id"], r["keeper"]) for r in paragraph_bands.repeats(docs).collect() if r["kept"]] == [(0, 0)]
+
+
+def test_plain_words_are_the_pattern():
+    tokens = ["", "a", "(a)", "_a_", "don't", "--", "İ", "İ!", "«été»", "é_", "x́", "́x", "\ud800", "½,", "a-b.", "١٢٣", "ß'S"]
+    assert [paragraph_bands.plain(t) for t in tokens] == [paragraph_bands._ENDS.sub("", t.lower()) for t in tokens]
+
+
+def test_filter_holds_its_hashes(spark):
+    import numpy as np
+    from tapeloom.llm import common
+    hashes = [0, 1, -1, 31, 32, 63, 2**63 - 1, -2**63, common.FILTER, -common.FILTER - 5]
+    bits = common.filter_of(spark.createDataFrame([(h,) for h in hashes], "h bigint"), "h")
+    assert common.in_filter(bits, np.array(hashes)).all() and common.in_filter(bits, np.arange(1000)).sum() == 5
+    none = common.filter_of(spark.createDataFrame([], "h bigint"), "h")
+    assert not common.in_filter(none, np.arange(1000)).any()
