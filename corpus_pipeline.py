@@ -2,8 +2,8 @@
 again, and all but the last return the columns of `documents`.
 
 A row without text or without a letter is rejected by the first stage. Of documents whose SimHash
-fingerprints are linked the first stays. Paragraphs that repeat one of another document are cut out;
-the document stays, also if nothing of it is left. Documents that hold a benchmark item go. The last
+fingerprints are linked the first stays. Paragraphs, and passages of 50 words or more inside lines or
+across them, that repeat one of another document are cut out; the document stays, also if nothing of it is left. Documents that hold a benchmark item go. The last
 stage encodes what is left and decodes it again. Empty tables pass through all stages.
 """
 from __future__ import annotations

@@ -13,7 +13,8 @@ only the links that join components; so a crowded key loses no link. Links are p
 similarity THRESHOLD or more; components of links are the clusters. The first paragraph of a cluster,
 by doc_id (nulls last), text hash and place, stays and all others go.
 
-Passages inside longer lines or across line breaks are found by passages.py; with_passages() gives both.
+Passages inside longer lines or across line breaks are found by passages.py; with_passages() gives both and
+remove_repeats() removes both. What it leaves is not looked through again.
 
 A document is named by doc_id and a hash of its text: rows that repeat both are one document, and
 every such row gets the same paragraphs removed. Null or empty texts have no paragraphs and stay as
@@ -25,6 +26,7 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -368,21 +370,48 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return passages(docs, stage(joined.select("doc_id", "at", "text", "gone")), bits)
 
 
+def remainder(text: str, gone, begins, ends) -> str:
+    """The text without the lines `gone` and the characters from each begin to its end, which ascend. Lines
+    that this leaves blank go; other line breaks stay."""
+    out, lost, at, k = [], {*gone}, 0, 0
+    for i, line in enumerate(text.split("\n")):
+        end, left, cut = at + len(line), [], False
+        begin = at
+        while k < len(begins) and begins[k] < end:
+            if ends[k] > at:
+                left.append(text[begin:max(begin, begins[k])])
+                begin, cut = max(begin, min(ends[k], end)), True
+            if ends[k] > end:
+                break
+            k += 1
+        left = "".join(left) + text[begin:end]
+        if i not in lost and (left.strip() or not cut):
+            out.append(left)
+        at = end + 1
+    return "\n".join(out)
+
+
+def _remainders(text: pd.Series, gone: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([t if g is None or t is None else remainder(t, g, b, e) for t, g, b, e in zip(text, gone, begins, ends)], dtype=object)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the paragraphs removed that repeat one kept elsewhere; a column n_chars follows the text."""
-    gone = (repeats(docs).where("not kept").groupBy(F.col("doc_id").alias("id"), "at")
-            .agg(F.collect_list("place").alias("gone")))
+    """docs with the paragraphs and passages removed that repeat one kept elsewhere; a column n_chars follows the text."""
+    found = with_passages(docs).where("not kept")
+    span = F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))
+    gone = (found.groupBy(F.col("doc_id").alias("id"), "at")
+            .agg(F.collect_list(F.when(F.col("begin").isNull(), F.col("place"))).alias("gone"), F.sort_array(F.collect_list(span)).alias("spans")))
     d = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
     id_, text = (F.col(f"_{docs.columns.index(n)}") for n in ("doc_id", "text"))
-    gone = known_size(gone)
-    # documents that keep all their lines are not shuffled, but for the few that the filter can't tell
+    gone = known_size(gone.select("id", "at", "gone", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends")))
+    # documents that keep all their text are not shuffled, but for the few that the filter can't tell
     some = may_hold(docs.sparkSession, filter_of(gone.select(F.xxhash64("id", "at").alias("who")), "who"))
     d = d.withColumn("some", some(F.xxhash64(id_.cast("bigint"), F.xxhash64(text))))
-    joined = (d.where("some").join(gone, F.col("id").eqNullSafe(id_.cast("bigint")) & (F.col("at") == F.xxhash64(text)), "left")
+    joined = d.where("some").join(gone, F.col("id").eqNullSafe(id_.cast("bigint")) & (F.col("at") == F.xxhash64(text)), "left")
+    joined = (joined.withColumn("left", F.pandas_udf(_remainders, "string")(text, "gone", "begins", "ends")).drop("begins", "ends")
               .unionByName(d.where("not some"), allowMissingColumns=True))
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    new = F.when(F.col("gone").isNotNull(), left).otherwise(text)
+    new = F.when(F.col("gone").isNotNull(), F.col("left")).otherwise(text)
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return joined.select(*[(new if n == "text" and i == docs.columns.index("text") else
-                            F.when(F.col("gone").isNotNull(), F.char_length(left)).otherwise(F.col(f"_{i}")).cast(docs.schema[i].dataType)
+                            F.when(F.col("gone").isNotNull(), F.char_length("left")).otherwise(F.col(f"_{i}")).cast(docs.schema[i].dataType)
                             if i == size else F.col(f"_{i}")).alias(n) for i, n in enumerate(docs.columns)])

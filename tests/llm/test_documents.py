@@ -447,3 +447,38 @@ def test_filter_holds_its_hashes(spark):
     assert common.in_filter(bits, np.array(hashes)).all() and common.in_filter(bits, np.arange(1000)).sum() == 5
     none = common.filter_of(spark.createDataFrame([], "h bigint"), "h")
     assert not common.in_filter(none, np.arange(1000)).any()
+
+
+def test_passages_are_cut_out(spark):
+    """Passages inside lines and across line breaks are removed where they repeat; the rest of a text stays."""
+    import random
+    import corpus_pipeline
+    rnd = random.Random(9)
+    made = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    wrap = lambda w, k: "\n".join(" ".join(w[i:i + k]) for i in range(0, len(w), k))
+    run, other, short, line, own = made(60), made(52), made(49), made(30), made(50)
+    a, b, c, d = (" ".join(made(40)) for _ in range(4))
+    texts = {1: f"{a} {' '.join(run)} {b}", 2: f"{c} {' '.join(w.upper() + ',' for w in run)} {d}", 3: f"head\n{wrap(run, 9)}\n\ntail {wrap(other, 8)}",
+             4: f"top {wrap(other, 7)} end\n" + " ".join(line), 5: " ".join(line) + "\n" + " ".join(own[:25] + short), 6: " ".join(short + own[25:]), 7: None, 8: ""}
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars int")
+    made = corpus_pipeline.substring_dedup(spark, docs, brute.SF)
+    assert made.dtypes == docs.dtypes
+    got = {r["doc_id"]: r["text"] for r in made.collect()}
+    assert got == {**texts, 2: f"{c}  {d}", 3: f"head\n\ntail {wrap(other, 8)}", 4: "top \n end\n" + " ".join(line), 5: " ".join(own[:25] + short)}
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in made.collect())
+
+
+def test_remainders():
+    cut = paragraph_bands.remainder
+    text = "one two\n\nthree four\nfive"
+    assert cut(text, [], [], []) == text and cut(text, [0, 1, 2, 3], [], []) == ""
+    assert cut(text, [], [4], [7]) == "one \n\nthree four\nfive"
+    assert cut(text, [], [4], [14]) == "one \n four\nfive"
+    assert cut(text, [], [0], [19]) == "five" and cut(text, [3], [9], [14]) == "one two\n\n four"
+    assert cut(text, [], [0, 9, 15], [3, 14, 24]) == " two\n"
+    for begin in range(len(text)):
+        for end in range(begin + 1, len(text) + 1):
+            kept = text[:begin] + text[end:]
+            assert cut(text, [], [begin], [end]).split() == [p for i, line in enumerate(text.split("\n")) for p in
+                                                              "".join(ch for j, ch in enumerate(line, sum(len(x) + 1 for x in text.split("\n")[:i]))
+                                                                      if not begin <= j < end).split()] and len(kept) < len(text)
