@@ -98,18 +98,18 @@ class Numbers(dict):
 
 
 def paragraphs(text: str, words: Words):
-    """(place of the line, its plain words as one string, their number) of the long lines of a text."""
+    """(place of the line, its plain words as one string, and as a list) of the long lines of a text."""
     for i, line in enumerate(text.split("\n")):
         if len(line) >= 2 * MIN_WORDS - 1:
             w = words.of(line)
             if len(w) >= MIN_WORDS:
-                yield i, " ".join(w), len(w)
+                yield i, " ".join(w), w
 
 
-def band_keys(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """(text, band) keys of paragraphs given as plain words, and the number of distinct shingles of each."""
+def band_keys(texts: list[str | list[str]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(text, band) keys of paragraphs given as plain words, in one string or a list, and the number of distinct shingles of each."""
     out, distinct = np.empty((len(texts), BANDS), np.int64), np.empty(len(texts), np.int32)
-    hashed = [np.fromiter(map(numbers.__getitem__, t.split(" ")), np.uint64) for t in texts]
+    hashed = [np.fromiter(map(numbers.__getitem__, t.split(" ") if isinstance(t, str) else t), np.uint64) for t in texts]
     at = 0
     while at < len(hashed):
         end, size = at, 0
@@ -129,7 +129,7 @@ def band_keys(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarra
             keep[ends[:-1] - k] = False
         x = x[keep]
         first = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)[:-1]])
-        distinct[at:end] = [len(np.unique(part)) for part in np.split(x, first[1:])]
+        distinct[at:end] = [len({*part.tolist()}) for part in np.split(x, first[1:])]
         key = np.zeros((end - at, BANDS), np.uint64)
         y, high = np.empty_like(x), np.empty_like(x)
         for j in range(BANDS * ROWS):
@@ -169,15 +169,15 @@ def _listed(docs: DataFrame) -> DataFrame:
         for b in batches:
             out, texts = ([], [], [], [], []), []
             for i, text in enumerate(strings(b, "text")):
-                for p, w, n in paragraphs(text or "", words):
-                    d, first = digest(w), None
+                for p, line, w in paragraphs(text or "", words):
+                    d, first = digest(line), None
                     if d not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(d)
                         first = len(texts)
                         texts.append(w)
-                    for col, v in zip(out, (i, p, n, d, first)):
+                    for col, v in zip(out, (i, p, len(w), d, first)):
                         col.append(v)
             at = pa.array(out[0], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
@@ -187,6 +187,12 @@ def _listed(docs: DataFrame) -> DataFrame:
     return arrow_map(named(docs), run, "doc_id bigint, at bigint, place int, n_words int, class bigint, made struct<keys:array<bigint>,distinct:int>")
 
 
+def only(rows: DataFrame, keys: DataFrame, name: str = "class") -> DataFrame:
+    """The rows joined to a table of keys by `name`. Most rows without a key there are not shuffled."""
+    held = may_hold(rows.sparkSession, filter_of(keys.select(name), name))
+    return rows.where(held(name)).join(keys, name)
+
+
 def spot(who: Column, place: Column) -> Column:
     """A hash of a line: its document's, changed by its place, as _words() has it too."""
     return who.bitwiseXOR(place.cast("bigint") * F.lit(_SPOT))
@@ -194,8 +200,8 @@ def spot(who: Column, place: Column) -> Column:
 
 def _words(docs: DataFrame, paras: DataFrame, needed: DataFrame) -> DataFrame:
     """(class, words) of the needed classes. One line of each is read again; a filter tells tasks which."""
-    line = (paras.where("made is not null").select("class", spot(F.xxhash64("doc_id", "at"), F.col("place")).alias("spot"))
-            .join(needed, "class", "left_semi").groupBy("class").agg(F.min("spot").alias("spot")))
+    line = (only(paras.where("made is not null").select("class", spot(F.xxhash64("doc_id", "at"), F.col("place")).alias("spot")), needed)
+            .groupBy("class").agg(F.min("spot").alias("spot")))
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(line, "spot"))
 
     def run(batches):
@@ -216,7 +222,7 @@ def _words(docs: DataFrame, paras: DataFrame, needed: DataFrame) -> DataFrame:
     return rows.join(needed, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words"))
 
 
-def _keys(texts: list[str], numbers: Numbers) -> pa.Array:
+def _keys(texts: list[list[str]], numbers: Numbers) -> pa.Array:
     keys, distinct = band_keys(texts, numbers)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
     return pa.StructArray.from_arrays([lists, pa.array(distinct)], names=["keys", "distinct"])
@@ -229,7 +235,7 @@ def candidates(paras: DataFrame) -> tuple[DataFrame, DataFrame]:
     The keys of all classes are shuffled once. Sorted by key and class, a row next to another class of its
     key tells that both share it; no more of a key is looked at together."""
     rows = (paras.select("class", "made.distinct", F.posexplode("made.keys").alias("t", "key"))
-            .select("class", "distinct", F.xxhash64("t", "key").alias("key")))
+            .select("class", F.xxhash64("t", "key").alias("key"), "distinct"))  # the two long hashes side by side: shuffled bytes compress better
     of_key = Window.partitionBy("key").orderBy("class")
     beside = (F.lag("class").over(of_key) != F.col("class")) | (F.lead("class").over(of_key) != F.col("class"))
     rows = stage(rows.withColumn("beside", beside).where("beside").select("key", "class", "distinct").distinct())
@@ -334,17 +340,21 @@ def _crowd_links(crowd: DataFrame, words: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, at, place, n_words, cluster, kept, keeper): each paragraph of docs (doc_id, text) that
-    has a near copy, its line number, its cluster, whether it stays, and the document whose stays."""
+    has a near copy, its line number, its cluster, whether it stays, and the document whose stays.
+
+    Of all paragraphs only a spot is summed for each class; those whose class has another spot or a link go on."""
     paras = stage(_listed(docs))
-    listed = paras.select("doc_id", "at", "place", "n_words", "class").distinct()
     pairs, crowd = map(stage, candidates(paras))
     comps = components(links(docs, paras, pairs, crowd)).select(F.col("node").alias("class"), "component")
-    clustered = stage(listed.join(comps, "class", "left").withColumn("cluster", F.coalesce("component", "class")).drop("component", "class"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "place")).alias("first")
-    groups = stage(clustered.groupBy("cluster").agg(F.count("*").alias("size"), first).where("size > 1"))
-    kept = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "place").eqNullSafe(F.col("first"))
-    return clustered.join(groups, "cluster").select("doc_id", "at", "place", "n_words", "cluster", kept.alias("kept"),
-                                                    F.col("first.doc_id").alias("keeper"))
+    at = paras.select("class", spot(F.xxhash64("doc_id", "at"), F.col("place")).alias("spot"))
+    classes = (at.groupBy("class").agg(F.min("spot").alias("low"), F.max("spot").alias("high")).join(comps, "class", "left")
+               .where("component is not null or low <> high").select("class", F.coalesce("component", "class").alias("cluster")))
+    found = stage(only(paras.drop("made"), known_size(classes)).drop("class"))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "place")
+    firsts = known_size(found.groupBy("cluster").agg(F.min(who).alias("first")))
+    # a document that comes in several rows is one
+    return found.join(firsts, "cluster").select("doc_id", "at", "place", "n_words", "cluster", who.eqNullSafe(F.col("first")).alias("kept"),
+                                                F.col("first.doc_id").alias("keeper")).distinct()
 
 
 def with_passages(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import known_size, stage
 from .common import arrow_map, filter_of, in_filter, may_hold, strings
-from .paragraph_bands import MEMO, plain, word_hash
+from .paragraph_bands import MEMO, only, plain, word_hash
 
 PASSAGE, ANCHOR, LONG = 50, 20, 64
 #: Words hashed at once, but for longer texts.
@@ -168,7 +168,7 @@ def passages(docs: DataFrame, cut: DataFrame, bits: bytes) -> DataFrame:
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     twice = known_size(listed.groupBy("window").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last")
                        .select("window", "first"))
-    each = (listed.join(twice, "window")
+    each = (only(listed, twice, "window")
             .groupBy("doc_id", "at").agg(F.sort_array(F.collect_set(F.struct(
                 "word", "window", who.eqNullSafe(F.col("first")).alias("kept"), F.col("first.doc_id").alias("keeper")))).alias("held")))
     each = known_size(each.select(F.col("doc_id").alias("id"), F.col("at").alias("_at"), "held"))
